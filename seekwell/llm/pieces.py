@@ -1,9 +1,10 @@
 """Vectorised use of public tokenizers: texts are cut into units that no token crosses, distinct units of a
 slice are looked up in a bounded cache, and only new ones reach the tokenizers library.
 
-A *unit* of the byte-level vocabulary is a word with the one space before it; texts in which a run of white
-space makes that cut unsafe go to the library whole. Of the lower-case word vocabulary, which drops white
-space, a unit is what stands between spaces and line ends.
+Texts of Latin letters without doubled white space or contractions are cut straight into pre-tokens, by the
+classes of their bytes. Others are cut at spaces: a unit of the byte-level vocabulary is then a word with the one
+space before it, and of the lower-case word vocabulary, which drops white space, what stands between spaces.
+Texts in which a run of white space makes that unsafe, or with special strings, go to the library whole.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import json
 import os
 import re
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,41 @@ _ASCII = re.compile("[\x20-\x7e\n]*")
 _LOWER_WORDS = re.compile(rf"{_CONTRACTIONS}|[a-z]+|[0-9]|[^\sa-z0-9]+")
 #: RE2: a space between other white space, or before the end after other white space.
 _UNSAFE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] ([\s\x0b\x1c-\x1f\x{85}\p{Z}]|$)"
+#: RE2: what keeps a text from being cut by the classes of its bytes.
+_UNUSUAL = {
+    "byte": r"[^\t\n\r -~\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]|'(s|t|re|ve|m|ll|d)|[\t\n\r ][\t\n\r ]|<\|",
+    "word": r"[^\t\n\r -~\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]|'(?i:s|t|re|ve|m|ll|d)|<\|",
+}
+_SPACE, _WHITE, _LETTER, _DIGIT, _OTHER = range(5)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[128:] = _LETTER
+for _bytes, _class in ((b" ", _SPACE), (b"\t\n\r", _WHITE), (b"0123456789", _DIGIT), (bytes(range(65, 91)) + bytes(range(97, 123)), _LETTER)):
+    _CLASS[list(_bytes)] = _class
+
+
+def _by_class(texts: pa.StringArray, kind: str) -> tuple[pa.StringArray, np.ndarray]:
+    """(pre-tokens of all texts, ends: those of text i are ends[i]:ends[i + 1]); no text may be unusual."""
+    if kind == "word":
+        texts = pc.utf8_lower(texts)
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    kinds = _CLASS[data]
+    start = np.ones(len(data), bool)
+    start[1:] = kinds[1:] != kinds[:-1]
+    if kind == "byte":
+        start[1:] &= ~((kinds[:-1] == _SPACE) & (kinds[1:] > _WHITE))  # a space goes with what follows it
+    else:
+        start |= kinds == _DIGIT
+    start[offsets[:-1][offsets[:-1] < len(data)]] = True
+    if kind == "word":  # white space is dropped
+        solid = kinds > _WHITE
+        offsets = np.concatenate(([0], np.cumsum(solid)))[offsets]
+        data, start = data[solid], start[solid]
+    begins = np.flatnonzero(start)
+    ends = np.searchsorted(begins, offsets)
+    both = np.append(begins, len(data)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(begins), pa.py_buffer(both.tobytes()), pa.py_buffer(data.tobytes())), ends
 
 
 class Vocabulary:
@@ -63,23 +100,32 @@ class Vocabulary:
 
     def units(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
         """(unit number of each place, ends: places of text i are ends[i]:ends[i + 1], the distinct units, numbers of the texts left out as slow)."""
-        slow = self.slow(texts)
-        if slow.any():
-            texts = pc.if_else(pa.array(slow), "", texts)
-        if self.kind == "word":
-            texts = pc.replace_substring(texts, "\n", " ")
-        split = pc.split_pattern(texts, " ")
-        ends = split.offsets.to_numpy().astype(np.int64)
-        encoded = split.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
-        ends -= ends[0]
-        code, words = encoded.indices.to_numpy().astype(np.int64), encoded.dictionary.to_pylist()
-        if self.kind != "byte":
-            return code, ends, words, np.flatnonzero(slow)
-        n = len(words)
-        code[ends[:-1]] += n  # a text's first word has no space before it
-        used = np.zeros(2 * n, bool)
-        used[code] = True
-        return (np.cumsum(used) - 1)[code], ends, [" " + words[c] if c < n else words[c - n] for c in np.flatnonzero(used).tolist()], np.flatnonzero(slow)
+        n = len(texts)
+        if self.kind == "whole":
+            return np.zeros(0, np.int64), np.zeros(n + 1, np.int64), [], np.arange(n)
+        odd = np.flatnonzero(pc.match_substring_regex(texts, _UNUSUAL[self.kind]).to_numpy(zero_copy_only=False))
+        if not len(odd):
+            pieces, ends = _by_class(texts, self.kind)
+            encoded = pieces.dictionary_encode()
+            return encoded.indices.to_numpy().astype(np.int64), ends, encoded.dictionary.to_pylist(), odd
+        is_odd = np.zeros(n, bool)
+        is_odd[odd] = True
+        some = texts.take(pa.array(odd))
+        slow = self.slow(some)
+        cut = pc.split_pattern(pc.if_else(pa.array(slow), "", some), " ")
+        if self.kind == "byte":  # all but a text's first word have a space before them
+            first = np.zeros(len(cut.values), bool)
+            first[cut.offsets.to_numpy()[:-1]] = True
+            more = pc.binary_join_element_wise(pc.if_else(pa.array(first), "", " "), cut.values, "")
+        else:
+            more = cut.values
+        pieces, ends = _by_class(texts.filter(pa.array(~is_odd)), self.kind)
+        sizes = np.zeros(n, np.int64)
+        sizes[~is_odd], sizes[odd] = np.diff(ends), np.diff(cut.offsets.to_numpy())
+        encoded = pa.concat_arrays([pieces, more]).dictionary_encode()
+        code = encoded.indices.to_numpy().astype(np.int64)
+        doc = np.concatenate((np.repeat(np.flatnonzero(~is_odd), sizes[~is_odd]), np.repeat(odd, sizes[odd])))
+        return code[np.argsort(doc, kind="stable")], np.concatenate(([0], np.cumsum(sizes))), encoded.dictionary.to_pylist(), odd[slow]
 
     def split(self, unit: str) -> list[str]:
         """The pre-tokens of a unit (of the word vocabulary: parts whose ids, in order, are the unit's)."""
@@ -106,27 +152,47 @@ class Vocabulary:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+class Cache:
+    """Bytes by string, at most ``limit`` or so: when the young half is full it becomes the old half, and what is still used moves over."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def turn(self) -> None:
+        if len(self.young) > self.limit // 2:
+            self.young, self.old = {}, self.young
+
+    def found(self, keys: list[str]) -> list[bytes | None]:
+        young, old = self.young, self.old
+        out = list(map(young.get, keys))
+        if old:
+            for i, x in enumerate(out):
+                if x is None and (y := old.get(keys[i])) is not None:
+                    out[i] = young[keys[i]] = y
+        return out
+
+
 class Coder:
-    """Ids of texts, through a cache of at most ``limit`` units and pre-tokens."""
+    """Ids of texts, through a bounded cache of units and pre-tokens."""
 
-    def __init__(self, path: str, limit: int = 500_000) -> None:
-        self.vocabulary, self.limit, self.cache = Vocabulary(path), limit, {}
+    def __init__(self, path: str, limit: int = 800_000) -> None:
+        self.vocabulary, self.cache = Vocabulary(path), Cache(limit)
         self.type = "H" if self.vocabulary.dtype.itemsize == 2 else "I"
 
     def coded(self, units: list[str]) -> list[bytes]:
         """Each unit's ids as little-endian integers of the vocabulary's width."""
-        if len(self.cache) > self.limit:
-            self.cache.clear()
-        cache, v = self.cache, self.vocabulary
-        out = list(map(cache.get, units))
+        self.cache.turn()
+        young, v = self.cache.young, self.vocabulary
+        out = self.cache.found(units)
         if missing := [i for i, c in enumerate(out) if c is None]:
             parts = [v.split(units[i]) for i in missing]
-            new = list({p for ps in parts for p in ps if p not in cache})
+            pieces = list({p for ps in parts for p in ps})
+            new = [p for p, c in zip(pieces, self.cache.found(pieces), strict=True) if c is None]
             for k in range(0, len(new), 20_000):
                 for p, ids in zip(some := new[k : k + 20_000], v.encode(some), strict=True):
-                    cache[p] = array(self.type, ids).tobytes()
+                    young[p] = array(self.type, ids).tobytes()
             for i, ps in zip(missing, parts, strict=True):
-                cache[units[i]] = out[i] = cache[ps[0]] if len(ps) == 1 else b"".join([cache[p] for p in ps])
+                young[units[i]] = out[i] = young[ps[0]] if len(ps) == 1 else b"".join([young[p] for p in ps])
         return out
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -146,3 +212,14 @@ class Coder:
                 parts[i] = np.array(ids, dtype)
             flat, ends = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
         return flat, ends
+
+
+@lru_cache(maxsize=2)
+def coder(path: str) -> Coder:
+    """This worker's coder of a vocabulary; Spark's Python workers live on from task to task, and so does its cache."""
+    return Coder(path)
+
+
+@lru_cache(maxsize=2)
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)

@@ -1,16 +1,17 @@
 """Operator 1, token counts: pieces are counted once per distinct pre-token, joined to the per-document
 frequencies of pre-tokens, and summed; ids of documents are never made.
 
-One (document, pre-token) row each would be several times the input, so frequencies are pre-aggregated:
-a *block* is a slice of a partition (some 24 MB of text). It sends each of its distinct pre-tokens once
-(block, number, pre-token) to the join, and its documents' frequencies as one packed row. Sorted by pre-token,
-each partition of the exchange counts every pre-token once; counts and packed frequencies meet by block.
-No document and no pre-token gathers more rows in a task than there are blocks.
+One (document, pre-token) row each would be several times the input, so both sides of the join travel
+pre-aggregated. A *block* is a slice of a partition (some 8 MB of text). It sends its distinct pre-tokens, one
+packed row for each class of their hashes, and its documents' frequencies as one packed row. The rows of a
+class meet in one task, which counts each of its pre-tokens once and answers every block with packed counts;
+counts and frequencies meet by block. No document and no pre-token gathers more than a value for each block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -19,45 +20,58 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .pieces import Vocabulary
+from .pieces import Vocabulary, vocabulary
 from .shared import documents, filled, partitions, sliced
 
-#: Text bytes of a block; larger ones send fewer rows, smaller ones need less memory.
-BLOCK_BYTES = 24 << 20
-
-
-def _block(batch: pa.RecordBatch, v: Vocabulary) -> tuple[int, list[str], tuple[pa.RecordBatch, pa.RecordBatch]]:
-    """(block id, distinct pre-tokens, (a row per document: id, n_bytes, special strings, numbers and frequencies of its units; a row per unit: its pre-tokens' numbers))."""
+def _block(batch: pa.RecordBatch, v: Vocabulary, n_classes: int) -> tuple[int, list[list[str]], tuple[pa.RecordBatch, pa.RecordBatch]]:
+    """(block id, distinct pre-tokens by class, (a row per document: id, n_bytes, special strings, numbers and frequencies of its units; a row per unit: its pre-tokens' numbers)). Pre-tokens are numbered class by class."""
     texts = filled(batch.column(1))
     code, ends, units, slow = v.units(texts)
     n_special = np.zeros(len(texts), np.int64)
-    extra, extra_doc = [], []
-    for i in slow.tolist():
-        pre, n_special[i] = v.pretokens(texts[i].as_py())
-        extra += pre
-        extra_doc += [i] * len(pre)
+    doc = np.repeat(np.arange(len(texts)), np.diff(ends))
     seen: dict[str, int] = {}
     parts = [[seen.setdefault(p, len(seen)) for p in v.split(u)] for u in units]
-    doc = np.repeat(np.arange(len(texts)), np.diff(ends))
-    if extra:  # a pre-token of an uncut text is a unit of its own
+    if len(slow):  # a pre-token of an uncut text is a unit of its own
         own: dict[str, int] = {}
-        code = np.concatenate((code, [own.setdefault(p, len(units) + len(own)) for p in extra]))
-        doc = np.concatenate((doc, extra_doc))
+        extra, extra_doc = [], []
+        for i in slow.tolist():
+            pre, n_special[i] = v.pretokens(texts[i].as_py())
+            extra += [own.setdefault(p, len(units) + len(own)) for p in pre]
+            extra_doc += [i] * len(pre)
+        code, doc = np.concatenate((code, np.array(extra, np.int64))), np.concatenate((doc, np.array(extra_doc, np.int64)))
         parts += [[seen.setdefault(p, len(seen))] for p in own]
+    words = list(seen)
+    of_class = np.array([crc32(w.encode()) % n_classes for w in words], np.int64)
+    order = np.argsort(of_class, kind="stable")
+    number = np.empty(len(words), np.int32)
+    number[order] = np.arange(len(words))
+    upto = np.searchsorted(of_class[order], np.arange(n_classes + 1))
+    classes = [[words[i] for i in order[a:b].tolist()] for a, b in zip(upto, upto[1:], strict=False)]
     key, n = np.unique(doc * max(1, len(parts)) + code, return_counts=True)
     doc, code = np.divmod(key, max(1, len(parts)))
     upto = np.searchsorted(doc, np.arange(len(texts) + 1))
-    lists = lambda ends, values, kind: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
-    out = pa.record_batch({
-        "id": batch.column(0), "n_bytes": pc.binary_length(texts).cast(pa.int64()), "special": pa.array(n_special),
-        "unit": lists(upto, code, pa.int32()), "n": lists(upto, n, pa.int32()),
-    })
+    lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
+    rows = pa.record_batch({"id": batch.column(0), "n_bytes": pc.binary_length(texts).cast(pa.int64()), "special": pa.array(n_special), "unit": lists(upto, code), "n": lists(upto, n)})
     part_ends = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
-    units_of = pa.record_batch({"parts": lists(part_ends, np.array([x for p in parts for x in p], np.int32), pa.int32())})
+    of_units = pa.record_batch({"parts": lists(part_ends, number[[x for p in parts for x in p]] if len(words) else [])})
     digest = xxhash.xxh3_64()
     for a in (batch.column(0), texts):
         digest.update(_bytes(a))
-    return digest.intdigest() - (1 << 63), list(seen), (out, units_of)
+    return digest.intdigest() - (1 << 63), classes, (rows, of_units)
+
+
+def _squeezed(words: list[str]) -> tuple[int, bytes]:
+    """(size before compression, the words compressed)."""
+    coded = [w.encode() for w in words]
+    raw = np.array([len(words), *map(len, coded)], "<u4").tobytes() + b"".join(coded)
+    return len(raw), pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _words(size: int, data: bytes) -> list[str]:
+    raw = pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    ends = np.cumsum(np.frombuffer(raw, "<u4", n, 4)) + 4 + 4 * n
+    return [raw[a:b].decode() for a, b in zip([4 + 4 * n, *ends[:-1].tolist()], ends.tolist(), strict=False)]
 
 
 def _bytes(column: pa.Array) -> bytes:
@@ -92,39 +106,40 @@ def token_counts(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_
     pairs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = pairs.schema["id"].dataType.simpleString()
 
+    n = partitions(docs.sparkSession)
+    n_classes = 2 * n
+
     def vocabulary_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(vocab_path)
-        for batch in sliced(batches, most=BLOCK_BYTES):
-            block, words, _ = _block(batch, v)
-            for k in range(0, len(words), 50_000):
-                some = words[k : k + 50_000]
-                yield pa.record_batch({"block": pa.array([block] * len(some), pa.int64()), "number": pa.array(np.arange(k, k + len(some), dtype=np.int32)), "piece": pa.array(some, pa.string())})
+        v = vocabulary(vocab_path)
+        for batch in sliced(batches):
+            block, classes, _ = _block(batch, v, n_classes)
+            packed = [_squeezed(words) for words in classes]
+            yield pa.record_batch({"block": pa.array([block] * n_classes, pa.int64()), "class": pa.array(range(n_classes), pa.int32()), "size": pa.array([k for k, _ in packed], pa.int32()), "words": pa.array([x for _, x in packed], pa.binary())})
 
     def count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, last, count = Vocabulary(vocab_path), None, 0
+        v, counts = vocabulary(vocab_path), {}  # of the distinct pre-tokens of this task's classes
         for batch in batches:
-            code = batch.column(2).dictionary_encode()
-            words = code.dictionary.to_pylist()
-            counts = np.array([len(ids) for ids in v.encode(words[1:] if words and words[0] == last else words)], np.int32)
-            if words and words[0] == last:  # the run of a pre-token goes on from the batch before
-                counts = np.concatenate(([count], counts)).astype(np.int32)
-            if words:
-                last, count = words[-1], counts[-1]
-            yield pa.record_batch({"block": batch.column(0), "number": batch.column(1), "n": pa.array(counts[code.indices.to_numpy()])})
+            out = []
+            for size, data in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                words = _words(size, data)
+                new = [w for w in words if w not in counts]
+                counts.update(zip(new, map(len, v.encode(new)), strict=True))
+                out.append(np.array([counts[w] for w in words], "<u4").tobytes())
+            yield pa.record_batch({"block": batch.column(0), "class": batch.column(1), "n": pa.array([pa.compress(x, codec="zstd", asbytes=True) for x in out], pa.binary()), "size": pa.array([len(x) for x in out], pa.int32())})
 
     def frequency_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(vocab_path)
-        for batch in sliced(batches, most=BLOCK_BYTES):
-            block, words, rows = _block(batch, v)
-            rows, units = _packed(rows)
-            yield pa.record_batch({"block": pa.array([block], pa.int64()), "n_pieces": pa.array([len(words)], pa.int32()), "docs": pa.array([rows], pa.binary()), "units": pa.array([units], pa.binary())})
+        v = vocabulary(vocab_path)
+        for batch in sliced(batches):
+            block, classes, both = _block(batch, v, n_classes)
+            rows, units = _packed(both)
+            yield pa.record_batch({"block": pa.array([block], pa.int64()), "n_pieces": pa.array([sum(map(len, classes))], pa.int32()), "docs": pa.array([rows], pa.binary()), "units": pa.array([units], pa.binary())})
 
     def sums(counts: pa.Table, packed: pa.Table) -> pa.Table:
+        answered = {k: np.frombuffer(pa.decompress(x, decompressed_size=size, codec="zstd", asbytes=True), "<u4") for k, x, size in zip(*(counts.column(c).to_pylist() for c in ("class", "n", "size")), strict=True)}
+        got = np.concatenate([answered[k] for k in sorted(answered)]).astype(np.int64) if answered else np.zeros(0, np.int64)
         out = []
         for n_pieces, rows, units in zip(*(packed.column(c).to_pylist() for c in ("n_pieces", "docs", "units")), strict=True):
-            got = np.full(n_pieces, -1, np.int64)
-            got[counts.column("number").to_numpy()] = counts.column("n").to_numpy()
-            if (got < 0).any():
+            if len(got) != n_pieces:
                 raise RuntimeError("the input changed between two scans; write it to a table first")
             rows, parts = _unpacked(rows), _unpacked(units).column("parts")
             of_unit = _sums(got[parts.values.to_numpy()], parts.offsets.to_numpy())
@@ -133,12 +148,7 @@ def token_counts(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_
             out.append(pa.table({"id": rows.column("id"), "n_bytes": rows.column("n_bytes"), "n_tokens": pa.array(total, pa.int64())}))
         return pa.concat_tables(out) if out else pa.table({"id": pa.array([], packed_type(id_type)), "n_bytes": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64())})
 
-    n = partitions(docs.sparkSession)
-    counts = (
-        pairs.mapInArrow(vocabulary_rows, "block long, number int, piece string")
-        .repartition(n, "piece").sortWithinPartitions("piece")
-        .mapInArrow(count_rows, "block long, number int, n int")
-    )
+    counts = pairs.mapInArrow(vocabulary_rows, "block long, class int, size int, words binary").repartition(n, "class").mapInArrow(count_rows, "block long, class int, n binary, size int")
     packed = pairs.mapInArrow(frequency_rows, "block long, n_pieces int, docs binary, units binary")
     return counts.groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(sums, f"id {id_type}, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)
 

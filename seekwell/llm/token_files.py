@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from .pieces import Coder
+from .pieces import coder
 from .shared import documents, filled, mounted, partitions, shared_dir, sliced
 
 
@@ -37,12 +37,12 @@ def write_token_files(docs: DataFrame, vocab_path: str, folder: str, end_id: int
     os.makedirs(folder, exist_ok=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, name = Coder(vocab_path), f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
-        dtype = coder.vocabulary.dtype
+        codes, name = coder(vocab_path), f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
+        dtype = codes.vocabulary.dtype
         offsets, ids, total = [np.zeros(1, np.int64)], [], 0
         with open(f"{folder}/{name}.ids", "wb") as out:
             for batch in sliced(batches):
-                flat, ends = coder.ids(filled(batch.column(1)))
+                flat, ends = codes.ids(filled(batch.column(1)))
                 if end_id is not None:
                     at = ends[1:]
                     flat = np.insert(flat, at, end_id)
