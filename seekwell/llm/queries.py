@@ -7,7 +7,12 @@ from importlib import import_module
 #: query name -> module of this subpackage that defines it
 MODULES = {
     "op1_token_counts": "token_counts",
+    "op2_quality_classifier": "quality_classifier",
     "op3_token_files": "token_files",
+    "op6_quality_rules": "quality_rules",
+    "op7_simhash": "simhash",
+    "op9_mixing": "mixing",
+    "op10_line_dedup": "line_dedup",
 }
 
 
