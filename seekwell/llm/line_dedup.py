@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import cut, documents, filled, mounted, partitions, shared_dir, sliced
 
@@ -217,7 +218,7 @@ def drop_lines(docs: DataFrame, folder: str, n_shards: int, min_chars: int = MIN
             yield pa.RecordBatch.from_arrays([batch.column(0), texts, *batch.columns[2:], pa.array(np.diff(ends)), pa.array(dropped.astype(np.int64))], names=[id_col, text_col, *rest, "n_lines", "n_dropped"])
 
     picked = docs.select(id_col, text_col, *rest)
-    schema = picked.schema.add("n_lines", "long").add("n_dropped", "long")
+    schema = T.StructType([*picked.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     return picked.mapInArrow(probe, schema)
 
 

@@ -9,6 +9,7 @@ MODULES = {
     "op1_token_counts": "token_counts",
     "op2_quality_classifier": "quality_classifier",
     "op3_token_files": "token_files",
+    "op4_packing": "packing",
     "op6_quality_rules": "quality_rules",
     "op7_simhash": "simhash",
     "op9_mixing": "mixing",
