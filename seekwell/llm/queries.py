@@ -10,8 +10,10 @@ MODULES = {
     "op2_quality_classifier": "quality_classifier",
     "op3_token_files": "token_files",
     "op4_packing": "packing",
+    "op5_secrets": "secrets",
     "op6_quality_rules": "quality_rules",
     "op7_simhash": "simhash",
+    "op8_media": "media",
     "op9_mixing": "mixing",
     "op10_line_dedup": "line_dedup",
 }
