@@ -59,15 +59,16 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int
 
 
 def mix(docs: DataFrame, keep: Sequence[str] = (), weights: Sequence[int] = WEIGHTS, most: int = MOST, schedules: dict = SCHEDULES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per row of ``docs``: the columns ``keep``, then mix_id, mix_size (words), mix_total (of the source), mix_target, mix_copies and
+    """One row per row of ``docs``: mix_row (a struct of the columns ``keep``, if any), mix_id, mix_size (words), mix_total (of the source), mix_target, mix_copies and
     mix_positions (a training position for each copy, ascending).
 
     Null texts have size 0; a null source is a source of its own, the last; null ids share one place in the order.
     Rows of one id follow by size; wholly equal rows are interchangeable, and all are kept. A source of size 0 keeps
-    its documents once. An empty table gives an empty result. Columns called mix_* would be replaced.
+    its documents once. An empty table gives an empty result. Names of other columns can't clash.
     """
     digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rows = docs.select(*keep, F.col(id_col).alias("mix_id"), F.col(source_col).alias("mix_source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("mix_size"), digest.alias("mix_hash"))
+    row = [F.struct(*keep).alias("mix_row")] if keep else []
+    rows = docs.select(*row, F.col(id_col).alias("mix_id"), F.col(source_col).alias("mix_source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("mix_size"), digest.alias("mix_hash"))
     digits, n = 1, docs.count()
     while n > BUCKET_ROWS * 16**digits:
         digits += 1
@@ -86,7 +87,7 @@ def mix(docs: DataFrame, keep: Sequence[str] = (), weights: Sequence[int] = WEIG
     share = lambda e: F.when(F.col("mix_target") > 0, (F.col("middle") + e * F.col("mix_total")) / F.col("mix_target")).otherwise(F.lit(0.5))
     place = lambda e: _by_weight(share(e), schedules)
     positions = F.when(F.col("mix_copies") > 0, F.transform(F.sequence(F.lit(0), F.col("mix_copies") - 1), place)).otherwise(F.array().cast("array<double>"))
-    return out.withColumn("mix_positions", positions).select(*keep, "mix_id", "mix_size", "mix_total", "mix_target", "mix_copies", "mix_positions")
+    return out.withColumn("mix_positions", positions).select(*(["mix_row"] if keep else []), "mix_id", "mix_size", "mix_total", "mix_target", "mix_copies", "mix_positions")
 
 
 def _by_weight(u: Column, schedules: dict) -> Column:
@@ -97,10 +98,10 @@ def _by_weight(u: Column, schedules: dict) -> Column:
     return out.otherwise(F.least(u, F.lit(1.0)))
 
 
-def training_order(mixed: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """A row per copy: the columns ``keep`` and mix_position, range-sorted by training position (ties by id)."""
-    copies = mixed.select(*keep, "mix_id", F.explode("mix_positions").alias("mix_position"))
-    return copies.repartitionByRange(partitions(mixed.sparkSession), "mix_position", "mix_id").sortWithinPartitions("mix_position", "mix_id").select(*keep, "mix_position")
+def training_order(mixed: DataFrame) -> DataFrame:
+    """A row per copy: the columns kept by ``mix`` (at least one), range-sorted by training position (ties by id)."""
+    copies = mixed.select("mix_row", "mix_id", F.explode("mix_positions").alias("mix_position"))
+    return copies.repartitionByRange(partitions(mixed.sparkSession), "mix_position", "mix_id").sortWithinPartitions("mix_position", "mix_id").select("mix_row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

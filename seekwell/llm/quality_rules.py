@@ -172,9 +172,10 @@ def quality_rules(docs: DataFrame, model_path: str, id_col: str = "doc_id", lang
 
 def kept_rows(docs: DataFrame, model_path: str, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns; texts are measured twice instead of shuffled."""
-    limits = cut(bands(measured(docs, model_path, [lang_col], text_col).withColumnRenamed(lang_col, "band_group")), "bands")
-    rows = judged(measured(docs.withColumn("seekwell_lang", F.col(lang_col)), model_path, ["seekwell_lang", *docs.columns], text_col), limits, "seekwell_lang")
-    return rows.where("kept").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("seekwell_row"), F.col(lang_col).alias("band_group"), F.col(text_col).alias("text"))  # one struct: no name can clash
+    limits = cut(bands(measured(rows, model_path, ["band_group"])), "bands")
+    found = measured(rows.withColumnRenamed("band_group", "lang"), model_path, ["seekwell_row", "lang"])
+    return judged(found, limits, "lang").where("kept").select("seekwell_row.*")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

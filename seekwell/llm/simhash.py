@@ -18,7 +18,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -222,13 +222,11 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, id_col:
     found = near_duplicates(docs, radius, words, id_col, text_col)
     # A group without ids is named by null; its rows are told apart by nothing else, so its fingerprint names it.
     group = F.struct(F.col("component"), F.when(F.col("component").isNull(), F.col("fp")))
-    first = found.groupBy(group.alias("group")).agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("k_id"), F.col("text_hash").alias("k_hash"))).alias("first")).select("first.k_id", "first.k_hash")
+    first = found.groupBy(group.alias("group")).agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("seekwell_id"), F.col("text_hash").alias("seekwell_hash"))).alias("first")).select("first.seekwell_id", "first.seekwell_hash")
     first = cut(first.distinct(), "survivors")
     columns = docs.columns
-    met = docs.join(first, docs[id_col].cast("long").eqNullSafe(F.col("k_id")) & (F.xxhash64(docs[text_col]) == F.col("k_hash")))
-    from pyspark.sql import Window
-
-    nth = F.row_number().over(Window.partitionBy("k_id", "k_hash").orderBy("k_hash"))
+    met = docs.join(first, docs[id_col].cast("long").eqNullSafe(F.col("seekwell_id")) & (F.xxhash64(docs[text_col]) == F.col("seekwell_hash")))
+    nth = F.row_number().over(Window.partitionBy("seekwell_id", "seekwell_hash").orderBy("seekwell_hash"))
     return met.withColumn("seekwell_nth", nth).where("seekwell_nth = 1").select(*columns)
 
 
