@@ -33,7 +33,7 @@ def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: each document as often as the mix takes it, in training order."""
-    return mixing.training_order(mixing.mix(docs, docs.columns), docs.columns).select(*docs.columns)
+    return mixing.training_order(mixing.mix(docs, docs.columns))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
