@@ -10,7 +10,7 @@ outside any band is rejected. The bands are wide: they reject texts unlike nearl
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 
 from .shared import cut, documents, filled, sliced
 
+#: Text bytes measured at a time; a token takes some 200 bytes of a worker's memory meanwhile.
+QUALITY_BYTES = 3 << 20
 #: Production parameters: the least words, percent of words in repeated windows, model.
 MIN_WORDS, MAX_REPEAT_PERCENT, MODEL = 50, 50, "piece_bpe_32k.model"
 #: measure: (width of a bin, deviations below and above the median, least deviation)
@@ -31,7 +33,7 @@ MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_r
 class WordPieces:
     """Ids of single words by a sentencepiece model, through a cache of at most ``limit`` words."""
 
-    def __init__(self, path: str, limit: int = 300_000) -> None:
+    def __init__(self, path: str, limit: int = 200_000) -> None:
         import sentencepiece
 
         self.model, self.limit, self.cache = sentencepiece.SentencePieceProcessor(model_file=path), limit, {}
@@ -48,6 +50,12 @@ class WordPieces:
         return out
 
 
+@lru_cache(maxsize=1)
+def word_pieces(path: str) -> WordPieces:
+    """This worker's, kept from task to task."""
+    return WordPieces(path)
+
+
 def _pairs(doc: np.ndarray, code: np.ndarray, n_codes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (doc, code) with their counts."""
     key, n = np.unique(doc * max(1, n_codes) + code, return_counts=True)
@@ -124,8 +132,8 @@ def measured(docs: DataFrame, model_path: str, keep: Sequence[str], text_col: st
     kinds = T._parse_datatype_string(MEASURES)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = WordPieces(model_path)
-        for batch in sliced(batches):
+        pieces = word_pieces(model_path)
+        for batch in sliced(batches, most=QUALITY_BYTES):
             found = measure(filled(batch.column(1)), pieces)
             arrays = [pa.array(found[f.name].astype(np.float64 if f.dataType == T.DoubleType() else np.int64)) for f in kinds]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.StructArray.from_arrays(arrays, names=kinds.fieldNames())], names=["kept_columns", "quality"])

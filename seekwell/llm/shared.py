@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -12,6 +13,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library
+    _LIBC = None
+
 #: Bytes of text that one vectorised step handles at a time; bounds a Python worker's memory.
 SLICE_BYTES = 8 << 20
 
@@ -53,6 +59,13 @@ def filled(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.fill_null(column, "")
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, so that a worker's size follows what it holds."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC:
+        _LIBC.malloc_trim(0)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in order, in batches of about ``most`` text bytes (one longer text is a batch of its own)."""
     for batch in batches:
@@ -61,17 +74,12 @@ def sliced(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = SLICE_B
         for i, n in enumerate(sizes):
             if size and size + n > most:
                 yield batch.slice(begin, i - begin)
+                give_back()
                 begin, size = i, 0
             size += int(n)
         if begin < batch.num_rows:
             yield batch.slice(begin)
-
-
-def whole_rows(batches: Iterator[pa.RecordBatch], most_rows: int = 50_000) -> Iterator[pa.RecordBatch]:
-    """Batches of at most ``most_rows`` rows."""
-    for batch in batches:
-        for k in range(0, batch.num_rows, most_rows):
-            yield batch.slice(k, most_rows)
+            give_back()
 
 
 def partitions(spark: SparkSession) -> int:

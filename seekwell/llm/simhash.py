@@ -201,8 +201,8 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", tree_nodes: int = TREE_NODES, mean: int = SHARD_MEAN) -> DataFrame:
-    """One row per row of ``docs``: id, fp (the fingerprint as a signed long), text_hash, component (the least id
-    reachable over links of at most ``radius`` differing bits).
+    """One row per row of ``docs``: id, fp (the fingerprint as a signed long), text_hash, root (the least fingerprint
+    reachable over links of at most ``radius`` differing bits, which tells components apart), component (the least id reachable).
 
     Null, empty and wordless texts have fingerprint 0 and link as any other. Null ids are never a component's name
     unless all its ids are null (then null). Repeated rows and ids keep a row each. An empty table gives an empty
@@ -213,16 +213,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, i
     roots = components(link_edges(distinct.select("fp"), radius, tree_nodes, mean))
     rooted = cut(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
     names = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    named = cut(rooted.join(names, "root").select("fp", "component"), "components")
+    named = cut(rooted.join(names, "root").select("fp", "root", "component"), "components")
     return rows.join(named, "fp")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near-duplicates, that of the least id (a null id last; of one id, the least text hash)."""
     found = near_duplicates(docs, radius, words, id_col, text_col)
-    # A group without ids is named by null; its rows are told apart by nothing else, so its fingerprint names it.
-    group = F.struct(F.col("component"), F.when(F.col("component").isNull(), F.col("fp")))
-    first = found.groupBy(group.alias("group")).agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("seekwell_id"), F.col("text_hash").alias("seekwell_hash"))).alias("first")).select("first.seekwell_id", "first.seekwell_hash")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("seekwell_id"), F.col("text_hash").alias("seekwell_hash"))).alias("first")).select("first.seekwell_id", "first.seekwell_hash")
     first = cut(first.distinct(), "survivors")
     columns = docs.columns
     met = docs.join(first, docs[id_col].cast("long").eqNullSafe(F.col("seekwell_id")) & (F.xxhash64(docs[text_col]) == F.col("seekwell_hash")))

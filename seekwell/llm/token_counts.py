@@ -92,7 +92,7 @@ def _packed(batches: tuple[pa.RecordBatch, ...]) -> list[bytes]:
 
 
 def _unpacked(data: bytes) -> pa.RecordBatch:
-    return pa.ipc.open_stream(data).read_all().combine_chunks().to_batches()[0]
+    return pa.ipc.open_stream(data).read_next_batch()
 
 
 def token_counts(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
