@@ -141,17 +141,17 @@ def search_files(spark: SparkSession, files: DataFrame, query: str, options: Opt
     above = evidence.select(F.explode(ancestors(F.col("path"))).alias("dir")).union(spark.createDataFrame([("",)], "dir string")).distinct()
     wanted = above.select(F.when(F.col("dir") == "", "AGENTS.md").otherwise(F.concat("dir", F.lit("/AGENTS.md"))).alias("path"))
     instructions = sorted(r["path"] for r in wanted.join(known, "path", "left_semi").collect())
-    pytest_files = sorted(r["path"] for r in pytest_paths(evidence, all_units).collect())
+    pytest_files = sorted(r["path"] for r in pytest_paths(evidence, all_units, files).collect())
     status = "interrupted" if "interrupted" in issues else "incomplete" if issues else "complete"
     return Result(root, query, status, evidence, instructions, pytest_files, issues, counts)
 
 
-def pytest_paths(evidence: DataFrame, all_units: DataFrame) -> DataFrame:
-    """Python files with a pytest import in an excerpt's lines or a test unit wholly inside an excerpt and such an import."""
+def pytest_paths(evidence: DataFrame, all_units: DataFrame, files: DataFrame) -> DataFrame:
+    """Python files with excerpts that import pytest and of which a test_ unit lies wholly inside an excerpt."""
     shown = evidence.where(F.col("path").endswith(".py")).select("path", F.explode("excerpts").alias("e")).select("path", "e.*")
-    imports = shown.where(F.col("source").rlike(r"(?m)^(import pytest|from pytest )")).select("path").distinct()
-    tests = ranges.contained(all_units.where(F.regexp_extract("name", r"([^.]+)$", 1).startswith("test_")), shown).select("path").distinct()
-    return tests.join(imports, "path", "left_semi")
+    imports = files.where(F.col("source").rlike(r"(?m)^(import pytest|from pytest )")).select("path")
+    tests = all_units.where(F.regexp_extract("name", r"([^.]+)$", 1).startswith("test_"))
+    return ranges.contained(tests, shown).select("path").distinct().join(imports, "path", "left_semi")
 
 
 def search(spark: SparkSession, root: str, query: str, options: Options | None = None) -> Result:
