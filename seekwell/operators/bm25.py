@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import TERM_CUTS, inflections, query_terms, variants
+from ..functions.text import CASE_CUTS, CASED, CHUNKS, inflections, query_terms, variant_count, variants
+from ..sources.cuts import cut
 
 #: BM25's saturation and length weight; the limits of the lexical filters.
 K1, B = 1.2, 0.75
@@ -21,7 +22,8 @@ JUDGE_ABOVE, MIN_LEXICAL = 0.02, 0.06
 
 def exploded_words(docs: DataFrame, id_cols: list[str], text_col: str) -> DataFrame:
     """(ids, word) for each word; a text without words keeps one row with a null word."""
-    found = docs.select(*id_cols, F.explode_outer(F.split(F.col(text_col), TERM_CUTS)).alias("word"))
+    pieces = docs.select(*id_cols, F.explode_outer(F.regexp_extract_all(F.col(text_col), F.lit(CHUNKS), 0)).alias("piece"))
+    found = pieces.select(*id_cols, F.explode_outer(F.when(F.col("piece").rlike(CASED), F.split("piece", CASE_CUTS)).otherwise(F.array("piece"))).alias("word"))
     return found.withColumn("word", F.when(F.length("word") >= 2, F.lower("word")))
 
 
@@ -51,9 +53,11 @@ def bm25(docs: DataFrame, query: str, id_col: str = "id", text_col: str = "text"
     wanted = sorted(query_terms(query).items())
     ids = [c for c in (partition, id_col) if c]
     word = F.col("word")
-    tf = [F.expr(f"sum(IF(word IN ({', '.join(map(repr, inflections(t)))}), 1, 0)) AS tf{i}") for i, (t, _) in enumerate(wanted)]
-    dl = F.sum(F.when(word.isNotNull(), F.size(variants("word"))).otherwise(0)).alias("dl")
-    per_doc = exploded_words(docs, ids, text_col).groupBy(*ids).agg(dl, *tf)
+    every = sorted({w for t, _ in wanted for w in inflections(t)})
+    tf = [F.expr(f"sum(IF(hit AND word IN ({', '.join(map(repr, inflections(t)))}), 1, 0)) AS tf{i}") for i, (t, _) in enumerate(wanted)]
+    dl = F.sum(F.when(word.isNotNull(), variant_count("word")).otherwise(0)).alias("dl")
+    marked = exploded_words(docs, ids, text_col).withColumn("hit", word.isin(every) if every else F.lit(False))  # one look-up for most words
+    per_doc = cut(marked.groupBy(*ids).agg(dl, *tf))  # a row of counts per document, used by the statistics and twice by the scores
     df = [F.expr(f"sum(IF(tf{i} > 0, 1, 0)) AS df{i}") for i in range(len(wanted))]
     stats = per_doc.groupBy(*([partition] if partition else [])).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"), *df)
     both = per_doc.join(stats, partition) if partition else per_doc.crossJoin(F.broadcast(stats))  # stats is one row

@@ -15,3 +15,9 @@ def cut(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", "") or f"file://{tempfile.gettempdir()}/seekwell-{os.getpid()}")
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer file splits than the cluster has cores is dealt over all of them; any larger one is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
