@@ -26,7 +26,7 @@ QUALITY_BYTES = 3 << 20
 #: Production parameters: the least words, percent of words in repeated windows, model.
 MIN_WORDS, MAX_REPEAT_PERCENT, MODEL = 50, 50, "piece_bpe_32k.model"
 #: measure: (width of a bin, deviations below and above the median, least deviation)
-BANDS = {"chars_per_token": (0.01, 8.0, 15.0, 0.04), "byte_share": (0.005, 10.0, 10.0, 0.03), "entropy": (0.005, 3.5, 6.0, 0.07)}
+BANDS = {"chars_per_token": (0.01, 6.0, 15.0, 0.04), "byte_share": (0.005, 10.0, 10.0, 0.03), "entropy": (0.005, 2.5, 6.0, 0.07)}
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double"
 
 
