@@ -75,13 +75,20 @@ def search_files(spark: SparkSession, files: DataFrame, query: str, options: Opt
                 issues[kind] = issues.get(kind, 0) + k
         return answers
 
+    def stage(name: str) -> None:
+        """What the cluster's job list shows."""
+        spark.sparkContext.setJobDescription(f"search: {name}")
+
+    stage("read and parse")
     files = cut(files.select("path", "source"))
     counts["inspected_files"] = files.count()
     found = cut(inspect_files(files))
     all_units, all_comments = units(found), comments(found)
+    stage("describe and rank")
     described = cut(descriptions(files, found))
     lexical = cut(bm25(described, query, "path", "description"))
 
+    stage("judge files")
     ask = F.struct(F.lit("relevant").alias("qid"), F.lit(file_question(query)).alias("instructions"))
     requests = before_judge(lexical).join(described, "path").select(F.col("path").alias("req_id"), state_header(F.lit(query), F.col("description")).alias("state"), F.array(ask).alias("questions"))
     sem = judged(requests).select(F.col("req_id").alias("path"), F.col("answers")["relevant"].alias("sem"))
@@ -93,6 +100,7 @@ def search_files(spark: SparkSession, files: DataFrame, query: str, options: Opt
     chosen = cut(ranking.top(blended))
     strong, weak = chosen.where(ranking.is_strong(F.col("score"))), chosen.where(~ranking.is_strong(F.col("score")))
 
+    stage("select units")
     # Units of the strong candidates: ranked inside their file, packed in pairs, judged.
     of_strong = cut(all_units.join(strong.select("path"), "path", "left_semi"))
     unit_text = cut(describe.unit_descriptions(of_strong, files.join(strong.select("path"), "path", "left_semi")))
@@ -122,6 +130,7 @@ def search_files(spark: SparkSession, files: DataFrame, query: str, options: Opt
     call = describe.call_leads(of_strong, files.join(strong.select("path"), "path", "left_semi"), picked)
     calls = call.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("caller", "name", "start_line", "end_line"))).alias("call_leads"))
 
+    stage("assess roles")
     roles_for = chosen.join(excerpts.select("path"), "path", "left_semi").orderBy(F.desc("score"), "path").limit(ranking.MAX_ROLE_FILES)
     requests = roles_for.join(described, "path").select(F.col("path").alias("req_id"), state_header(F.lit(query), clamp_bytes(F.col("description"), ROLE_BYTES)).alias("state"), _questions(role_questions(query)).alias("questions"))
     roles = judged(requests).select(F.col("req_id").alias("path"), ranking.role_labels({r: F.col("answers")[r] for r in ranking.ROLES}).alias("roles"))
@@ -137,11 +146,13 @@ def search_files(spark: SparkSession, files: DataFrame, query: str, options: Opt
     )
     evidence = cut(evidence)
 
+    stage("context")
     known = on_disk if on_disk is not None else files.select("path")
     above = evidence.select(F.explode(ancestors(F.col("path"))).alias("dir")).union(spark.createDataFrame([("",)], "dir string")).distinct()
     wanted = above.select(F.when(F.col("dir") == "", "AGENTS.md").otherwise(F.concat("dir", F.lit("/AGENTS.md"))).alias("path"))
     instructions = sorted(r["path"] for r in wanted.join(known, "path", "left_semi").collect())
     pytest_files = sorted(r["path"] for r in pytest_paths(evidence, all_units, files).collect())
+    spark.sparkContext.setJobDescription(None)
     status = "interrupted" if "interrupted" in issues else "incomplete" if issues else "complete"
     return Result(root, query, status, evidence, instructions, pytest_files, issues, counts)
 
