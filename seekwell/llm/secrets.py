@@ -1,18 +1,23 @@
 """Operator 5, secret scans: fixed patterns, and automata inferred from labelled credentials.
 
 Labelled credentials of each kind give a prefix tree; ALERGIA merges its states whose symbol and end frequencies are
-compatible by the Hoeffding bound, folding their subtrees together, into a probabilistic automaton. A candidate, a
-run of the characters that credentials are made of, is scored by the mean log-likelihood of its symbols under each
-automaton against that under the frequencies of an ordinary word's symbols. It's a secret of the best kind if that
-automaton accepts it with a score over the kind's limit, the least score of its labelled credentials less a margin.
-Symbols: a string's first four characters as they are, then classes (upper, lower, digit, others as they are).
+compatible by the Hoeffding bound, folding their subtrees together, into a probabilistic automaton. Candidates are
+the runs of the characters that credentials are made of, and all their parts between separators (= / + and dots; a
+colon ends a run). Each is scored by the mean log-likelihood of its symbols under each automaton against that under
+the frequencies of an ordinary word's symbols. It's a secret of the best kind if that automaton accepts it with a
+score over the kind's limit, the least score of its labelled credentials less a margin; of candidates that overlap,
+the longest counts.
+Symbols: a string's first four characters as they are, then classes (upper, lower, digit, others as they are) with the
+number of dots before, and an end with the number of all dots, so that merged states don't lose count of the parts.
 """
 
 from __future__ import annotations
 
+import json
 import random
 import re
 import string
+from base64 import urlsafe_b64encode
 from collections import defaultdict
 from collections.abc import Iterator
 from math import inf, log, sqrt
@@ -29,12 +34,15 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of [0-9a-f]+ that are long enough
 ASSIGN_CHARS, ACCESS_CHARS = 6, 20
+#: Candidates: whole runs, and what stands in them between two of their ends and separators.
+LEAST = 20
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=.-]{{{LEAST},}}")
+SEPARATORS = re.compile(r"[=/+.]")
 #: RE2: texts without a match have no span.
-_MAYBE = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|[A-Za-z0-9+/_=-]{20}"
-#: Candidates: whole runs, whose pieces between dots are candidates too.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=-][A-Za-z0-9+/_=.-]{19,}")
+_MAYBE = rf"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{{16}}|[0-9a-f]{{24}}|{CANDIDATE.pattern}"
 
 _UPPER, _LOWER, _DIGIT = string.ascii_uppercase, string.ascii_lowercase, string.digits
+_CLASSES = dict.fromkeys(_UPPER, "A") | dict.fromkeys(_LOWER, "a") | dict.fromkeys(_DIGIT, "9")
 #: Public formats of credentials, as (prefixes, characters of the rest, least and most of them).
 FORMATS = {
     "github": (("ghp_", "gho_", "ghs_", "ghu_"), _UPPER + _LOWER + _DIGIT, 36, 36),
@@ -42,19 +50,56 @@ FORMATS = {
     "npm": (("npm_",), _UPPER + _LOWER + _DIGIT, 36, 36),
     "slack": (("xoxb-", "xoxp-"), _DIGIT + "-" + _UPPER + _LOWER, 40, 60),
     "stripe": (("sk_live_", "rk_live_", "sk_test_"), _UPPER + _LOWER + _DIGIT, 24, 34),
-    "jwt": (("eyJhbGciOiJIUzI1NiJ9.eyJ", "eyJhbGciOiJSUzI1NiJ9.eyJ"), _UPPER + _LOWER + _DIGIT + "_-", 60, 120),
 }
+#: Bytes of a signature by the algorithm that a JWT's header names.
+JWT_ALGORITHMS = {"HS256": 32, "HS384": 48, "HS512": 64, "RS256": 256, "RS384": 256, "RS512": 256, "PS256": 256, "ES256": 64, "ES384": 96, "ES512": 132, "EdDSA": 64}
+
+
+def _base64url(data: bytes) -> str:
+    return urlsafe_b64encode(data).rstrip(b"=").decode()
+
+
+def _jwt(rng: random.Random) -> str:
+    """An invented JWT, header.payload.signature, with some of the usual fields in any order."""
+    word = lambda: "".join(rng.choices(_LOWER, k=rng.randint(3, 10)))
+    time = lambda: rng.randint(1_400_000_000, 1_900_000_000)
+    part = lambda fields: _base64url(json.dumps(fields, separators=(",", ":")).encode())
+    alg = rng.choice(list(JWT_ALGORITHMS))
+    header = [("alg", alg)]
+    if rng.random() < 0.8:
+        header.append(("typ", rng.choice(("JWT", "JWT", "JWT", "at+jwt", "jwt"))))
+    if rng.random() < 0.5:
+        header.append(("kid", rng.choice((rng.randbytes(rng.randint(2, 20)).hex(), _base64url(rng.randbytes(rng.randint(6, 32))), f"{word()}-{rng.randint(1, 9999)}", word()))))
+    for name, value in (("cty", word()), ("x5t", _base64url(rng.randbytes(20))), ("jku", f"https://{word()}.com/{word()}")):
+        if rng.random() < 0.15:
+            header.append((name, value))
+    rng.shuffle(header)
+    claims = {
+        "sub": str(rng.randint(1, 10**10)), "name": f"{word().title()} {word().title()}", "iat": time(), "exp": time(), "iss": f"https://{word()}.com/", "aud": word(),
+        "scope": " ".join(word() for _ in range(rng.randint(1, 4))), "admin": rng.random() < 0.5, "jti": rng.randbytes(16).hex(),
+    }
+    payload = {k: claims[k] for k in rng.sample(list(claims), rng.randint(1, len(claims)))}
+    return f"{part(dict(header))}.{part(payload)}.{_base64url(rng.randbytes(JWT_ALGORITHMS[alg]))}"
 
 
 def labelled_credentials(seed: int = 7, n: int = 300) -> dict[str, list[str]]:
-    """Invented credentials of each public format, the labelled examples used where a caller has none of their own."""
+    """Invented credentials of each public format, the labelled examples used where a caller has none of their own; of JWTs, which vary most, four times ``n``."""
     rng = random.Random(seed)
-    return {kind: [rng.choice(prefixes) + "".join(rng.choices(chars, k=rng.randint(least, most))) for _ in range(n)] for kind, (prefixes, chars, least, most) in FORMATS.items()}
+    out = {kind: [rng.choice(prefixes) + "".join(rng.choices(chars, k=rng.randint(least, most))) for _ in range(n)] for kind, (prefixes, chars, least, most) in FORMATS.items()}
+    return out | {"jwt": [_jwt(rng) for _ in range(4 * n)]}
 
 
 def symbols(s: str) -> list[str]:
     """A string's symbols."""
-    return [c if i < 4 else "A" if c in _UPPER else "a" if c in _LOWER else "9" if c in _DIGIT else c for i, c in enumerate(s)]
+    out, dots = [], 0
+    for i, c in enumerate(s):
+        out.append(_symbol(i, c, dots))
+        dots += c == "."
+    return [*out, f"$:{dots}"]
+
+
+def _symbol(i: int, c: str, dots: int) -> str:
+    return f"^{c}" if i < 4 else f"{_CLASSES.get(c, c)}:{dots}"
 
 
 class Automaton:
@@ -172,13 +217,37 @@ class Formats:
     def ratio(a: Automaton, s: str) -> float:
         """Log-likelihood a symbol under the automaton over that under ordinary words."""
         word = symbols(s)
-        tail = ["A" if c in _UPPER else "a" if c in _LOWER else "9" if c in _DIGIT else c for c in s]
-        return a.score(word) - sum(_ORDINARY[c] for c in tail) / len(tail)
+        return a.score(word) - sum(_ORDINARY[_CLASSES.get(c, c)] for c in s) / len(s)
 
     def best(self, s: str) -> tuple[str, float] | None:
         found = [(x - limit, kind) for kind, (a, limit) in self.kinds.items() if (x := self.ratio(a, s)) > limit]
         return max(found)[::-1] if found else None
 
+    def accepted(self, run: str) -> Iterator[tuple[int, int, float, str]]:
+        """(start, end, score over the limit, kind) of all candidates in a run that a format accepts, each scored as ``best`` does. An
+        automaton walks on from each start and is asked at each end that it comes to, so most walks end after a symbol or two."""
+        cuts = [m.start() for m in SEPARATORS.finditer(run)]
+        starts = {0, len(run) - len(run.lstrip(".=-")), *(i + 1 for i in cuts)}
+        ends = {len(run), len(run.rstrip(".=-")), *cuts}
+        for start in sorted(starts):
+            if len(run) - start < LEAST:
+                break
+            for kind, (a, limit) in self.kinds.items():
+                q, total, ordinary, dots = 0, 0.0, 0.0, 0
+                for i in range(start, len(run)):
+                    c = run[i]
+                    s = _symbol(i - start, c, dots)
+                    if s not in a.moves[q]:
+                        break
+                    total += log(a.counts[q][s] / a.total(q))
+                    ordinary += _ORDINARY[_CLASSES.get(c, c)]
+                    dots += c == "."
+                    q, n = a.moves[q][s], i + 1 - start
+                    if i + 1 in ends and n >= LEAST and (z := f"$:{dots}") in a.moves[q] and a.ends[last := a.moves[q][z]]:
+                        over = (total + log(a.counts[q][z] / a.total(q)) + log(a.ends[last] / a.total(last))) / (n + 2) - ordinary / n - limit
+                        if over > 0:
+                            yield start, i + 1, over, kind
+
 
 def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     """The fixed patterns' spans, leftmost and not overlapping for each kind."""
@@ -190,14 +259,17 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 
 def added_spans(text: str, formats: Formats, base: dict[str, list[tuple[int, int]]]) -> list[tuple[int, str, int]]:
-    """(start, kind, end) of candidates outside all base spans that some format accepts: whole runs, else without dots at the end."""
+    """(start, kind, end) of candidates outside all base spans that some format accepts: the longest first, then the best kind."""
     taken = sorted(s for spans in base.values() for s in spans)
     out = []
     for m in CANDIDATE.finditer(text):
-        s = m[0].rstrip(".=-")
-        if len(s) >= 20 and not any(a < m.start() + len(s) and m.start() < b for a, b in taken) and (found := formats.best(s)):
-            out.append((m.start(), found[0], m.start() + len(s)))
-    return out
+        own: list[tuple[int, int]] = []
+        for a, b, _, kind in sorted(formats.accepted(m[0]), key=lambda x: (x[0] - x[1], x[0], -x[2], x[3])):
+            a, b = m.start() + a, m.start() + b
+            if not any(c < b and a < d for c, d in (*taken, *own)):
+                own.append((a, b))
+                out.append((a, kind, b))
+    return sorted(out)
 
 
 def secret_scan(docs: DataFrame, labelled: dict[str, list[str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
