@@ -5,16 +5,18 @@ thousand, each a packing problem of its own (a random sample of all lengths, so
 A shard lives on several islands. An island evolves a population of packings; pieces of one length are
 interchangeable, so a bin is a tuple of lengths. Crossover injects the best-filled bins of both parents while their
 lengths last, which leaves out duplicates, and best-fits the displaced lengths; mutation empties the worst bins and
-best-fits their content. Between rounds each island's elite migrates to the next island of its shard, by a shuffle
-of packed islands. The shard's best packing is dealt out to its pieces in the order of their keys.
+best-fits their content. A round of an island lasts until many generations in a row brought no better packing.
+Between rounds each island's elite migrates to the next island of its shard, by a shuffle of packed islands; rounds go
+on until none has saved a bin. A shard with as few bins as its total length allows rests. The shard's best packing is
+dealt out to its pieces in the order of their keys.
 """
 
 from __future__ import annotations
 
 import random
 from collections import Counter
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
+from itertools import chain, count
 from zlib import crc32
 
 import numpy as np
@@ -26,8 +28,10 @@ from pyspark.sql import functions as F
 from .pieces import coder
 from .shared import cut, documents, filled, sliced
 
-#: Production parameters: tokens of a sequence, mean pieces of a shard, islands of a shard, packings of an island, rounds, generations of a round.
+#: Production parameters: tokens of a sequence, mean pieces of a shard, islands of a shard, packings of an island, least rounds, least generations of a round.
 CAPACITY, SHARD_PIECES, ISLANDS, POPULATION, ROUNDS, GENERATIONS = 2048, 4096, 2, 4, 2, 4
+#: A round of an island ends once so many generations in a row brought no better packing.
+PATIENCE = 100
 
 Bins = list[tuple[int, ...]]
 
@@ -99,21 +103,28 @@ def mutate(bins: Bins, capacity: int, rng: random.Random, share: float = 0.06) -
     return best_fit(loose, capacity, [b for i, b in enumerate(rest) if i not in picked])
 
 
-def evolve(lengths: list[int], population: list[Bins], capacity: int, rng: random.Random, generations: int, size: int) -> list[Bins]:
-    """The best ``size`` packings after some generations, best first; stops where no packing can use fewer bins."""
-    counts, least = Counter(lengths), -(-sum(lengths) // capacity)
+def least_bins(lengths: list[int], capacity: int) -> int:
+    """No packing has fewer bins: by the total length, and by the lengths of which no two share a bin."""
+    return max(-(-sum(lengths) // capacity), sum(2 * n > capacity for n in lengths), min(1, len(lengths)))
+
+
+def evolve(lengths: list[int], population: list[Bins], capacity: int, rng: random.Random, generations: int, size: int, patience: int = 0) -> list[Bins]:
+    """The best ``size`` packings, best first, after ``generations`` at least and then until ``patience`` in a row brought no better one;
+    stops where no packing can use fewer bins."""
+    counts, least = Counter(lengths), least_bins(lengths, capacity)
     population = list(population)
     down = sorted(lengths, reverse=True)
     while len(population) < size:
         noise = 0.15 * len(population)
         population.append(best_fit(sorted(down, key=lambda x, k=noise: x * (1 + k * rng.random()), reverse=True) if noise else down, capacity))
     rated = sorted(((fitness(p, capacity), p) for p in population), key=lambda x: x[0], reverse=True)[:size]
-    for _ in range(generations):
-        if len(rated[0][1]) <= least:
-            break
+    done, idle = 0, 0
+    while (done < generations or idle < patience) and len(rated[0][1]) > least:
+        best = rated[0][0]
         a, b = rng.choice(rated)[1], rng.choice(rated[: max(2, size // 2)])[1]
         child = mutate(cross(a, b, counts, capacity), capacity, rng)
         rated = sorted([*rated, (fitness(child, capacity), child)], key=lambda x: x[0], reverse=True)[:size]
+        done, idle = done + 1, 0 if rated[0][0] > best else idle + 1
     return [p for _, p in rated]
 
 
@@ -133,10 +144,11 @@ def _bins(data: bytes) -> Bins:
     return [tuple(b) for b in out]
 
 
-_ISLAND = "shard long, island int, lengths binary, packings array<binary>"
+_ISLAND = "shard long, island int, lengths binary, packings array<binary>, bins int, least int, going boolean"
+_ISLAND_ARROW = pa.schema([("shard", pa.int64()), ("island", pa.int32()), ("lengths", pa.binary()), ("packings", pa.list_(pa.binary())), ("bins", pa.int32()), ("least", pa.int32()), ("going", pa.bool_())])
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, islands: int = ISLANDS, rounds: int = ROUNDS, generations: int = GENERATIONS, population: int = POPULATION) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, islands: int = ISLANDS, rounds: int = ROUNDS, generations: int = GENERATIONS, population: int = POPULATION, patience: int = PATIENCE) -> DataFrame:
     """(key, sequence_id, offset) for each row of ``items`` (key long, distinct; length int between 0 and ``capacity``).
 
     Reruns on the same rows agree. ``items`` should be a table or a written cut. An empty table gives an empty result.
@@ -146,28 +158,44 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_P
     full = items.where(F.col("length") >= capacity).select("key", (-F.col("key") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     parts = items.where(F.col("length") < capacity).select(F.pmod(F.xxhash64("key"), F.lit(n_shards)).alias("shard"), "key", "length")
 
+    def row(shard: int, island: int, lengths: list[int], found: list[Bins], going: bool) -> dict:
+        data = np.array(lengths, "<i4").tobytes()
+        return {"shard": shard, "island": island, "lengths": data, "packings": [_packed(p) for p in found], "bins": len(found[0]), "least": least_bins(lengths, capacity), "going": going}
+
     def first(table: pa.Table) -> pa.Table:
-        lengths = np.sort(table.column("length").to_numpy())
+        lengths = np.sort(table.column("length").to_numpy()).tolist()
         shard = table.column("shard")[0].as_py()
         rows = []
         for island in range(islands):
-            found = evolve(lengths.tolist(), [], capacity, random.Random(shard * islands + island), generations, population)
-            rows.append({"shard": shard, "island": island, "lengths": lengths.astype("<i4").tobytes(), "packings": [_packed(p) for p in found]})
-        return pa.Table.from_pylist(rows, pa.schema([("shard", pa.int64()), ("island", pa.int32()), ("lengths", pa.binary()), ("packings", pa.list_(pa.binary()))]))
-
-    def again(table: pa.Table) -> pa.Table:
-        own = sorted(table.to_pylist(), key=lambda r: len(r["packings"]) == 1)  # an island's own row, then the elite that came
-        shard, island = own[0]["shard"], own[0]["island"]
-        rng = random.Random((shard * islands + island) * 1000 + len(own[0]["packings"]))
-        lengths = np.frombuffer(own[0]["lengths"], "<i4").tolist()
-        found = evolve(lengths, [_bins(p) for r in own for p in r["packings"]], capacity, rng, generations, population)
-        return pa.Table.from_pylist([{"shard": shard, "island": island, "lengths": own[0]["lengths"], "packings": [_packed(p) for p in found]}], pa.schema([("shard", pa.int64()), ("island", pa.int32()), ("lengths", pa.binary()), ("packings", pa.list_(pa.binary()))]))
-
+            found = evolve(lengths, [], capacity, random.Random(shard * islands + island), generations, population, patience)
+            rows.append(row(shard, island, lengths, found, rounds > 1 or patience > 0))
+        return pa.Table.from_pylist(rows, _ISLAND_ARROW)
+
+    def again(number: int) -> Callable[[pa.Table], pa.Table]:
+        def run(table: pa.Table) -> pa.Table:
+            own = sorted(table.to_pylist(), key=lambda r: len(r["packings"]) == 1)  # an island's own row, then the elite that came
+            shard, island = own[0]["shard"], own[0]["island"]
+            rng = random.Random((shard * islands + island) * 1000 + number)
+            lengths = np.frombuffer(own[0]["lengths"], "<i4").tolist()
+            found = evolve(lengths, [_bins(p) for r in own for p in r["packings"]], capacity, rng, generations, population, patience)
+            going = number < rounds or (patience > 0 and len(found[0]) < min(r["bins"] for r in own))
+            return pa.Table.from_pylist([row(shard, island, lengths, found, going)], _ISLAND_ARROW)
+
+        return run
+
+    resting: list[DataFrame] = []
     state = cut(parts.groupBy("shard").applyInArrow(first, _ISLAND), "islands")
-    for _ in range(rounds - 1):
-        elite = state.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"), "lengths", F.slice("packings", 1, 1).alias("packings"))
+    for number in count(2):
+        going = state.groupBy("shard").agg(F.max("going").alias("going"), F.min("bins").alias("bins"), F.first("least").alias("least")).where("going AND bins > least").select("shard")
+        if not going.take(1):
+            break
+        resting.append(state.join(going, "shard", "left_anti"))
+        state = state.join(going, "shard", "left_semi")
+        elite = state.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"), "lengths", F.slice("packings", 1, 1).alias("packings"), "bins", "least", "going")
         moved = state.unionByName(elite) if islands > 1 else state
-        state = cut(moved.groupBy("shard", "island").applyInArrow(again, _ISLAND), "islands")
+        state = cut(moved.groupBy("shard", "island").applyInArrow(again(number), _ISLAND), "islands")
+    for done in resting:
+        state = state.unionByName(done)
 
     def deal(pieces: pa.Table, found: pa.Table) -> pa.Table:
         pieces = pieces.sort_by([("length", "ascending"), ("key", "ascending")])
