@@ -213,16 +213,19 @@ def lead_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def phrase_contains_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain the first 40 characters of a benchmark item.
 
-    The longest word inside the phrase (which has three words at least) is the key of a hash join with the documents' distinct
-    words, without their texts; only the pairs that meet are looked at with ``contains``."""
+    The longest word inside the phrase (neither its first nor its last, which may be parts of words) is the key of a hash join with
+    the documents' distinct words, without their texts; only the pairs that meet are looked at with ``contains``. Phrases with no
+    such word (one or two words, text without spaces) are broadcast to a scan of all texts."""
     inner = F.filter(F.split(F.substring("phrase", F.lit(1), F.lit(40)), " "), lambda w: F.length(w) > 0)
     middle = F.slice(inner, F.lit(2), F.greatest(F.size(inner) - 2, F.lit(0)))
     longest = F.aggregate(middle, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
     items = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 40).alias("phrase")).withColumn("word", longest)
     docs = _docs(spark, sf_dir)
     keyed = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
-    met = keyed.join(items, "word").select("doc_id", "item_id", "phrase").distinct()
-    return docs.select("doc_id", "text").join(met, "doc_id").where(F.contains("text", "phrase")).select("doc_id", "item_id").distinct()
+    met = keyed.join(items.where("word <> ''"), "word").select("doc_id", "item_id", "phrase").distinct()
+    by_word = docs.select("doc_id", "text").join(met, "doc_id").where(F.contains("text", "phrase")).select("doc_id", "item_id")
+    by_scan = docs.join(F.broadcast(items.where("word = ''")), F.contains("text", "phrase")).select("doc_id", "item_id")
+    return by_word.union(by_scan).distinct()
 
 
 def range_join_innermost(spark: SparkSession, sf_dir: str) -> DataFrame:
