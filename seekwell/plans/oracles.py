@@ -172,4 +172,14 @@ ORACLES = {
     "quote_and_shell": """
       SELECT doc_id, to_json(left(text, 80))::VARCHAR AS quoted, '''' || replace(left(text, 80), '''', '''\\''''') || '''' AS arg,
              repeat('`', greatest(coalesce(list_max(list_transform(regexp_extract_all(text, '`+'), lambda x: length(x))), 0) + 1, 3)) AS fence FROM documents""",
+    "quote_texts": """
+      SELECT doc_id, to_json(regexp_replace(text, '[\\x{7F}-\\x{9F}\\x{2028}-\\x{202E}\\x{2066}-\\x{2069}]', '', 'g'))::VARCHAR AS quoted, '''' || replace(text, '''', '''\\''''') || '''' AS arg FROM documents""",
+    "unit_pack_texts": """
+      WITH RECURSIVE u AS (SELECT conv_id, turn, strlen(text) + 140 AS b, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+      f AS (
+        SELECT conv_id, turn, k, 0 AS g, 1 AS n, b AS bytes FROM u WHERE k = 1
+        UNION ALL
+        SELECT u.conv_id, u.turn, u.k, CASE WHEN n < 2 AND bytes + b <= 380 THEN g ELSE g + 1 END, CASE WHEN n < 2 AND bytes + b <= 380 THEN n + 1 ELSE 1 END, CASE WHEN n < 2 AND bytes + b <= 380 THEN bytes + b ELSE b END
+        FROM f JOIN u ON u.conv_id = f.conv_id AND u.k = f.k + 1)
+      SELECT conv_id, turn::INT AS turn, g::INT AS group_idx FROM f""",
 }

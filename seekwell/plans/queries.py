@@ -298,14 +298,25 @@ def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quote_and_shell(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P14, P15, P18 over titles and texts."""
+    """P14, P15 over the first 80 characters of the texts, P18 over whole ones; quote_texts takes whole texts throughout."""
     return _docs(spark, sf_dir).select("doc_id", text.quote(F.substring("text", 1, 80)).alias("quoted"), text.shell_arg(F.substring("text", 1, 80)).alias("arg"), text.fence(F.col("text")).alias("fence"))
 
 
+def quote_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P14, P15 over whole texts."""
+    return _docs(spark, sf_dir).select("doc_id", text.quote(F.col("text")).alias("quoted"), text.shell_arg(F.col("text")).alias("arg"))
+
+
+def unit_pack_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As unit_pack, but a turn's name is its whole text."""
+    units = _turns(spark, sf_dir).select(F.col("conv_id").alias("path"), F.col("turn").cast("int").alias("unit_idx"), F.col("text").alias("name"))
+    return ranking.pack_units(units).select(F.col("path").alias("conv_id"), F.col("unit_idx").alias("turn"), "group_idx")
+
+
 NAMES = (
     tokenize_terms, bm25_stats, bm25_scores, bm25_topk, bm25_pages, bm25_turns, bm25_partitioned, lexical_prefilter, policy_filter, language_of_path, test_path_classify,
     describe_documents, clamp_bytes, path_ancestors, content_hash_dups, binary_sniff, import_edges, propagate_scores, blend_topk, text_chunks, line_hits_merge, excerpt_cap,
     unit_pack, lead_dedup, phrase_contains_join, range_join_innermost, role_labels, budget_fold, cache_lookup, cache_evict, issue_counts, run_status, grouped_order, json_report,
-    quote_and_shell,
+    quote_and_shell, quote_texts, unit_pack_texts,
 )
 QUERIES = {f.__name__: f for f in NAMES}
