@@ -4,7 +4,8 @@ P(grade > k) = sigmoid(w.x - t_k) with one weight vector w over hashed text feat
 ordered thresholds t_0 < t_1 < ... The expected grade is the sum of those tails. Features of a text are the hashes
 of its distinct lower-cased words (punctuation at the ends off), of its words' shapes, and of immediate repeats,
 the last two by the logarithm of their frequency. The fit takes at most FIT_ROWS labelled rows, those with the
-least hashes of their ids; a row gives at most FIT_FEATURES features to it. Scoring takes whole texts.
+least hashes of their ids, and of these as many whole rows as have FIT_ROWS * FIT_FEATURES features together. Fit,
+limit and scoring take all features of a row.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .shared import cut, documents, filled, sliced
 
-#: Production parameters: bits of a feature's place, rows and features of the fit, steps, penalty, share of held-out good rows that must be kept.
+#: Production parameters: bits of a feature's place, rows of the fit and their mean features at most, steps, penalty, share of held-out good rows that must be kept.
 BITS, FIT_ROWS, FIT_FEATURES, STEPS, PENALTY, KEEP_SHARE = 18, 10_000, 4096, 150, 5e-4, 0.995
 _SHAPES = [(re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"\d+"), "9")]
 _ENDS = ".,;:!?\"'()[]{}|*$%&#<>-"
@@ -108,10 +109,11 @@ class Ordinal:
         return cls(weights, x[len(used)] + np.concatenate(([0], np.cumsum(np.exp(x[len(used) + 1 :])))))
 
 
-def fit_classifier(docs: DataFrame, labels: DataFrame, grade: Column, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, bits: int = BITS) -> tuple[Ordinal, float]:
+def fit_classifier(docs: DataFrame, labels: DataFrame, grade: Column, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, bits: int = BITS, fit_features: int = FIT_ROWS * FIT_FEATURES) -> tuple[Ordinal, float]:
     """(model, the tail probability of the best grade from which a document is kept), from at most ``fit_rows`` rows of
-    ``labels`` with a ``grade`` (0, 1, ...; null is left out). A fifth of them, held out of the fit, sets the limit: it keeps
-    KEEP_SHARE of the held-out rows of the best grade (at most 0.5)."""
+    ``labels`` with a ``grade`` (0, 1, ...; null is left out), the first by the hash of their ids that have ``fit_features``
+    together. A fifth of them, held out of the fit, sets the limit: it keeps KEEP_SHARE of the held-out rows of the best grade (at
+    most 0.5)."""
     rated = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("k"), grade.cast("int").alias("grade")).where("grade IS NOT NULL").groupBy("k").agg(F.min("grade").alias("grade"))
     sample = cut(rated.orderBy(F.xxhash64("k"), "k").limit(fit_rows), "sample")
     rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("text")).join(F.broadcast(sample), "k")  # the sample has fit_rows rows at most
@@ -120,10 +122,17 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, grade: Column, id_col: st
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = Hashed(bits)
         for batch in sliced(batches):
-            found = [tuple(a[:FIT_FEATURES] for a in hashed(t)) for t in filled(batch.column(1)).to_pylist()]
+            found = [hashed(t) for t in filled(batch.column(1)).to_pylist()]
             yield pa.record_batch({"grade": batch.column(0), "order": batch.column(2), "places": pa.array([a.tolist() for a, _ in found], pa.list_(pa.int32())), "values": pa.array([b.tolist() for _, b in found], pa.list_(pa.float32()))})
 
-    got = rows.mapInArrow(features, "grade int, order long, places array<int>, values array<float>").toArrow().sort_by("order")
+    found = cut(rows.mapInArrow(features, "grade int, order long, places array<int>, values array<float>"), "features")
+    sizes = found.select("order", F.size("places").alias("n")).toArrow().sort_by("order")
+    fits = np.cumsum(sizes.column("n").to_numpy()) <= fit_features
+    if not fits.all():  # whole rows, and all rows of an id or none; the first id in any case
+        order = sizes.column("order").to_numpy()
+        last = order[np.argmin(fits)]
+        found = found.where(F.col("order") < int(last) if last > order[0] else F.col("order") == int(last))
+    got = found.toArrow().sort_by("order")
     if not len(got):
         return Ordinal(np.zeros(1 << bits, np.float32), np.zeros(1)), 0.0
     grades = got.column("grade").to_numpy()
