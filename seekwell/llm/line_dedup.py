@@ -137,8 +137,9 @@ def _shards_of(first: np.ndarray, n: int) -> np.ndarray:
     return ((first >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
 
 
-def build_index(docs: DataFrame, folder: str, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> int:
-    """Write the shards of all keys found in ``min_docs`` documents (distinct ids; null is one) and return their number."""
+def build_index(docs: DataFrame, folder: str, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> tuple[int, np.ndarray]:
+    """Write the shards of all keys found in ``min_docs`` documents (distinct ids; null is one) and return their number and, by
+    shard, whether it has a key and so a file."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -177,20 +178,22 @@ def build_index(docs: DataFrame, folder: str, min_chars: int = MIN_CHARS, min_do
 
     shard = F.pmod(F.shiftrightunsigned("a", 32), F.lit(n))
     sharded = found.select(shard.cast("int").alias("shard"), "a", "b", "n", "largest").repartition(min(n, 4 * partitions(docs.sparkSession)), "shard").sortWithinPartitions("shard", "a", "b")
-    sharded.mapInArrow(build, "shard int, n long").agg(F.sum("n")).collect()
-    return n
+    written = np.zeros(n, bool)
+    written[[r["shard"] for r in sharded.mapInArrow(build, "shard int, n long").collect()]] = True  # a row per 65,000 keys
+    return n, written
 
 
-def drop_lines(docs: DataFrame, folder: str, n_shards: int, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the lines that the index says dropped from the text; adds n_lines (before) and n_dropped."""
-    rest = [c for c in docs.columns if c not in (id_col, text_col, "n_lines", "n_dropped")]
+def drop_lines(docs: DataFrame, folder: str, n_shards: int, written: np.ndarray, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the lines that the index says dropped from the text; adds n_lines (before) and n_dropped. A shard that was
+    ``written`` but can't be opened is an error."""
+    rest =[c for c in docs.columns if c not in (id_col, text_col, "n_lines", "n_dropped")]
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened: OrderedDict[int, Shard | None] = OrderedDict()
 
         def shard(k: int) -> Shard | None:
             if k not in opened:
-                opened[k] = Shard(path) if os.path.exists(path := f"{folder}/{k:08d}.mph") else None
+                opened[k] = Shard(f"{folder}/{k:08d}.mph") if written[k] else None
                 if len(opened) > 512:
                     opened.popitem(last=False)
             return opened[k]
@@ -230,8 +233,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     document, the smallest. Repeated rows of an id are treated alike. An empty table gives an empty result.
     """
     folder = mounted(shared_dir(docs.sparkSession)) + "/lines"
-    n = build_index(docs, folder, min_chars, min_docs, id_col, text_col)
-    return drop_lines(docs, folder, n, min_chars, id_col, text_col)
+    n, written = build_index(docs, folder, min_chars, min_docs, id_col, text_col)
+    return drop_lines(docs, folder, n, written, min_chars, id_col, text_col)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

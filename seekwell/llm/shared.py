@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,11 +26,13 @@ SLICE_BYTES = 8 << 20
 def shared_dir(spark: SparkSession) -> str:
     """URI of a new folder that the driver and all executors see.
 
-    It lies in ``spark.checkpoint.dir``; only where that is unset (as in tests on one
-    machine) a temporary folder takes its place.
+    It lies in ``spark.checkpoint.dir``; only where that is unset and the master is local (as in
+    tests on one machine) a temporary folder takes its place. On a cluster its absence is an error.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = f"file://{tempfile.gettempdir()}/seekwell-{os.getpid()}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/seekwell/{uuid.uuid4().hex}"
