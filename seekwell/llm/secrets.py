@@ -1,12 +1,13 @@
 """Operator 5, secret scans: fixed patterns, and automata inferred from labelled credentials.
 
 Labelled credentials of each kind give a prefix tree; ALERGIA merges its states whose symbol and end frequencies are
-compatible by the Hoeffding bound, folding their subtrees together, into a probabilistic automaton. Candidates are
-the runs of the characters that credentials are made of, and all their parts between separators (= / + and dots; a
-colon ends a run). Each is scored by the mean log-likelihood of its symbols under each automaton against that under
-the frequencies of an ordinary word's symbols. It's a secret of the best kind if that automaton accepts it with a
-score over the kind's limit, the least score of its labelled credentials less a margin; of candidates that overlap,
-the longest counts.
+compatible by the Hoeffding bound, folding their subtrees together, into a probabilistic automaton. What is scanned follows
+from the labelled credentials: runs of the characters that they are made of, as long as the shortest of them. Candidates are whole
+runs and all their parts that begin and end beside a character that is no letter or digit; an automaton walks on from each
+beginning, so its own states say where a credential can end. Each candidate is scored by the mean log-likelihood of its symbols
+under each automaton against that under the frequencies of an ordinary word's symbols. It's a secret if an automaton accepts it
+with a score over the kind's limit, the least score of its labelled credentials less a margin. Of candidates that overlap the
+longest counts, then the first, then that of the highest score over its limit, then that of the first kind by name.
 Symbols: a string's first four characters as they are, then classes (upper, lower, digit, others as they are) with the
 number of dots before, and an end with the number of all dots, so that merged states don't lose count of the parts.
 """
@@ -18,8 +19,9 @@ import random
 import re
 import string
 from base64 import urlsafe_b64encode
+from bisect import bisect_right
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from math import inf, log, sqrt
 
 import pyarrow as pa
@@ -34,12 +36,10 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of [0-9a-f]+ that are long enough
 ASSIGN_CHARS, ACCESS_CHARS = 6, 20
-#: Candidates: whole runs, and what stands in them between two of their ends and separators.
-LEAST = 20
-CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=.-]{{{LEAST},}}")
-SEPARATORS = re.compile(r"[=/+.]")
-#: RE2: texts without a match have no span.
-_MAYBE = rf"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{{16}}|[0-9a-f]{{24}}|{CANDIDATE.pattern}"
+#: RE2: texts without a match have no base span.
+_BASE = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
+#: Beside these a candidate may begin and end.
+_BETWEEN = re.compile(r"[^A-Za-z0-9]")
 
 _UPPER, _LOWER, _DIGIT = string.ascii_uppercase, string.ascii_lowercase, string.digits
 _CLASSES = dict.fromkeys(_UPPER, "A") | dict.fromkeys(_LOWER, "a") | dict.fromkeys(_DIGIT, "9")
@@ -203,7 +203,7 @@ _ORDINARY = defaultdict(lambda: log(0.002), {"a": log(0.9), "A": log(0.05), "9":
 
 
 class Formats:
-    """Automata of all kinds with their limits."""
+    """Automata of all kinds with their limits, the length of the shortest labelled credential, and the pattern of the runs to scan."""
 
     def __init__(self, labelled: dict[str, list[str]], margin: float = 0.15) -> None:
         self.kinds = {}
@@ -212,6 +212,10 @@ class Formats:
             a = Automaton.infer([symbols(w) for i, w in enumerate(examples) if i % 5])
             scores = [x for x in (self.ratio(a, w) for w in held) if x > -inf]
             self.kinds[kind] = (a, (min(scores) if scores else 0.0) - margin)
+        known = [w for examples in labelled.values() for w in examples if w]
+        self.least = min(map(len, known), default=0)
+        #: None without labelled credentials. RE2 reads it too.
+        self.runs = "[" + "".join(re.sub(r"[^A-Za-z0-9\x80-\U0010ffff]", r"\\\g<0>", c) for c in sorted(set("".join(known)))) + f"]{{{min(self.least, 1000)},}}" if known else None
 
     @staticmethod
     def ratio(a: Automaton, s: str) -> float:
@@ -226,11 +230,10 @@ class Formats:
     def accepted(self, run: str) -> Iterator[tuple[int, int, float, str]]:
         """(start, end, score over the limit, kind) of all candidates in a run that a format accepts, each scored as ``best`` does. An
         automaton walks on from each start and is asked at each end that it comes to, so most walks end after a symbol or two."""
-        cuts = [m.start() for m in SEPARATORS.finditer(run)]
-        starts = {0, len(run) - len(run.lstrip(".=-")), *(i + 1 for i in cuts)}
-        ends = {len(run), len(run.rstrip(".=-")), *cuts}
+        beside = [m.start() for m in _BETWEEN.finditer(run)]
+        starts = ends = {0, len(run), *beside, *(i + 1 for i in beside)}
         for start in sorted(starts):
-            if len(run) - start < LEAST:
+            if len(run) - start < self.least:
                 break
             for kind, (a, limit) in self.kinds.items():
                 q, total, ordinary, dots = 0, 0.0, 0.0, 0
@@ -243,7 +246,7 @@ class Formats:
                     ordinary += _ORDINARY[_CLASSES.get(c, c)]
                     dots += c == "."
                     q, n = a.moves[q][s], i + 1 - start
-                    if i + 1 in ends and n >= LEAST and (z := f"$:{dots}") in a.moves[q] and a.ends[last := a.moves[q][z]]:
+                    if n >= self.least and i + 1 in ends and (z := f"$:{dots}") in a.moves[q] and a.ends[last := a.moves[q][z]]:
                         over = (total + log(a.counts[q][z] / a.total(q)) + log(a.ends[last] / a.total(last))) / (n + 2) - ordinary / n - limit
                         if over > 0:
                             yield start, i + 1, over, kind
@@ -258,17 +261,37 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     }
 
 
+class Taken:
+    """Spans that don't overlap, in order."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]] = ()) -> None:
+        self.starts, self.ends = [], []
+        for a, b in sorted(spans):  # those of different kinds may overlap
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def take(self, a: int, b: int) -> bool:
+        """Adds a span, if it's free."""
+        i = bisect_right(self.ends, a)
+        if i < len(self.starts) and self.starts[i] < b:
+            return False
+        self.starts.insert(i, a)
+        self.ends.insert(i, b)
+        return True
+
+
 def added_spans(text: str, formats: Formats, base: dict[str, list[tuple[int, int]]]) -> list[tuple[int, str, int]]:
-    """(start, kind, end) of candidates outside all base spans that some format accepts: the longest first, then the best kind."""
-    taken = sorted(s for spans in base.values() for s in spans)
-    out = []
-    for m in CANDIDATE.finditer(text):
-        own: list[tuple[int, int]] = []
+    """(start, kind, end) of candidates outside all base spans that some format accepts."""
+    if not formats.runs:
+        return []
+    taken, out = Taken(s for spans in base.values() for s in spans), []
+    for m in re.finditer(formats.runs, text):
         for a, b, _, kind in sorted(formats.accepted(m[0]), key=lambda x: (x[0] - x[1], x[0], -x[2], x[3])):
-            a, b = m.start() + a, m.start() + b
-            if not any(c < b and a < d for c, d in (*taken, *own)):
-                own.append((a, b))
-                out.append((a, kind, b))
+            if taken.take(m.start() + a, m.start() + b):
+                out.append((m.start() + a, kind, m.start() + b))
     return sorted(out)
 
 
@@ -277,15 +300,17 @@ def secret_scan(docs: DataFrame, labelled: dict[str, list[str]] | None = None, i
     points, by start, then assign, access, hex, and added kinds by name, comma-joined).
 
     A null text is empty and has none; repeated rows give equal rows; an empty table gives an empty result. Other columns
-    are left out. ``labelled``, credentials by kind, is held in memory by each task.
+    are left out. ``labelled``, credentials by kind, is held in memory by each task; without any there are no added spans. Whole
+    texts are scanned, however long; a text's time is in proportion to its length but for runs that begin like a credential over and over.
     """
     formats = Formats(labelled if labelled is not None else labelled_credentials())
+    maybe_any = _BASE + (f"|{formats.runs}" if formats.runs else "")
     place = {"assign": 0, "access": 1, "hex": 2}
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             texts = filled(batch.column(1))
-            maybe = pc.match_substring_regex(texts, _MAYBE).to_numpy(zero_copy_only=False)
+            maybe = pc.match_substring_regex(texts, maybe_any).to_numpy(zero_copy_only=False)
             rows = [(0, 0, 0, 0, "", "")] * len(texts)
             for i in maybe.nonzero()[0].tolist():
                 text = texts[i].as_py()
