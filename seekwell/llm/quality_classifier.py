@@ -40,7 +40,7 @@ class Hashed:
             shape = pattern.sub(sign, shape)
         case = "U" if len(w) > 2 and w.isupper() else ""
         at = lambda s: xxhash.xxh3_64_intdigest(s) % self.size
-        found = self.cache[w] = (at("w:" + w.lower().strip(_ENDS)), at("s:" + case + shape[:32]))
+        found = self.cache[w] = (at("w:" + w.lower().strip(_ENDS)), at("s:" + case + shape))
         return found
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -61,6 +61,30 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def thresholds(x: np.ndarray, n_tails: int) -> np.ndarray:
+    """The last ``n_tails`` parameters are a first threshold and the logarithms of the gaps to the others."""
+    return x[len(x) - n_tails] + np.concatenate(([0], np.cumsum(np.exp(x[len(x) - n_tails + 1 :]))))
+
+
+def loss(x: np.ndarray, at: np.ndarray, value: np.ndarray, row: np.ndarray, grades: np.ndarray, weight: np.ndarray, n_tails: int, penalty: float) -> tuple[float, np.ndarray]:
+    """(negative log-likelihood of the ``grades`` by row ``weight`` plus the L2 penalty, its gradient) at the parameters x: feature weights, then
+    thresholds. A feature is (its place among the weights, value, row)."""
+    n, rows = len(x) - n_tails, np.arange(len(grades))
+    w, gaps = x[:n], np.exp(x[n + 1 :])
+    s = np.bincount(row, value * w[at], len(grades))
+    tail = np.hstack([np.ones((len(s), 1)), _sigmoid(s[:, None] - thresholds(x, n_tails)), np.zeros((len(s), 1))])
+    p = np.maximum(tail[rows, grades] - tail[rows, grades + 1], 1e-9)
+    slope = tail * (1 - tail)
+    d_t = np.zeros((len(s), n_tails))
+    up, low = grades > 0, grades < n_tails
+    d_t[rows[up], grades[up] - 1] += slope[rows[up], grades[up]] / p[up]
+    d_t[rows[low], grades[low]] -= slope[rows[low], grades[low] + 1] / p[low]
+    d_t *= weight[:, None]  # of the negative log-likelihood by each threshold
+    by_t = d_t.sum(0)
+    g = np.concatenate((np.bincount(at, -value * d_t.sum(1)[row], n) + penalty * w, [by_t.sum()], [by_t[k + 1 :].sum() * gaps[k] for k in range(n_tails - 1)]))
+    return float(-(weight * np.log(p)).sum() + penalty * (w @ w) / 2), g
+
+
 class Ordinal:
     """The fitted model."""
 
@@ -87,33 +111,22 @@ class Ordinal:
         x[len(used) + 1 :] = np.log(np.maximum(np.diff(start), 0.1))
         m, v = np.zeros_like(x), np.zeros_like(x)
         for step in range(1, steps + 1):
-            w, gaps = x[: len(used)], np.exp(x[len(used) + 1 :])
-            t = x[len(used)] + np.concatenate(([0], np.cumsum(gaps)))
-            s = np.bincount(row, value * w[at], len(places))
-            tail = np.hstack([np.ones((len(s), 1)), _sigmoid(s[:, None] - t), np.zeros((len(s), 1))])
-            p = np.maximum(tail[np.arange(len(s)), grades] - tail[np.arange(len(s)), grades + 1], 1e-9)
-            slope = tail * (1 - tail)
-            d_t = np.zeros((len(s), n_tails))
-            rows = np.arange(len(s))
-            up, low = grades > 0, grades < n_tails
-            d_t[rows[up], grades[up] - 1] += slope[rows[up], grades[up]] / p[up]
-            d_t[rows[low], grades[low]] -= slope[rows[low], grades[low] + 1] / p[low]
-            d_t *= weight[:, None]  # of the negative log-likelihood by each threshold
-            d_s = -d_t.sum(1)
-            by_t = d_t.sum(0)
-            g = np.concatenate((np.bincount(at, value * d_s[row], len(used)) + penalty * w, [by_t.sum()], [by_t[k + 1 :].sum() * gaps[k] for k in range(n_tails - 1)]))
+            _, g = loss(x, at, value, row, grades, weight, n_tails, penalty)
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             x -= 0.1 * min(1, 4 * (1 - step / (steps + 1))) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         weights = np.zeros(size, np.float32)
         weights[used] = x[: len(used)]
-        return cls(weights, x[len(used)] + np.concatenate(([0], np.cumsum(np.exp(x[len(used) + 1 :])))))
+        return cls(weights, thresholds(x, n_tails))
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, grade: Column, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, bits: int = BITS, fit_features: int = FIT_ROWS * FIT_FEATURES) -> tuple[Ordinal, float]:
     """(model, the tail probability of the best grade from which a document is kept), from at most ``fit_rows`` rows of
     ``labels`` with a ``grade`` (0, 1, ...; null is left out), the first by the hash of their ids that have ``fit_features``
     together. A fifth of them, held out of the fit, sets the limit: it keeps KEEP_SHARE of the held-out rows of the best grade (at
-    most 0.5)."""
+    most 0.5).
+
+    Null ids and grades are left out; of an id's grades the least counts; each row of ``docs`` with a rated id is a row of the fit, repeats
+    too. Texts go in whole, however long. Without labelled rows the model is all zeros and the limit 0."""
     rated = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("k"), grade.cast("int").alias("grade")).where("grade IS NOT NULL").groupBy("k").agg(F.min("grade").alias("grade"))
     sample = cut(rated.orderBy(F.xxhash64("k"), "k").limit(fit_rows), "sample")
     rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("text")).join(F.broadcast(sample), "k")  # the sample has fit_rows rows at most
@@ -151,7 +164,7 @@ def classify(docs: DataFrame, model: Ordinal, limit: float, id_col: str = "doc_i
     """One row per row of ``docs``: id, score, expected_grade, tails (P(grade > k) for each k), kept.
 
     A null text is empty and gets the model's score for no words; repeated rows score alike; an empty table gives an
-    empty result. Without labelled rows every score is 0 and all is kept. Other columns are left out.
+    empty result; a long text is scored whole. Without labelled rows every score is 0 and all is kept. Other columns are left out.
     """
     weights, thresholds = model.weights, model.thresholds
 
