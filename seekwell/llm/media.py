@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, documents, filled, mounted, partitions, shared_dir, sliced
+from .shared import SLICE_BYTES, cut, documents, filled, mounted, partitions, shared_dir, sliced
 
 #: Production parameters: samples of a row, padding, least, mean (a power of two) and most bytes of a chunk, bytes of a frame, share of a pack that may be unpicked copies.
 UNIT, PAD, LEAST, MEAN, MOST, FRAME, STALE = 576, 255, 512, 2048, 8192, 1 << 16, 0.25
@@ -245,20 +245,28 @@ def _read(recipes: DataFrame, index: DataFrame, folder: str, make, schema: str)
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = PackReader(folder)
+        rows, size = [], 0
+
+        def taken() -> pa.RecordBatch:
+            columns = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.binary(), *kinds], strict=True)], names=["recipe", *names])
+
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                rows = batch.slice(k, 500).to_pylist()
-                out = []
-                for r in rows:
-                    head, parts = [b"CDC1", struct.pack("<I", len(r["places"]))], []
-                    for c in r["places"]:
-                        if c["pack"] is None or hashlib.sha256(chunk := reader.chunk(c["pack"], c["frame"], c["frame_bytes"], c["inside"], c["size"])).digest() != c["digest"]:
-                            raise RuntimeError(f"chunk {c['digest'].hex()} is missing or has changed")
-                        parts.append(chunk)
-                        head.append(struct.pack("<I", len(chunk)) + c["digest"])
-                    payload = b"".join(parts)
-                    out.append(make(payload, b"".join(head) + payload))
-                yield pa.RecordBatch.from_arrays([pa.array([r["recipe"] for r in rows], pa.binary()), *[pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]], names=["recipe", *names])
+            for r in batch.to_pylist():
+                head, parts = [b"CDC1", struct.pack("<I", len(r["places"]))], []
+                for c in r["places"]:
+                    if c["pack"] is None or hashlib.sha256(chunk := reader.chunk(c["pack"], c["frame"], c["frame_bytes"], c["inside"], c["size"])).digest() != c["digest"]:
+                        raise RuntimeError(f"chunk {c['digest'].hex()} is missing or has changed")
+                    parts.append(chunk)
+                    head.append(struct.pack("<I", len(chunk)) + c["digest"])
+                payload = b"".join(parts)
+                rows.append((r["recipe"], *make(payload, b"".join(head) + payload)))
+                size += sum(len(x) for x in rows[-1] if isinstance(x, bytes))
+                if size >= SLICE_BYTES or len(rows) >= 500:
+                    yield taken()
+                    rows, size = [], 0
+        if rows:
+            yield taken()
 
     return ordered.mapInArrow(rebuild, f"recipe binary, {schema}")
 
