@@ -1,14 +1,17 @@
 """Operator 4, best-fit packing by a grouping genetic algorithm.
 
 Pieces of full length are bins as they are. The others are dealt by a hash of their keys into shards of some
-thousand, each a packing problem of its own (a random sample of all lengths, so a shard wastes less than a bin).
-A shard lives on several islands. An island evolves a population of packings; pieces of one length are
-interchangeable, so a bin is a tuple of lengths. Crossover injects the best-filled bins of both parents while their
-lengths last, which leaves out duplicates, and best-fits the displaced lengths; mutation empties the worst bins and
-best-fits their content. A round of an island lasts until many generations in a row brought no better packing.
-Between rounds each island's elite migrates to the next island of its shard, by a shuffle of packed islands; rounds go
-on until none has saved a bin. A shard with as few bins as its total length allows rests. The shard's best packing is
-dealt out to its pieces in the order of their keys.
+thousand, each a packing problem of its own (a random sample of all lengths). A shard lives on several islands. An
+island evolves a population of packings; pieces of one length are interchangeable, so a bin is a tuple of lengths.
+Crossover injects the best-filled bins of both parents while their lengths last, which leaves out duplicates, and
+best-fits the displaced lengths; mutation empties the worst bins and best-fits their content. Between rounds each
+island's elite migrates to the next island of its shard, by a shuffle of packed islands.
+
+Shards stand on levels. A shard's best packing is dealt out to its pieces in the order of their keys, but the pieces of
+its loosest bins (a sixteenth of its pieces) go up to the next level, where they are dealt into as many fewer shards, until
+one shard is left; so what every shard would waste is packed together. A shard that has no more than one bin over the
+fewest that its lengths allow leaves the rest to the level above after the least rounds; one that has more, and the last shard
+of all, evolves until many generations in a row brought no better packing and a round with new elites saved no bin.
 """
 
 from __future__ import annotations
@@ -26,12 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .pieces import coder
-from .shared import cut, documents, filled, sliced
+from .shared import cut, documents, filled, partitions, sliced
 
 #: Production parameters: tokens of a sequence, mean pieces of a shard, islands of a shard, packings of an island, least rounds, least generations of a round.
 CAPACITY, SHARD_PIECES, ISLANDS, POPULATION, ROUNDS, GENERATIONS = 2048, 4096, 2, 4, 2, 4
-#: A round of an island ends once so many generations in a row brought no better packing.
-PATIENCE = 100
+#: A round of an island ends once so many generations in a row brought no better packing; pieces of a shard for one that goes up a level.
+PATIENCE, RISING = 100, 16
 
 Bins = list[tuple[int, ...]]
 
@@ -91,16 +94,38 @@ def cross(a: Bins, b: Bins, lengths: Counter, capacity: int) -> Bins:
     return best_fit(sorted(left.elements(), reverse=True), capacity, child)
 
 
-def mutate(bins: Bins, capacity: int, rng: random.Random, share: float = 0.06) -> Bins:
-    """Empties the worst-filled bins and some others and best-fits what was in them, now and then not by falling length."""
+def swap(bins: Bins, loose: list[int], capacity: int) -> tuple[Bins, list[int]]:
+    """(``bins`` in which a length gave way to the greatest loose one that fits its place better, for each in turn; what is loose then)."""
+    have, known, out = Counter(loose), sum(1 << n for n in set(loose)), []
+    for b in bins:
+        room = capacity - sum(b)
+        if room:
+            content = list(b)
+            for i, x in enumerate(content):
+                y = (known & ((2 << (x + room)) - 1)).bit_length() - 1
+                if y > x:
+                    have[y] -= 1
+                    have[x] += 1
+                    known ^= (not have[y]) << y
+                    known |= 1 << x
+                    content[i], room = y, room - y + x
+            b = tuple(sorted(content, reverse=True))
+        out.append(b)
+    return out, list(have.elements())
+
+
+def mutate(bins: Bins, capacity: int, rng: random.Random, share: float = 0.02) -> Bins:
+    """Empties the worst-filled bins and some others, swaps what was in them into the rest where it fits better, and best-fits
+    what is left, now and then not by falling length."""
     ordered = sorted(bins, key=sum)
     n = max(2, int(len(ordered) * share))
     gone, rest = ordered[:n], ordered[n:]
     picked = set(rng.sample(range(len(rest)), min(len(rest), n)))
     loose = [x for b in gone for x in b] + [x for i in picked for x in rest[i]]
+    kept, loose = swap([b for i, b in enumerate(rest) if i not in picked], loose, capacity)
     noise = rng.choice((0.0, 0.1, 0.3))
     loose.sort(key=lambda x: x * (1 + noise * rng.random()), reverse=True)
-    return best_fit(loose, capacity, [b for i, b in enumerate(rest) if i not in picked])
+    return best_fit(loose, capacity, kept)
 
 
 def least_bins(lengths: list[int], capacity: int) -> int:
@@ -108,18 +133,20 @@ def least_bins(lengths: list[int], capacity: int) -> int:
     return max(-(-sum(lengths) // capacity), sum(2 * n > capacity for n in lengths), min(1, len(lengths)))
 
 
-def evolve(lengths: list[int], population: list[Bins], capacity: int, rng: random.Random, generations: int, size: int, patience: int = 0) -> list[Bins]:
-    """The best ``size`` packings, best first, after ``generations`` at least and then until ``patience`` in a row brought no better one;
-    stops where no packing can use fewer bins."""
+def evolve(lengths: list[int], population: list[Bins], capacity: int, rng: random.Random, generations: int, size: int, patience: int = 0, slack: int = 0) -> list[Bins]:
+    """The best ``size`` packings, best first, after ``generations`` at least and then, with more than ``slack`` bins over the least, until
+    ``patience`` in a row brought no better one; stops where no packing can use fewer bins."""
     counts, least = Counter(lengths), least_bins(lengths, capacity)
     population = list(population)
     down = sorted(lengths, reverse=True)
     while len(population) < size:
         noise = 0.15 * len(population)
         population.append(best_fit(sorted(down, key=lambda x, k=noise: x * (1 + k * rng.random()), reverse=True) if noise else down, capacity))
+        if len(population[-1]) <= least:
+            break  # no packing has fewer bins, so it needs no others to cross with
     rated = sorted(((fitness(p, capacity), p) for p in population), key=lambda x: x[0], reverse=True)[:size]
     done, idle = 0, 0
-    while (done < generations or idle < patience) and len(rated[0][1]) > least:
+    while len(rated[0][1]) > least and (done < generations or (idle < patience and len(rated[0][1]) > least + slack)):
         best = rated[0][0]
         a, b = rng.choice(rated)[1], rng.choice(rated[: max(2, size // 2)])[1]
         child = mutate(cross(a, b, counts, capacity), capacity, rng)
@@ -144,58 +171,66 @@ def _bins(data: bytes) -> Bins:
     return [tuple(b) for b in out]
 
 
+def rising_bins(bins: Bins, capacity: int, most: int) -> list[bool]:
+    """Which bins' pieces go up a level: the loosest of those that aren't full, together at most ``most`` pieces."""
+    up, left = [False] * len(bins), most
+    for i in sorted(range(len(bins)), key=lambda i: (sum(bins[i]), bins[i])):
+        if sum(bins[i]) < capacity and len(bins[i]) <= left:
+            up[i], left = True, left - len(bins[i])
+    return up
+
+
 _ISLAND = "shard long, island int, lengths binary, packings array<binary>, bins int, least int, going boolean"
 _ISLAND_ARROW = pa.schema([("shard", pa.int64()), ("island", pa.int32()), ("lengths", pa.binary()), ("packings", pa.list_(pa.binary())), ("bins", pa.int32()), ("least", pa.int32()), ("going", pa.bool_())])
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, islands: int = ISLANDS, rounds: int = ROUNDS, generations: int = GENERATIONS, population: int = POPULATION, patience: int = PATIENCE) -> DataFrame:
-    """(key, sequence_id, offset) for each row of ``items`` (key long, distinct; length int between 0 and ``capacity``).
+def _evolved(parts: DataFrame, n_shards: int, capacity: int, islands: int, rounds: int, generations: int, population: int, patience: int, slack: int, level: int) -> DataFrame:
+    """The islands (_ISLAND) of all shards of ``parts`` (shard, key, length) after all their rounds."""
+    tasks = min(n_shards * islands, partitions(parts.sparkSession))  # a number, or a few tasks would get all of these small rows
 
-    Reruns on the same rows agree. ``items`` should be a table or a written cut. An empty table gives an empty result.
-    """
-    spark = items.sparkSession
-    n_shards = max(1, round(items.count() / shard_pieces))
-    full = items.where(F.col("length") >= capacity).select("key", (-F.col("key") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    parts = items.where(F.col("length") < capacity).select(F.pmod(F.xxhash64("key"), F.lit(n_shards)).alias("shard"), "key", "length")
-
-    def row(shard: int, island: int, lengths: list[int], found: list[Bins], going: bool) -> dict:
-        data = np.array(lengths, "<i4").tobytes()
-        return {"shard": shard, "island": island, "lengths": data, "packings": [_packed(p) for p in found], "bins": len(found[0]), "least": least_bins(lengths, capacity), "going": going}
-
-    def first(table: pa.Table) -> pa.Table:
-        lengths = np.sort(table.column("length").to_numpy()).tolist()
-        shard = table.column("shard")[0].as_py()
-        rows = []
-        for island in range(islands):
-            found = evolve(lengths, [], capacity, random.Random(shard * islands + island), generations, population, patience)
-            rows.append(row(shard, island, lengths, found, rounds > 1 or patience > 0))
-        return pa.Table.from_pylist(rows, _ISLAND_ARROW)
+    def step(number: int, shard: int, island: int, lengths: list[int], found: list[Bins], before: int | None) -> dict:
+        rng = random.Random(((level * (1 << 32) + shard) * islands + island) * 1000 + number)
+        found = evolve(lengths, found, capacity, rng, generations, population, patience, slack)
+        least = least_bins(lengths, capacity)
+        more = patience > 0 and len(found[0]) > least + slack and (before is None or len(found[0]) < before)
+        return {
+            "shard": shard, "island": island, "lengths": np.array(lengths, "<i4").tobytes(), "packings": [_packed(p) for p in found], "bins": len(found[0]), "least": least,
+            "going": number < rounds or more,
+        }
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                yield pa.RecordBatch.from_pylist([step(1, r["shard"], r["island"], r["lengths"], [], None)], _ISLAND_ARROW)
 
     def again(number: int) -> Callable[[pa.Table], pa.Table]:
         def run(table: pa.Table) -> pa.Table:
-            own = sorted(table.to_pylist(), key=lambda r: len(r["packings"]) == 1)  # an island's own row, then the elite that came
-            shard, island = own[0]["shard"], own[0]["island"]
-            rng = random.Random((shard * islands + island) * 1000 + number)
+            own = sorted(table.to_pylist(), key=lambda r: not r["own"])  # an island's own row, then the elite that came
             lengths = np.frombuffer(own[0]["lengths"], "<i4").tolist()
-            found = evolve(lengths, [_bins(p) for r in own for p in r["packings"]], capacity, rng, generations, population, patience)
-            going = number < rounds or (patience > 0 and len(found[0]) < min(r["bins"] for r in own))
-            return pa.Table.from_pylist([row(shard, island, lengths, found, going)], _ISLAND_ARROW)
+            return pa.Table.from_pylist([step(number, own[0]["shard"], own[0]["island"], lengths, [_bins(p) for r in own for p in r["packings"]], min(r["bins"] for r in own))], _ISLAND_ARROW)
 
         return run
 
+    gathered = parts.groupBy("shard").agg(F.array_sort(F.collect_list("length")).alias("lengths"))  # a shard has some shard_pieces
+    each = gathered.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "lengths")
+    state = cut(each.repartition(tasks, "shard", "island").mapInArrow(first, _ISLAND), "islands")
     resting: list[DataFrame] = []
-    state = cut(parts.groupBy("shard").applyInArrow(first, _ISLAND), "islands")
     for number in count(2):
         going = state.groupBy("shard").agg(F.max("going").alias("going"), F.min("bins").alias("bins"), F.first("least").alias("least")).where("going AND bins > least").select("shard")
         if not going.take(1):
             break
         resting.append(state.join(going, "shard", "left_anti"))
-        state = state.join(going, "shard", "left_semi")
-        elite = state.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"), "lengths", F.slice("packings", 1, 1).alias("packings"), "bins", "least", "going")
+        state = state.join(going, "shard", "left_semi").withColumn("own", F.lit(True))
+        elite = state.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"), "lengths", F.slice("packings", 1, 1).alias("packings"), "bins", "least", "going", F.lit(False).alias("own"))
         moved = state.unionByName(elite) if islands > 1 else state
-        state = cut(moved.groupBy("shard", "island").applyInArrow(again(number), _ISLAND), "islands")
+        state = cut(moved.repartition(tasks, "shard", "island").groupBy("shard", "island").applyInArrow(again(number), _ISLAND), "islands")
     for done in resting:
         state = state.unionByName(done)
+    return state
+
+
+def _dealer(capacity: int, rising: int, level: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Deals a shard's best packing out to its pieces; pieces that go up a level (one of ``rising``, none for 0) get no sequence."""
 
     def deal(pieces: pa.Table, found: pa.Table) -> pa.Table:
         pieces = pieces.sort_by([("length", "ascending"), ("key", "ascending")])
@@ -206,11 +241,36 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_P
         begins = np.concatenate(([0], np.cumsum(sizes)))[:-1]
         offset = ends - content - (ends - content)[begins][bin_of]
         order = np.argsort(content, kind="stable")  # places by length meet the pieces by length
+        up = np.array(rising_bins(best, capacity, len(content) // rising if rising else 0))
         shard = found.column("shard")[0].as_py()
-        return pa.table({"key": pieces.column("key"), "sequence_id": pa.array((shard << 32) + bin_of[order]), "offset": pa.array(offset[order])})
+        ids = pa.array((level << 56) + (shard << 24) + bin_of[order], mask=up[bin_of[order]])
+        return pa.table({"key": pieces.column("key"), "length": pieces.column("length"), "sequence_id": ids, "offset": pa.array(offset[order])})
+
+    return deal
+
+
+def pack(items: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, islands: int = ISLANDS, rounds: int = ROUNDS, generations: int = GENERATIONS, population: int = POPULATION, patience: int = PATIENCE, rising: int = RISING) -> DataFrame:
+    """(key, sequence_id, offset) for each row of ``items`` (key long, distinct; length int between 0 and ``capacity``).
 
-    dealt = parts.groupBy("shard").cogroup(state.groupBy("shard")).applyInArrow(deal, "key long, sequence_id long, offset long")
-    return full.unionByName(dealt)
+    Reruns on the same rows agree. ``items`` should be a table or a written cut. An empty table gives an empty result.
+    """
+    spark = items.sparkSession
+    out = items.where(F.col("length") >= capacity).select("key", (-F.col("key") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    left, n = items.where(F.col("length") < capacity).select("key", F.col("length").cast("int").alias("length")), items.count()
+    for level in count():
+        n_shards = max(1, round(n / shard_pieces))
+        last = n_shards == 1
+        parts = left.select(F.pmod(F.xxhash64(F.lit(level), "key"), F.lit(n_shards)).alias("shard"), "key", "length")
+        state = _evolved(parts, n_shards, capacity, islands, rounds, generations, population, patience, 0 if last else 1, level)
+
+        tasks = min(n_shards, partitions(spark))
+        dealt = parts.repartition(tasks, "shard").groupBy("shard").cogroup(state.repartition(tasks, "shard").groupBy("shard")).applyInArrow(_dealer(capacity, 0 if last else rising, level), "key long, length int, sequence_id long, offset long")
+        if last:
+            return out.unionByName(dealt.select("key", "sequence_id", "offset"))
+        dealt = cut(dealt, "dealt")
+        out = out.unionByName(dealt.where("sequence_id IS NOT NULL").select("key", "sequence_id", "offset"))
+        left = dealt.where("sequence_id IS NULL").select("key", "length")
+        n = left.count()
 
 
 def token_pieces(docs: DataFrame, vocab_path: str, end_id: int | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:

@@ -13,6 +13,7 @@ import json
 import os
 import re
 from array import array
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -29,10 +30,10 @@ _ASCII = re.compile("[\x20-\x7e\n]*")
 _LOWER_WORDS = re.compile(rf"{_CONTRACTIONS}|[a-z]+|[0-9]|[^\sa-z0-9]+")
 #: RE2: a space between other white space, or before the end after other white space.
 _UNSAFE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] ([\s\x0b\x1c-\x1f\x{85}\p{Z}]|$)"
-#: RE2: what keeps a text from being cut by the classes of its bytes.
+#: RE2: what keeps a text from being cut by the classes of its bytes, beside the vocabulary's special strings.
 _UNUSUAL = {
-    "byte": r"[^\t\n\r -~\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]|'(s|t|re|ve|m|ll|d)|[\t\n\r ][\t\n\r ]|<\|",
-    "word": r"[^\t\n\r -~\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]|'(?i:s|t|re|ve|m|ll|d)|<\|",
+    "byte": r"[^\t\n\r -~\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]|'(s|t|re|ve|m|ll|d)|[\t\n\r ][\t\n\r ]",
+    "word": r"[^\t\n\r -~\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]|'(?i:s|t|re|ve|m|ll|d)",
 }
 _SPACE, _WHITE, _LETTER, _DIGIT, _OTHER = range(5)
 _CLASS = np.full(256, _OTHER, np.uint8)
@@ -85,6 +86,7 @@ class Vocabulary:
             self.kind = "byte"
         elif plain and before.get("type") == "Sequence" and before["pretokenizers"][0].get("invert") and [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
             self.kind = "word"
+        self.unusual = "|".join([_UNUSUAL.get(self.kind, ""), *(re.sub(r"([^A-Za-z0-9\x80-\U0010ffff])", r"\\\1", s) for s in self.special)])
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
 
     def slow(self, texts: pa.Array) -> np.ndarray:
@@ -98,16 +100,17 @@ class Vocabulary:
             found = pc.or_(found, pc.match_substring(texts, s))
         return found.to_numpy(zero_copy_only=False)
 
-    def units(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
-        """(unit number of each place, ends: places of text i are ends[i]:ends[i + 1], the distinct units, numbers of the texts left out as slow)."""
+    def units(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], int, np.ndarray]:
+        """(unit number of each place, ends: places of text i are ends[i]:ends[i + 1], the distinct units, how many of them, the first, are
+        pre-tokens, numbers of the texts left out as slow)."""
         n = len(texts)
         if self.kind == "whole":
-            return np.zeros(0, np.int64), np.zeros(n + 1, np.int64), [], np.arange(n)
-        odd = np.flatnonzero(pc.match_substring_regex(texts, _UNUSUAL[self.kind]).to_numpy(zero_copy_only=False))
+            return np.zeros(0, np.int64), np.zeros(n + 1, np.int64), [], 0, np.arange(n)
+        odd = np.flatnonzero(pc.match_substring_regex(texts, self.unusual).to_numpy(zero_copy_only=False))
         if not len(odd):
             pieces, ends = _by_class(texts, self.kind)
             encoded = pieces.dictionary_encode()
-            return encoded.indices.to_numpy().astype(np.int64), ends, encoded.dictionary.to_pylist(), odd
+            return encoded.indices.to_numpy().astype(np.int64), ends, encoded.dictionary.to_pylist(), len(encoded.dictionary), odd
         is_odd = np.zeros(n, bool)
         is_odd[odd] = True
         some = texts.take(pa.array(odd))
@@ -124,8 +127,9 @@ class Vocabulary:
         sizes[~is_odd], sizes[odd] = np.diff(ends), np.diff(cut.offsets.to_numpy())
         encoded = pa.concat_arrays([pieces, more]).dictionary_encode()
         code = encoded.indices.to_numpy().astype(np.int64)
+        n_plain = int(code[: len(pieces)].max()) + 1 if len(pieces) else 0  # units are numbered as they come
         doc = np.concatenate((np.repeat(np.flatnonzero(~is_odd), sizes[~is_odd]), np.repeat(odd, sizes[odd])))
-        return code[np.argsort(doc, kind="stable")], np.concatenate(([0], np.cumsum(sizes))), encoded.dictionary.to_pylist(), odd[slow]
+        return code[np.argsort(doc, kind="stable")], np.concatenate(([0], np.cumsum(sizes))), encoded.dictionary.to_pylist(), n_plain, odd[slow]
 
     def split(self, unit: str) -> list[str]:
         """The pre-tokens of a unit (of the word vocabulary: parts whose ids, in order, are the unit's)."""
@@ -179,26 +183,30 @@ class Coder:
         self.vocabulary, self.cache = Vocabulary(path), Cache(limit)
         self.type = "H" if self.vocabulary.dtype.itemsize == 2 else "I"
 
-    def coded(self, units: list[str]) -> list[bytes]:
-        """Each unit's ids as little-endian integers of the vocabulary's width."""
+    def coded(self, units: list[str], n_plain: int = 0) -> list[bytes]:
+        """Each unit's ids as little-endian integers of the vocabulary's width; the first ``n_plain`` are pre-tokens."""
         self.cache.turn()
         young, v = self.cache.young, self.vocabulary
         out = self.cache.found(units)
         if missing := [i for i, c in enumerate(out) if c is None]:
-            parts = [v.split(units[i]) for i in missing]
+            n = bisect_left(missing, n_plain)
+            parts = [v.split(units[i]) for i in missing[n:]]
             pieces = list({p for ps in parts for p in ps})
-            new = [p for p, c in zip(pieces, self.cache.found(pieces), strict=True) if c is None]
+            new = [units[i] for i in missing[:n]]
+            new += set(p for p, c in zip(pieces, self.cache.found(pieces), strict=True) if c is None).difference(new) if pieces else ()
             for k in range(0, len(new), 20_000):
                 for p, ids in zip(some := new[k : k + 20_000], v.encode(some), strict=True):
                     young[p] = array(self.type, ids).tobytes()
-            for i, ps in zip(missing, parts, strict=True):
+            for i in missing[:n]:
+                out[i] = young[units[i]]
+            for i, ps in zip(missing[n:], parts, strict=True):
                 young[units[i]] = out[i] = young[ps[0]] if len(ps) == 1 else b"".join([young[p] for p in ps])
         return out
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, ends: those of text i are ends[i]:ends[i + 1])."""
-        code, ends, units, slow = self.vocabulary.units(texts)
-        coded, dtype = self.coded(units), self.vocabulary.dtype
+        code, ends, units, n_plain, slow = self.vocabulary.units(texts)
+        coded, dtype = self.coded(units, n_plain), self.vocabulary.dtype
         flat = np.frombuffer(b"".join(coded), dtype)
         lens = np.fromiter(map(len, coded), np.int64, len(coded)) // dtype.itemsize
         begins = np.cumsum(lens) - lens

@@ -26,11 +26,11 @@ from .shared import documents, filled, partitions, sliced
 def _block(batch: pa.RecordBatch, v: Vocabulary, n_classes: int) -> tuple[int, list[list[str]], tuple[pa.RecordBatch, pa.RecordBatch]]:
     """(block id, distinct pre-tokens by class, (a row per document: id, n_bytes, special strings, numbers and frequencies of its units; a row per unit: its pre-tokens' numbers)). Pre-tokens are numbered class by class."""
     texts = filled(batch.column(1))
-    code, ends, units, slow = v.units(texts)
+    code, ends, units, n_plain, slow = v.units(texts)
     n_special = np.zeros(len(texts), np.int64)
     doc = np.repeat(np.arange(len(texts)), np.diff(ends))
     seen: dict[str, int] = {}
-    parts = [[seen.setdefault(p, len(seen)) for p in v.split(u)] for u in units]
+    parts = [[seen.setdefault(u, len(seen))] for u in units[:n_plain]] + [[seen.setdefault(p, len(seen)) for p in v.split(u)] for u in units[n_plain:]]
     if len(slow):  # a pre-token of an uncut text is a unit of its own
         own: dict[str, int] = {}
         extra, extra_doc = [], []
