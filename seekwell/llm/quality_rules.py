@@ -172,18 +172,20 @@ def quality_rules(docs: DataFrame, model_path: str, id_col: str = "doc_id", lang
     """One row per row of ``docs``: id and language, quality (the MEASURES), base_failed, kept.
 
     Null, empty and wordless texts have no words and fail the base rule; a null language is a group of its own, and
-    repeated rows are judged alike; an empty table gives an empty result. Other columns are left out.
+    repeated rows are judged alike; an empty table gives an empty result. Other columns are left out. A long text is measured
+    whole, in a slice of its own, for which its worker needs some 200 bytes a token.
     """
     found = cut(measured(docs, model_path, [id_col, lang_col], text_col), "quality")
     return judged(found, cut(bands(found.withColumnRenamed(lang_col, "band_group")), "bands"), lang_col)
 
 
 def kept_rows(docs: DataFrame, model_path: str, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns; texts are measured twice instead of shuffled."""
+    """The rows of ``docs`` that are kept, with their columns: texts are measured once and written with their measures, from which alone
+    the bands come."""
     rows = docs.select(F.struct(*docs.columns).alias("seekwell_row"), F.col(lang_col).alias("band_group"), F.col(text_col).alias("text"))  # one struct: no name can clash
-    limits = cut(bands(measured(rows, model_path, ["band_group"])), "bands")
-    found = measured(rows.withColumnRenamed("band_group", "lang"), model_path, ["seekwell_row", "lang"])
-    return judged(found, limits, "lang").where("kept").select("seekwell_row.*")
+    found = cut(measured(rows, model_path, ["seekwell_row", "band_group"]), "measured")
+    limits = cut(bands(found.select("band_group", "quality")), "bands")
+    return judged(found.withColumnRenamed("band_group", "lang"), limits, "lang").where("kept").select("seekwell_row.*")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -218,14 +218,18 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, i
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of near-duplicates, that of the least id (a null id last; of one id, the least text hash)."""
+    """One row of each group of near-duplicates, that of the least id (a null id last; of one id, the least text hash), with its columns.
+
+    Survivors are chosen by ids and hashes alone; whole rows move once, to meet them. Of rows equal in id and text any one stays.
+    Names of columns can't clash: rows travel as one struct.
+    """
     found = near_duplicates(docs, radius, words, id_col, text_col)
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("seekwell_id"), F.col("text_hash").alias("seekwell_hash"))).alias("first")).select("first.seekwell_id", "first.seekwell_hash")
-    first = cut(first.distinct(), "survivors")
-    columns = docs.columns
-    met = docs.join(first, docs[id_col].cast("long").eqNullSafe(F.col("seekwell_id")) & (F.xxhash64(docs[text_col]) == F.col("seekwell_hash")))
-    nth = F.row_number().over(Window.partitionBy("seekwell_id", "seekwell_hash").orderBy("seekwell_hash"))
-    return met.withColumn("seekwell_nth", nth).where("seekwell_nth = 1").select(*columns)
+    key = F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("id"), F.col("text_hash").alias("hash"))
+    first = cut(found.groupBy("root").agg(F.min(key).alias("k")).select("k.*").distinct(), "survivors")
+    own = F.col(id_col).cast("long")
+    rows = docs.select(own.isNull().alias("none"), F.coalesce(own, F.lit(0)).alias("id"), F.xxhash64(text_col).alias("hash"), F.struct(*docs.columns).alias("row"))
+    nth = F.row_number().over(Window.partitionBy("none", "id", "hash").orderBy(F.lit(0)))  # dealt as for the join
+    return rows.join(first, ["none", "id", "hash"]).withColumn("nth", nth).where("nth = 1").select("row.*")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
