@@ -61,7 +61,7 @@ def allowed(path: Column, hidden: bool = False, dependencies: bool = False, sens
 
 def is_test_path(path: Column) -> Column:
     """F16: by a segment's name, else by what the language's test files are called."""
-    name, ext = file_name(path), extension(path)
+    name, ext = file_name(path), F.lower(extension(path))
     stem = F.when(F.instr(name, ".") > 0, F.substring(name, F.lit(1), F.length(name) - F.length(ext) - 1)).otherwise(name)
     low = F.lower(stem)
     by_name = (

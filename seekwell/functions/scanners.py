@@ -2,7 +2,8 @@
 
 Python goes through ast and tokenize. The brace languages share one scanner: comments and strings are blanked out
 (same length, so offsets hold), the text is cut into statements at brackets' depth 0, and a statement's head is
-read by the language's patterns. This is no full parser: text that doesn't balance is chunked like any other text.
+read by the language's patterns (of its first 4,000 characters). This is no full parser: text that doesn't balance is chunked like
+any other text.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+
 #: Bytes parsed at most, bytes of a text chunk.
 PARSE_BYTES, CHUNK_BYTES = 1_000_000, 2500
 
@@ -43,13 +46,22 @@ class Lines:
     def __init__(self, text: str) -> None:
         self.text = text
         self.starts = [0, *(m.end() for m in re.finditer("\n", text))]
-        self.ascii = text.isascii()
+        #: Bytes before each character; none for ASCII, where they are its place.
+        self.bytes = None
+        if not text.isascii():
+            codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
+            self.bytes = np.concatenate(([0], np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF).astype(np.int64) + (codes > 0xFFFF))))
 
     def line(self, at: int) -> int:
         return bisect_right(self.starts, at)
 
     def byte(self, at: int) -> int:
-        return at if self.ascii else len(self.text[:at].encode())
+        return at if self.bytes is None else int(self.bytes[at])
+
+    def place(self, line: int, column: int) -> int:
+        """The character at byte ``column`` of a line."""
+        start = self.starts[line - 1]
+        return start + column if self.bytes is None else int(np.searchsorted(self.bytes, self.bytes[start] + column))
 
     def unit(self, name: str, a: int, b: int, owners: list[tuple[int, int]] | None = None) -> Unit:
         """A unit over the characters a..b; its end is its last occupied character."""
@@ -84,19 +96,17 @@ def _header(name: str, lines: Lines, start: int, first_member: int | None) -> Un
 
 # ---- Python
 
+_SPACE = re.compile(r"\s*")
+
 
 def python_units(text: str) -> tuple[list[Unit], list[tuple[int, int]]]:
     """U1. Raises SyntaxError where the text isn't Python."""
     tree, lines, units = ast.parse(text), Lines(text), []
-    split = text.split("\n")
-
-    def at(line: int, column: int) -> int:
-        return lines.starts[line - 1] + len(split[line - 1].encode()[:column].decode())
 
     def span(node: ast.stmt) -> tuple[int, int]:
         first = min([node, *getattr(node, "decorator_list", [])], key=lambda n: n.lineno)
-        begin = at(node.lineno, node.col_offset) if first is node else lines.starts[first.lineno - 1] + len(split[first.lineno - 1]) - len(split[first.lineno - 1].lstrip())
-        return begin, at(node.end_lineno, node.end_col_offset)
+        begin = lines.place(node.lineno, node.col_offset) if first is node else _SPACE.match(text, lines.starts[first.lineno - 1]).end()
+        return begin, lines.place(node.end_lineno, node.end_col_offset)
 
     def visit(body: list[ast.stmt], prefix: str, owners: list[tuple[int, int]], top: bool) -> None:
         for node in body:
@@ -133,6 +143,7 @@ def python_units(text: str) -> tuple[list[Unit], list[tuple[int, int]]]:
 # ---- brace languages
 
 _OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
+_BRACKET = re.compile(r"[()\[\]{}]")
 
 
 def blanked(text: str, lang: str) -> tuple[str, list[tuple[int, int]]]:
@@ -142,8 +153,8 @@ def blanked(text: str, lang: str) -> tuple[str, list[tuple[int, int]]]:
     script = r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|`(?:\\.|[^`\\])*`'
     strings = quotes.get(lang, script if lang in ("typescript", "tsx", "javascript") else usual)
     if lang == "rust":
-        strings = r'r(#*)"[\s\S]*?"\1|' + strings + r"|'(?:\\.[^']*|[^'\\\n])'"
-    pattern = re.compile(rf"(?P<comment>//[^\n]*|/\*[\s\S]*?\*/)|(?P<string>{strings})")
+        strings = r'r(#*)"[\s\S]*?(?:"\1|\Z)|' + strings + r"|'(?:\\.[^']*|[^'\\\n])'"
+    pattern = re.compile(rf"(?P<comment>//[^\n]*|/\*[\s\S]*?(?:\*/|\Z))|(?P<string>{strings})")  # what isn't closed goes to the end, or each opening would be searched for its end
     lines, comments, out, at = Lines(text), [], [], 0
     for m in pattern.finditer(text):
         out.append(text[at : m.start()])
@@ -156,19 +167,32 @@ def blanked(text: str, lang: str) -> tuple[str, list[tuple[int, int]]]:
     return "".join(out) + text[at:], sorted(set(comments))
 
 
-def closing(text: str, at: int, end: int) -> int:
-    """The place of the bracket that closes the one at ``at``; ValueError without one."""
-    stack = []
-    for i in range(at, end):
-        c = text[i]
-        if c in _OPEN:
-            stack.append(_OPEN[c])
-        elif c in _CLOSE:
-            if not stack or stack.pop() != c:
-                raise ValueError("brackets don't match")
-            if not stack:
-                return i
-    raise ValueError("a bracket isn't closed")
+class Brackets:
+    """The place of the bracket that closes each one, found when first asked and kept with all inside."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.ends = text, {}
+
+    def closing(self, at: int, end: int) -> int:
+        """The closing bracket before ``end`` of the one at ``at``; ValueError without one."""
+        if at not in self.ends:
+            stack: list[tuple[int, str]] = []
+            for m in _BRACKET.finditer(self.text, at, end):
+                c = m[0]
+                if c in _OPEN:
+                    stack.append((m.start(), _OPEN[c]))
+                else:
+                    opened, wanted = stack.pop()
+                    if wanted != c:
+                        raise ValueError("brackets don't match")
+                    self.ends[opened] = m.start()
+                    if not stack:
+                        break
+            else:
+                raise ValueError("a bracket isn't closed")
+        if self.ends[at] >= end:
+            raise ValueError("a bracket isn't closed")
+        return self.ends[at]
 
 
 @dataclass
@@ -179,15 +203,22 @@ class Statement:
     end: int
 
 
-_GOES_ON = re.compile(r"\s*(?:[.?:=&|+*/%<>,{)\]-]|where\b|throws\b|extends\b|implements\b|else\b|catch\b|finally\b|in\b)")
-_BINDS = re.compile(r"(?:export\s+)?(?:import|const|let|var)\b[^=]*$|export\s*$")
+_GOES_ON = re.compile(r"[.?:=&|+*/%<>,{)\]-]|where\b|throws\b|extends\b|implements\b|else\b|catch\b|finally\b|in\b")
+_BINDS = re.compile(r"(?:export\s+)?(?:import|const|let|var)\b")
+_BARE_EXPORT = re.compile(r"export\s*$")
 _ACCESS = re.compile(r"(?:public|private|protected)\s*:(?!:)")
 _UNFINISHED = re.compile(r"(?:[=,(\[&|+*/%<.:?-]|\b(?:extends|implements|where|return|func|fun|const|let|var|val|export|default|async|static|public|private|open|override|final))$")
+_AFTER_BODY = {True: re.compile(r"\s*(?:;|=|(?:else|catch|finally|while)\b)"), False: re.compile(r"[ \t]*(?:;|=|[\w*&]+[^;{}()]*;)")}
+#: Characters of the longest word that leaves a statement unfinished, and the one before it.
+_WORD_CHARS = 12
+#: Characters of a statement's head that are looked at for its name.
+_HEAD_CHARS = 4000
 
 
-def statements(text: str, a: int, b: int, by_line: bool) -> Iterator[Statement]:
-    """The statements of text[a:b]. They end at a semicolon, after a body in braces, or (``by_line``) at a line's end that nothing carries on."""
-    i = a
+def statements(text: str, a: int, b: int, by_line: bool, brackets: Brackets) -> Iterator[Statement]:
+    """The statements of text[a:b]. They end at a semicolon, after a body in braces, or (``by_line``) at a line's end that nothing carries on.
+    Each character is looked at a bounded number of times."""
+    i, equals = a, a - 1
     while i < b:
         while i < b and (text[i].isspace() or text[i] in ";,"):
             i += 1
@@ -201,40 +232,51 @@ def statements(text: str, a: int, b: int, by_line: bool) -> Iterator[Statement]:
                 i += 1
             continue
         start, body, head_end = i, None, None
+        binds = by_line and _BINDS.match(text, start, b) is not None
+        solid = start  # the end of what isn't white space, so far
         while i < b:
             c = text[i]
             if c == "{":
-                close = closing(text, i, b)
-                value = re.search(r"[=(,]\s*$|=>\s*$", text[start:i]) is not None or (by_line and _BINDS.match(text[start:i]) is not None)
+                close = brackets.closing(i, b)
+                if binds and equals < start:
+                    equals = text.find("=", start, b) % (b + 1)  # the first one, or b
+                value = (solid > start and text[solid - 1] in "=(,") or text[max(start, solid - 2) : solid] == "=>" or (binds and equals >= i) or (by_line and _BARE_EXPORT.match(text, start, i) is not None)
                 if body is None and not value:
                     body, head_end = (i + 1, close), i
-                i = close + 1
-                if not value:
-                    rest = re.match(r"\s*(?:;|=|(?:else|catch|finally|while)\b)", text[i:b]) if by_line else re.match(r"[ \t]*(?:;|=|[\w*&]+[^;{}()]*;)", text[i:b])
-                    if not rest:
-                        break
+                i = solid = close + 1
+                if not value and not _AFTER_BODY[by_line].match(text, i, b):
+                    break
                 continue
             if c in "([":
-                i = closing(text, i, b) + 1
+                i = solid = brackets.closing(i, b) + 1
                 continue
             if c in _CLOSE:
                 raise ValueError("brackets don't match")
             if c == ";":
                 i += 1
                 break
-            if c == "\n" and by_line and not _UNFINISHED.search(text[start:i].rstrip()) and not _GOES_ON.match(text[i:b]):
-                break
+            if c == "\n" and by_line:
+                after = _SPACE.match(text, i, b).end()
+                if not _UNFINISHED.search(text, max(start, solid - _WORD_CHARS), solid) and not _GOES_ON.match(text, after, b):
+                    break
+                i = after
+                continue
             i += 1
+            if not c.isspace():
+                solid = i
         end = i
-        yield Statement(start, text[start : head_end if head_end is not None else end], body, end)
+        yield Statement(start, text[start : min(head_end if head_end is not None else end, start + _HEAD_CHARS)], body, end)
         i = max(i, start + 1)
 
 
+_NAME = re.compile(r"[\w$]*")
+
+
 class Scanner:
     """Units of one file of a brace language."""
 
     def __init__(self, text: str, masked: str, lang: str) -> None:
-        self.text, self.masked, self.lang, self.lines, self.units = text, masked, lang, Lines(text), []
+        self.text, self.masked, self.lang, self.lines, self.units, self.brackets = text, masked, lang, Lines(text), [], Brackets(masked)
         self.by_line = lang in ("go", "swift", "kotlin", "typescript", "tsx", "javascript")
 
     def add(self, name: str, s: Statement, owners: list[tuple[int, int]]) -> None:
@@ -242,7 +284,7 @@ class Scanner:
 
     def members(self, name: str, s: Statement, owners: list[tuple[int, int]], member: Callable[[Statement], list[str]], whole: bool = True) -> None:
         """A class: its header, then its members as ``name.member``; the whole class where it has none."""
-        found = [(m, names) for m in statements(self.masked, *s.body, self.by_line) if (names := member(m))] if s.body else []
+        found = [(m, names) for m in statements(self.masked, *s.body, self.by_line, self.brackets) if (names := member(m))] if s.body else []
         if not found:
             if whole:
                 self.add(name, s, owners)
@@ -260,7 +302,7 @@ class Scanner:
 
     def block(self, a: int, b: int, prefix: str, owners: list[tuple[int, int]]) -> None:
         visit = getattr(self, {"typescript": "script", "tsx": "script", "javascript": "script"}.get(self.lang, self.lang))
-        for s in statements(self.masked, a, b, self.by_line):
+        for s in statements(self.masked, a, b, self.by_line, self.brackets):
             visit(s, prefix, owners)
 
     # U5
@@ -282,7 +324,7 @@ class Scanner:
             self.add(m[1], s, owners)
         elif m := re.match(r"(type|const|var)\s*\(", s.head):
             a = s.start + m.end()
-            for x in statements(self.masked, a, closing(self.masked, a - 1, len(self.masked)), True):
+            for x in statements(self.masked, a, self.brackets.closing(a - 1, len(self.masked)), True, self.brackets):
                 if n := re.match(r"\w+(?:\s*,\s*\w+)*" if m[1] != "type" else r"\w+", x.head):
                     self.add(", ".join(re.findall(r"\w+", n[0])), x, owners)
         elif m := re.match(r"(?:const|var)\s+(\w+(?:\s*,\s*\w+)*)", s.head):
@@ -377,9 +419,9 @@ class Scanner:
     def bindings(self, at: int) -> list[str]:
         """U4: the names that the first declarator binds."""
         text = self.masked
-        if text[at] not in "{[":
-            return re.match(r"[\w$]*", text[at:])[0].split() or ["source"]
-        inside = text[at : closing(text, at, len(text)) + 1]
+        if text[at : at + 1] not in ("{", "["):
+            return _NAME.match(text, at)[0].split() or ["source"]
+        inside = text[at : self.brackets.closing(at, len(text)) + 1]
         return [m[1] for m in re.finditer(r"([A-Za-z_$][\w$]*)\s*(?=[,}\]=]|$)", re.sub(r"=[^,}\]]*", "", inside))] or ["source"]
 
     def script_member(self, s: Statement) -> list[str]:
@@ -401,6 +443,6 @@ def inspect(lang: str, text: str) -> Inspection:
                 units, comments = [], []
             if units:
                 return Inspection(units, comments, "Python" if lang == "python" else "TypeScript")
-        except (SyntaxError, ValueError, RecursionError, tokenize.TokenError):
+        except (SyntaxError, ValueError, IndexError, RecursionError, MemoryError, tokenize.TokenError):  # MemoryError: nested too deeply for the parser
             pass
     return Inspection(text_units(text) if text.strip() else [], [], "Text")

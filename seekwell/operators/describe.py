@@ -33,19 +33,22 @@ def numbered_lines(files: DataFrame) -> DataFrame:
 
 
 def calls(units: DataFrame, lines: DataFrame) -> DataFrame:
-    """(path, callee, line): lines of a file that hold ``name(`` of one of its units; names as they're called, the part after the last dot or ::."""
-    defs = units.where(~F.col("name").endswith(".context") & (F.col("name") != "source")).select("path", F.col("name").alias("callee"), F.regexp_extract("name", r"([^.:]+)$", 1).alias("called"), F.col("start_line").alias("d_start"), F.col("end_line").alias("d_end")).distinct()
+    """(path, d_idx, called, d_start, d_end, line): lines of a file that hold ``name(`` of one of its units; names as they're called,
+    the part after the last dot or ::."""
+    defs = units.where(~F.col("name").endswith(".context") & (F.col("name") != "source")).select("path", F.col("unit_idx").alias("d_idx"), F.regexp_extract("name", r"([^.:]+)$", 1).alias("called"), F.col("start_line").alias("d_start"), F.col("end_line").alias("d_end"))
     met = lines.where(F.instr("text", "(") > 0).join(defs, "path").where(F.contains(F.col("text"), F.concat("called", F.lit("("))))
-    return met.select("path", "callee", "called", "d_start", "d_end", "line")
+    return met.select("path", "d_idx", "called", "d_start", "d_end", "line")
 
 
 def unit_descriptions(units: DataFrame, files: DataFrame) -> DataFrame:
     """(path, unit_idx, description): name, lines, signature, a docstring if the signature is short, and up to four
-    units of the file that its lines call."""
+    definitions of the file, in their order, that its lines call and that don't lie in the unit itself."""
     lines = numbered_lines(files.join(units.select("path").distinct(), "path", "left_semi"))
     found = calls(units, lines)
-    inside = found.join(units.select("path", "unit_idx", "name", "start_line", "end_line"), "path").where(F.col("line").between(F.col("start_line"), F.col("end_line")) & (F.col("callee") != F.col("name")))
-    called = inside.groupBy("path", "unit_idx").agg(F.slice(F.array_sort(F.collect_set("callee")), 1, CALLS).alias("calls"))
+    own = (F.col("d_start") >= F.col("start_line")) & (F.col("d_end") <= F.col("end_line"))
+    inside = found.join(units.select("path", "unit_idx", "start_line", "end_line"), "path").where(F.col("line").between(F.col("start_line"), F.col("end_line")) & ~own)
+    in_order = F.transform(F.array_sort(F.collect_set(F.struct("d_idx", "called"))), lambda x: x["called"])
+    called = inside.groupBy("path", "unit_idx").agg(F.slice(in_order, 1, CALLS).alias("calls"))
     rows = units.join(files.select("path", "source"), "path").join(called, ["path", "unit_idx"], "left")
     body = F.slice(F.split("source", "\n"), F.col("start_line"), F.least(F.col("end_line") - F.col("start_line") + 1, F.lit(6)))
     signature, doc = signature_line(body), docstring_line(body)
@@ -56,12 +59,12 @@ def unit_descriptions(units: DataFrame, files: DataFrame) -> DataFrame:
 
 def call_leads(units: DataFrame, files: DataFrame, selected: DataFrame) -> DataFrame:
     """(path, caller, name, start_line, end_line) in Python files: selected lines outside the callee's own range that hold
-    ``name(``; the caller is the innermost unit, or module. selected (path, start_line, end_line)."""
+    ``name(``; the caller is the innermost unit, a class's context too, or module. selected (path, start_line, end_line)."""
     from .ranges import innermost
 
     python = files.where(F.col("path").rlike(r"\.pyi?$"))
     found = calls(units, numbered_lines(python)).where(~F.col("line").between(F.col("d_start"), F.col("d_end")))
     chosen = selected.select("path", F.col("start_line").alias("s_start"), F.col("end_line").alias("s_end"))
-    met = found.join(chosen, "path").where(F.col("line").between(F.col("s_start"), F.col("s_end"))).select("path", F.col("callee").alias("name"), "line").distinct()
-    held = innermost(met.withColumnRenamed("name", "callee"), units.where(~F.col("name").endswith(".context")))
-    return held.select("path", F.coalesce("unit", F.lit("module")).alias("caller"), F.col("callee").alias("name"), F.col("line").cast("int").alias("start_line"), F.col("line").cast("int").alias("end_line")).distinct()
+    met = found.join(chosen, "path").where(F.col("line").between(F.col("s_start"), F.col("s_end"))).select("path", "called", "line").distinct()
+    held = innermost(met, units)
+    return held.select("path", F.coalesce("unit", F.lit("module")).alias("caller"), F.col("called").alias("name"), F.col("line").cast("int").alias("start_line"), F.col("line").cast("int").alias("end_line")).distinct()

@@ -3,18 +3,29 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; only where that is unset and the master is local (one machine, tests) a temporary folder."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        root = f"file://{tempfile.gettempdir()}/seekwell-{os.getpid()}"
+    return root.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint of ``df``: later plans begin at its rows. The folder is spark.checkpoint.dir; only where that is unset
-    (one machine, tests) a temporary one."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", "") or f"file://{tempfile.gettempdir()}/seekwell-{os.getpid()}")
-    return df.checkpoint()
+    """``df`` written as Parquet to the shared folder and read again: later plans begin at its rows and read only the columns
+    they use."""
+    path = f"{shared_folder(df.sparkSession)}/cuts/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
