@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import sys
 from pathlib import Path
 
@@ -16,6 +17,14 @@ from .sources.walk import Policy
 CACHE = str(Path.home() / ".cache/seekwell/answers")
 
 
+def judge_named(name: str) -> Judge:
+    """M5: the default judge, or what MODULE:NAME makes."""
+    if name == "terms":
+        return TermJudge()
+    module, _, made = name.partition(":")
+    return getattr(importlib.import_module(module), made)()
+
+
 def doctor(judge: Judge | None = None) -> bool:
     """The judge says yes to a question whose answer is in the state."""
     return judge_bool(judge or TermJudge(), "File: auth.py\nDeclarations: check_password", "check password") > 0.5
@@ -30,6 +39,8 @@ def main(argv: list[str] | None = None) -> int:
     for flag in ("hidden", "no-ignore", "include-dependencies", "include-sensitive", "no-cache", "json", "debug-scores"):
         find.add_argument(f"--{flag}", action="store_true")
     find.add_argument("--max-source-bytes", type=int, default=0)
+    find.add_argument("--judge", default="terms", help="terms, or MODULE:NAME of something that makes a judge")
+    find.add_argument("--workers", type=int, help="tasks that judge at once")
     commands.add_parser("doctor")
     commands.add_parser("cache-clear")
     args = parser.parse_args(argv)
@@ -46,7 +57,7 @@ def main(argv: list[str] | None = None) -> int:
             print(f"not a directory: {args.root}", file=sys.stderr)
             return 1
         policy = Policy(args.hidden, args.no_ignore, args.include_dependencies, args.include_sensitive)
-        result = search(spark, args.root, args.query, Options(policy, None if args.no_cache else CACHE))
+        result = search(spark, args.root, args.query, Options(policy, None if args.no_cache else CACHE, judge_named(args.judge), workers=args.workers))
         if args.debug_scores:
             result.files.select("path", "score").show(40, truncate=False)
         print(render_json(result) if args.json else render_text(result, args.max_source_bytes))

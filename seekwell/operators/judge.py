@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TERM_CUTS, clamp_bytes, variants_of
+from ..schemas import ANSWERS
 from ..sources.cuts import cut
 
 #: Bytes of a state, requests of a run; cache schema, days an answer lives, bytes of the cache and of an entry.
@@ -96,54 +97,89 @@ def live(cache: DataFrame, now: Column) -> DataFrame:
 
 def trim(cache: DataFrame, most: int = CACHE_BYTES) -> DataFrame:
     """The newest entries whose bytes together stay within ``most``; ties by key."""
-    # The running sum over whole days of entries comes first, so no task orders the whole cache.
-    dated = cache.withColumn("day", F.to_date("created_at"))
-    days = dated.groupBy("day").agg(F.sum("bytes").alias("day_bytes"))
-    newer = days.withColumn("newer", F.coalesce(F.sum("day_bytes").over(Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = Window.partitionBy("day").orderBy(F.desc("created_at"), "key").rowsBetween(Window.unboundedPreceding, 0)
-    upto = dated.join(newer, "day").withColumn("upto", F.col("newer") + F.sum("bytes").over(inside))
+    # The running sum over whole hours of entries comes first, so no task orders the whole cache or a day of it.
+    dated = cache.withColumn("hour", F.date_trunc("hour", "created_at"))
+    hours = dated.groupBy("hour").agg(F.sum("bytes").alias("hour_bytes"))
+    newer = hours.withColumn("newer", F.coalesce(F.sum("hour_bytes").over(Window.orderBy(F.desc("hour")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = Window.partitionBy("hour").orderBy(F.desc("created_at"), "key").rowsBetween(Window.unboundedPreceding, 0)
+    upto = dated.join(newer, "hour").withColumn("upto", F.col("newer") + F.sum("bytes").over(inside))
     return upto.where(F.col("upto") <= most).select(*cache.columns)
 
 
 class AnswerCache:
-    """Answers as Parquet under a path; ``clear`` empties it."""
+    """Answers as Parquet under a path; ``clear`` empties it. What goes wrong with it never stops a search; ``warnings`` counts it by kind (K6, A2)."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
+        self.spark, self.path, self.warnings = spark, path, {}
 
-    def read(self) -> DataFrame | None:
-        from pyspark.errors import AnalysisException
+    def warn(self, kind: str, n: int = 1) -> None:
+        self.warnings[kind] = self.warnings.get(kind, 0) + n
+
+    def _files(self):
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()), hadoop
 
+    def read(self) -> DataFrame | None:
+        """All entries, or None where nothing is stored. Files that aren't Parquet are left out with a warning."""
         try:
-            return self.spark.read.parquet(self.path)
-        except AnalysisException:  # nothing is stored yet
+            system, at = self._files()
+            if not system.exists(at):
+                return None
+        except Exception:  # of any file system
+            self.warn("cache_unavailable")
             return None
+        stored = self.spark.read.schema(ANSWERS)
+        try:
+            stored.parquet(self.path).count()  # of the footers
+            return stored.parquet(self.path)
+        except Exception:  # Spark's, by Py4J or Connect
+            self.warn("cache_corrupt")
+            return stored.option("ignoreCorruptFiles", "true").parquet(self.path)
 
     def put(self, answers: DataFrame) -> None:
-        """K3: appends the finite answers that fit an entry."""
+        """K3, K4: appends the finite answers that fit an entry, then leaves the newest within the cache's bytes."""
         finite = F.forall(F.map_values("answers"), lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
-        answers.where(finite & (F.col("bytes") <= ENTRY_BYTES)).write.mode("append").parquet(self.path)
+        try:
+            answers.where(finite & (F.col("bytes") <= ENTRY_BYTES)).write.mode("append").parquet(self.path)
+        except Exception:
+            self.warn("cache_unavailable")
+            return
+        if over := answers.where(F.col("bytes") > ENTRY_BYTES).count():
+            self.warn("cache_limit", over)
+        stored = self.read()
+        if stored is not None and (stored.agg(F.sum("bytes").alias("n")).first()["n"] or 0) > CACHE_BYTES:
+            cut(trim(stored)).write.mode("overwrite").parquet(self.path)
 
     def clear(self) -> None:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        system, at = self._files()
+        system.delete(at, True)
 
 
-def ask(requests: DataFrame, judge: Judge) -> DataFrame:
-    """M1, M4, M7: (key, answers) for distinct requests (key, state, questions)."""
+def ask(requests: DataFrame, judge: Judge, workers: int | None = None) -> DataFrame:
+    """M1, M4, M6, M7: (key, answers, error) for distinct requests (key, state, questions), by ``workers`` tasks if given. A judge that raises
+    gives no answers but its message."""
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def one(state: str, questions: list) -> tuple[dict | None, str | None]:
+            try:
+                return {k: float(v) for k, v in judge.predict(state, {q["qid"]: q["instructions"] for q in questions}).items()}, None
+            except Exception as e:  # whatever a model's library raises
+                return None, f"{type(e).__name__}: {e}"
+
         for b in batches:
-            answers = [judge.predict(s, {q["qid"]: q["instructions"] for q in qs}) for s, qs in zip(b["state"], b["questions"], strict=True)]
-            yield pd.DataFrame({"key": b["key"], "answers": [{k: float(v) for k, v in a.items()} for a in answers]})
+            found = [one(s, qs) for s, qs in zip(b["state"], b["questions"], strict=True)]
+            yield pd.DataFrame({"key": b["key"], "answers": [a for a, _ in found], "error": [e for _, e in found]}, dtype=object)
 
-    return requests.select("key", "state", "questions").mapInPandas(predict, "key string, answers map<string,double>")
+    rows = requests.select("key", "state", "questions")
+    return (rows.repartition(workers) if workers else rows).mapInPandas(predict, "key string, answers map<string,double>, error string")
 
 
-def evaluate(requests: DataFrame, judge: Judge, cache: AnswerCache | None = None, now: Column | None = None, limit: int = MAX_REQUESTS) -> tuple[DataFrame, dict[str, int]]:
-    """(req_id, answers or null), and counts: requests (distinct ones judged), cache_hits, refused (over the limit), invalid.
+def evaluate(requests: DataFrame, judge: Judge, cache: AnswerCache | None = None, now: Column | None = None, limit: int = MAX_REQUESTS, workers: int | None = None) -> tuple[DataFrame, dict]:
+    """(req_id, answers or null), and counts: requests (distinct ones judged), cache_hits, refused (over the limit), invalid, and
+    failure, the first message of the judge (A9).
 
-    requests (req_id, state, questions). States are clamped; equal requests are judged once (D15); invalid answers are null.
+    requests (req_id, state, questions). States are clamped; equal requests are judged once (D15); invalid answers are null. Where
+    there are more than ``limit``, files nearer to the root go first, then by req_id (M10).
     """
     keyed = requests.withColumn("state", clamp_bytes(F.col("state"), STATE_BYTES)).withColumn("key", cache_key(judge.name))
     keyed = cut(keyed)
@@ -155,9 +191,14 @@ def evaluate(requests: DataFrame, judge: Judge, cache: AnswerCache | None = None
         misses = keyed.join(hits, "key", "left_anti")
     else:
         hits, misses = None, keyed
-    distinct = misses.dropDuplicates(["key"]).select("key", "state", "questions").orderBy("key").limit(limit)
-    fresh = cut(ask(distinct, judge))
-    n_fresh, n_keys = fresh.count(), misses.select("key").distinct().count()
+    place = F.struct((F.length("req_id") - F.length(F.replace(F.col("req_id"), F.lit("/")))).alias("depth"), F.col("req_id").alias("id"))
+    distinct = misses.groupBy("key").agg(F.min(place).alias("place"), F.first("state").alias("state"), F.first("questions").alias("questions"))
+    n_keys = distinct.count()
+    chosen = distinct.orderBy("place").limit(limit) if n_keys > limit else distinct
+    fresh = cut(ask(chosen, judge, workers).join(chosen.select("key", "place"), "key"))
+    n_fresh = fresh.count()
+    failed = fresh.where("error IS NOT NULL").agg(F.min_by("error", "place").alias("e")).first()["e"]
+    fresh = fresh.where("answers IS NOT NULL").select("key", "answers")
     if cache and n_fresh:
         rows = fresh.select("key", F.lit(SCHEMA).alias("schema"), (now if now is not None else F.current_timestamp()).alias("created_at"), "answers", F.octet_length(F.to_json("answers")).cast("long").alias("bytes"))
         cache.put(rows)
@@ -165,12 +206,10 @@ def evaluate(requests: DataFrame, judge: Judge, cache: AnswerCache | None = None
     joined = keyed.join(known, "key", "left")
     ok = valid(F.col("answers"), F.transform("questions", lambda q: q["qid"]))
     out = cut(joined.select("req_id", F.when(F.coalesce(ok, F.lit(False)), F.col("answers")).alias("answers")))
-    counts = {"requests": n_fresh, "cache_hits": keyed.join(hits, "key", "left_semi").count() if hits is not None else 0, "refused": n_keys - n_fresh, "invalid": out.where("answers IS NULL").count()}
+    counts = {"requests": n_fresh, "cache_hits": keyed.join(hits, "key", "left_semi").count() if hits is not None else 0, "refused": n_keys - n_fresh, "invalid": out.where("answers IS NULL").count(), "failure": failed}
     return out, counts
 
 
 def judge_bool(judge: Judge, state: str, question: str) -> float:
     """M9."""
     return judge.predict(state, {"q": question})["q"]
-
-

@@ -6,6 +6,9 @@ cut after each of them, so plans stay small; after the top 40 all that follows i
 
 from __future__ import annotations
 
+import os
+import stat
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +18,7 @@ from ..functions.paths import ancestors
 from ..functions.text import clamp_bytes, state_header
 from ..operators import describe, graph, ranges, ranking
 from ..operators.bm25 import before_judge, bm25
-from ..operators.judge import AnswerCache, Judge, TermJudge, evaluate, file_question, role_questions
+from ..operators.judge import MAX_REQUESTS, AnswerCache, Judge, TermJudge, evaluate, file_question, role_questions
 from ..operators.units import comments, inspect_files, units
 from ..schemas import CALL_LEAD, EXCERPT, LEAD
 from ..sources.cuts import cut
@@ -32,6 +35,8 @@ class Options:
     cache_path: str | None = None
     judge: Judge = field(default_factory=TermJudge)
     debug: bool = False
+    #: Tasks that judge at once; None leaves it to Spark.
+    workers: int | None = None
 
 
 @dataclass
@@ -46,6 +51,9 @@ class Result:
     pytest_files: list[str]
     issues: dict[str, int]
     counts: dict[str, int]
+    warnings: dict[str, int] = field(default_factory=dict)
+    provider_failure: str | None = None
+    lookup_incomplete: bool = False
 
 
 def _questions(pairs: dict[str, str]):
@@ -60,19 +68,23 @@ def descriptions(files: DataFrame, found: DataFrame) -> DataFrame:
     return rows.select("path", describe.description(F.col("path"), F.col("source"), F.col("names"), graph.import_specifiers(F.col("path"), F.col("source"))).alias("description"))
 
 
-def search_files(spark: SparkSession, files: DataFrame, query: str, options: Options | None = None, root: str = ".", issues: dict[str, int] | None = None, on_disk: DataFrame | None = None) -> Result:
-    """The plan over (path, source). on_disk (path): files whose existence counts for the instruction lookup."""
+def search_files(spark: SparkSession, files: DataFrame, query: str, options: Options | None = None, root: str = ".", issues: dict[str, int] | None = None, look: Callable[[list[str]], tuple[list[str], bool]] | None = None) -> Result:
+    """The plan over (path, source). look: of some paths (a few for each of at most 40 files) those that are files, and whether any couldn't be
+    looked at; by default the table's own paths count."""
     options, issues = options or Options(), dict(issues or {})
     cache = AnswerCache(spark, options.cache_path) if options.cache_path else None
     counts = {"requests": 0, "cache_hits": 0, "inspected_files": 0}
+    failures: list[str] = []
 
     def judged(requests: DataFrame) -> DataFrame:
-        answers, n = evaluate(requests, options.judge, cache, limit=max(0, 6000 - counts["requests"]))
+        answers, n = evaluate(requests, options.judge, cache, limit=max(0, MAX_REQUESTS - counts["requests"]), workers=options.workers)
         counts["requests"] += n["requests"]
         counts["cache_hits"] += n["cache_hits"]
-        for kind, k in (("interrupted", n["refused"]), ("provider", n["invalid"] - n["refused"] if n["invalid"] > n["refused"] else 0)):
-            if k:
-                issues[kind] = issues.get(kind, 0) + k
+        if n["refused"]:
+            issues["interrupted"] = issues.get("interrupted", 0) + 1
+        if n["invalid"] > n["refused"]:
+            issues["provider"] = issues.get("provider", 0) + n["invalid"] - n["refused"]
+            failures.append(n["failure"] or "invalid answers")
         return answers
 
     def stage(name: str) -> None:
@@ -147,14 +159,17 @@ def search_files(spark: SparkSession, files: DataFrame, query: str, options: Opt
     evidence = cut(evidence)
 
     stage("context")
-    known = on_disk if on_disk is not None else files.select("path")
     above = evidence.select(F.explode(ancestors(F.col("path"))).alias("dir")).union(spark.createDataFrame([("",)], "dir string")).distinct()
     wanted = above.select(F.when(F.col("dir") == "", "AGENTS.md").otherwise(F.concat("dir", F.lit("/AGENTS.md"))).alias("path"))
-    instructions = sorted(r["path"] for r in wanted.join(known, "path", "left_semi").collect())
+    incomplete = False
+    if look:
+        instructions, incomplete = look(sorted(r["path"] for r in wanted.collect()))
+    else:
+        instructions = sorted(r["path"] for r in wanted.join(files, "path", "left_semi").collect())
     pytest_files = sorted(r["path"] for r in pytest_paths(evidence, all_units, files).collect())
     spark.sparkContext.setJobDescription(None)
     status = "interrupted" if "interrupted" in issues else "incomplete" if issues else "complete"
-    return Result(root, query, status, evidence, instructions, pytest_files, issues, counts)
+    return Result(root, query, status, evidence, instructions, pytest_files, issues, counts, dict(cache.warnings) if cache else {}, next(iter(failures), None), incomplete)
 
 
 def pytest_paths(evidence: DataFrame, all_units: DataFrame, files: DataFrame) -> DataFrame:
@@ -173,4 +188,18 @@ def search(spark: SparkSession, root: str, query: str, options: Options | None =
     counted: dict[str, int] = {}
     for r in ranking.issue_counts(walk_issues.unionByName(read.where("status = 'issue'").select(F.col("reason").alias("kind"), "path"))).collect():
         counted[r["kind"]] = r["n"]
-    return search_files(spark, read.where("status = 'ok'"), query, options, root, counted, files.select("path"))
+
+    def look(paths: list[str]) -> tuple[list[str], bool]:
+        """On the disk itself, so that ignored and hidden files count too."""
+        there, incomplete = [], False
+        for p in paths:
+            try:
+                if stat.S_ISREG(os.lstat(f"{root}/{p}").st_mode):
+                    there.append(p)
+            except FileNotFoundError:
+                pass
+            except OSError:
+                incomplete = True
+        return there, incomplete
+
+    return search_files(spark, read.where("status = 'ok'"), query, options, root, counted, look)
