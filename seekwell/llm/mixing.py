@@ -62,13 +62,14 @@ def mix(docs: DataFrame, keep: Sequence[str] = (), weights: Sequence[int] = WEIG
     """One row per row of ``docs``: mix_row (a struct of the columns ``keep``, if any), mix_id, mix_size (words), mix_total (of the source), mix_target, mix_copies and
     mix_positions (a training position for each copy, ascending).
 
-    Null texts have size 0; a null source is a source of its own, the last; null ids share one place in the order.
+    Null texts have size 0; a null source is a source of its own, the last; rows of null ids are dealt by their texts.
     Rows of one id follow by size; wholly equal rows are interchangeable, and all are kept. A source of size 0 keeps
     its documents once. An empty table gives an empty result. Names of other columns can't clash.
     """
-    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("-"), F.xxhash64(text_col).cast("string"))))
     row = [F.struct(*keep).alias("mix_row")] if keep else []
     rows = docs.select(*row, F.col(id_col).alias("mix_id"), F.col(source_col).alias("mix_source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("mix_size"), digest.alias("mix_hash"))
+    rows = rows if keep else cut(rows, "sizes")  # without texts they are narrow, and words are counted once
     digits, n = 1, docs.count()
     while n > BUCKET_ROWS * 16**digits:
         digits += 1
