@@ -87,7 +87,7 @@ def candidates(path: Column, spec: Column) -> Column:
     dotted = F.replace(spec, F.lit("."), F.lit("/"))
     java = F.array(*[F.concat(F.lit(r), dotted, F.lit(".java")) for r in ("src/main/java/", "src/test/java/", "src/", "")])
     kotlin = F.array(*[F.concat(F.lit(r), dotted, F.lit(e)) for r in ("src/main/kotlin/", "src/main/java/", "src/test/kotlin/", "src/", "") for e in (".kt", ".java")])
-    cpp = F.array(normalized(_in(here, spec)), normalized(spec), F.concat(F.lit("include/"), spec), F.concat(F.lit("src/"), spec))
+    cpp = F.array(normalized(_in(here, spec)), normalized(spec), normalized(F.concat(F.lit("include/"), spec)), normalized(F.concat(F.lit("src/"), spec)))
     return (
         F.when((lang == "python") & (dots > 0), py_rel).when(lang == "python", py_abs)
         .when(lang.isin("typescript", "tsx", "javascript") & spec.startswith("."), js_all)

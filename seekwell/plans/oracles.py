@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from ..functions.paths import DEPENDENCY_DIRS, LANGUAGES, SENSITIVE_NAMES, SENSITIVE_SUFFIXES, TEST_DIRS
 from ..functions.text import ENDINGS
+from ..operators.judge import file_question
 from ..operators.ranking import ROLES
+from . import cases
 from .paths_of_documents import EXTENSIONS, derived_path_sql
 from .queries import HIT, NOW, OTHER_PATHS, QUERY, SNIFF_ROWS, TEST_PATHS
 
@@ -96,6 +98,14 @@ flag AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY doc_id ORDER BY a, b
 isl AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM flag),
 merged AS (SELECT doc_id, min(a)::INT AS start_line, max(b)::INT AS end_line FROM isl GROUP BY doc_id, k)"""
 
+#: Windows, comments (kind 1) and blank lines (kind 2) that follow one another.
+_BRIDGED = """
+bridges AS (
+  SELECT doc_id, a, b, 0 AS kind FROM wide UNION ALL SELECT doc_id, line, line, 1 FROM lines WHERE contains(line_text, 'tion')
+  UNION ALL SELECT doc_id, line, line, 2 FROM lines WHERE trim(line_text, ' ') = ''),
+met AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY doc_id ORDER BY a, b, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS opens FROM bridges),
+joined AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY a, b, kind ROWS UNBOUNDED PRECEDING) AS k FROM met)"""
+
 _EVENTS = "SELECT user_id::VARCHAR || ':' || event_type AS key, * FROM events"
 
 ORACLES = {
@@ -182,4 +192,17 @@ ORACLES = {
         SELECT u.conv_id, u.turn, u.k, CASE WHEN n < 2 AND bytes + b <= 380 THEN g ELSE g + 1 END, CASE WHEN n < 2 AND bytes + b <= 380 THEN n + 1 ELSE 1 END, CASE WHEN n < 2 AND bytes + b <= 380 THEN bytes + b ELSE b END
         FROM f JOIN u ON u.conv_id = f.conv_id AND u.k = f.k + 1)
       SELECT conv_id, turn::INT AS turn, g::INT AS group_idx FROM f""",
-}
+    "blend_all": f"""
+      WITH {_bm25(DOCS)}, j AS (SELECT id, lex, (contains(text, 'heat')::INT + contains(text, 'tion')::INT) / 2.0::DOUBLE AS sem FROM lex JOIN src USING (id)),
+      b AS (SELECT id, round(0.7::DOUBLE * lex + 0.3::DOUBLE * sem, 6) AS score FROM j WHERE lex >= 0.06 AND sem >= 0.3)
+      SELECT id AS doc_id, score, score >= 0.25 AS strong, row_number() OVER (ORDER BY score DESC, id)::INT AS nth FROM b QUALIFY nth <= 40""",
+    "contained_units": f"""
+      WITH {_ISLANDS}, u AS (SELECT doc_id, unnest(range(1, n_lines + 1)) AS a FROM n)
+      SELECT doc_id, a::INT AS start_line FROM u WHERE EXISTS (SELECT 1 FROM merged m WHERE m.doc_id = u.doc_id AND u.a >= m.start_line AND u.a + 4 <= m.end_line)""",
+    "commented_windows": f"WITH {_ISLANDS},{_BRIDGED} SELECT doc_id, (min(a) FILTER (WHERE kind < 2))::INT AS start_line, (max(b) FILTER (WHERE kind < 2))::INT AS end_line FROM joined GROUP BY doc_id, k HAVING min(kind) = 0",
+    "cache_keys": f"""
+      SELECT doc_id, sha256('{{"schema":1,"namespace":"terms-1","state":' || to_json(text)::VARCHAR || ',"questions":[{{"qid":"relevant","instructions":' || to_json('{file_question(QUERY)}')::VARCHAR || '}}]}}') AS key FROM documents""",
+    "weak_leads": "SELECT conv_id, 'u' || turn::VARCHAR AS name, turn, 0.0::DOUBLE AS score FROM conversations WHERE turn % 4 > 1 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 2",
+    "nested_leads": "SELECT user_id, string_agg(event_type || '@' || d::VARCHAR, ' ' ORDER BY d, event_type) AS leads FROM (SELECT DISTINCT user_id, event_type, day(ts)::INT AS d FROM events) GROUP BY user_id",
+    "state_headers": f"SELECT doc_id, 'Query: {QUERY} now' || chr(10) || text AS state, round(n_chars / 7.0::DOUBLE, 4) AS seventh FROM documents",
+} | cases.ORACLES

@@ -11,7 +11,7 @@ from ..operators import describe, graph, judge, ranges, ranking
 from ..operators.units import text_chunks as chunk_texts
 from ..sources.cuts import spread
 from ..sources.reader import snapshot_status
-from . import paths_of_documents
+from . import cases, paths_of_documents
 from .render import json_files
 
 QUERY = "How are theReadings heated onder tionShed?"
@@ -313,10 +313,62 @@ def unit_pack_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.pack_units(units).select(F.col("path").alias("conv_id"), F.col("unit_idx").alias("turn"), "group_idx")
 
 
+def blend_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As blend_topk, with every document judged."""
+    marks = (F.contains("text", F.lit("heat")).cast("int") + F.contains("text", F.lit("tion")).cast("int")) / 2
+    judged = _docs(spark, sf_dir).select("doc_id", marks.alias("sem"))
+    best = ranking.top(ranking.blend(_lex(spark, sf_dir).join(judged, "doc_id")).withColumn("score", F.round("score", 6)), "doc_id")
+    return best.select("doc_id", "score", ranking.is_strong(F.col("score")).alias("strong"), F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).alias("nth"))
+
+
+def contained_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of five lines, one begun at every line, that lie wholly in a window around hits."""
+    files = _files(spark, sf_dir)
+    starts = files.select("path", F.explode(F.sequence(F.lit(1), text.line_count(F.col("source")))).alias("start_line"))
+    return ranges.contained(starts.withColumn("end_line", F.col("start_line") + 4), _windows(files)).select(F.col("path").alias("doc_id"), "start_line")
+
+
+def commented_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows around hits, widened by the comments (here lines with tion) that touch them or are parted from them by blank lines."""
+    files = _files(spark, sf_dir)
+    lines = describe.numbered_lines(files)
+    some = lambda which: lines.where(which).select("path", F.col("line").alias("start_line"), F.col("line").alias("end_line"))
+    n_lines = files.select("path", text.line_count(F.col("source")).alias("n_lines"))
+    wide = ranges.expand(some(F.contains(F.lower("text"), F.lit(HIT))), n_lines, some(F.contains("text", F.lit("tion"))), some(F.trim("text") == ""))
+    return wide.select(F.col("path").alias("doc_id"), "start_line", "end_line")
+
+
+def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key of each document's request."""
+    question = F.struct(F.lit("relevant").alias("qid"), F.lit(judge.file_question(QUERY)).alias("instructions"))
+    rows = _docs(spark, sf_dir).select("doc_id", F.col("text").alias("state"), F.array(question).alias("questions"))
+    return rows.select("doc_id", judge.cache_key(judge.TermJudge.name).alias("key"))
+
+
+def weak_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two named units of a conversation, whose turns are units; every fourth is plain source, every fourth a context."""
+    kind = F.col("turn") % 4
+    name = F.when(kind == 0, F.lit("source")).when(kind == 1, F.concat("conv_id", F.lit(".context"))).otherwise(F.concat(F.lit("u"), "turn"))
+    units = _turns(spark, sf_dir).select(F.col("conv_id").alias("path"), F.col("turn").alias("unit_idx"), name.alias("name"), F.col("turn").alias("start_line"), F.col("turn").alias("end_line"))
+    return ranking.weak_leads(units, k=2).select(F.col("path").alias("conv_id"), "name", F.col("start_line").alias("turn"), "score")
+
+
+def nested_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's leads (lead_dedup) in their order."""
+    leads = lead_dedup(spark, sf_dir).select(F.col("user_id").alias("path"), "name", "start_line", F.col("start_line").alias("end_line"), "score")
+    shown = F.transform("leads", lambda x: F.concat(x["name"], F.lit("@"), x["start_line"].cast("string")))
+    return ranking.nested_leads(leads).select(F.col("path").alias("user_id"), F.array_join(shown, " ").alias("leads"))
+
+
+def state_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P11, P16."""
+    return _docs(spark, sf_dir).select("doc_id", text.state_header(F.lit(f"\n{QUERY}\nnow "), F.col("text")).alias("state"), text.round4(F.col("n_chars") / 7).alias("seventh"))
+
+
 NAMES = (
     tokenize_terms, bm25_stats, bm25_scores, bm25_topk, bm25_pages, bm25_turns, bm25_partitioned, lexical_prefilter, policy_filter, language_of_path, test_path_classify,
     describe_documents, clamp_bytes, path_ancestors, content_hash_dups, binary_sniff, import_edges, propagate_scores, blend_topk, text_chunks, line_hits_merge, excerpt_cap,
     unit_pack, lead_dedup, phrase_contains_join, range_join_innermost, role_labels, budget_fold, cache_lookup, cache_evict, issue_counts, run_status, grouped_order, json_report,
-    quote_and_shell, quote_texts, unit_pack_texts,
+    quote_and_shell, quote_texts, unit_pack_texts, blend_all, contained_units, commented_windows, cache_keys, weak_leads, nested_leads, state_headers,
 )
-QUERIES = {f.__name__: f for f in NAMES}
+QUERIES = {f.__name__: f for f in NAMES} | cases.QUERIES
