@@ -157,7 +157,7 @@ class Vocabulary:
 
 
 class Cache:
-    """Bytes by string, at most ``limit`` or so: when the young half is full it becomes the old half, and what is still used moves over."""
+    """Values by string, at most ``limit`` or so: when the young half is full it becomes the old half, and what is still used moves over."""
 
     def __init__(self, limit: int) -> None:
         self.limit, self.young, self.old = limit, {}, {}
@@ -166,7 +166,7 @@ class Cache:
         if len(self.young) > self.limit // 2:
             self.young, self.old = {}, self.young
 
-    def found(self, keys: list[str]) -> list[bytes | None]:
+    def found(self, keys: list[str]) -> list:
         young, old = self.young, self.old
         out = list(map(young.get, keys))
         if old:

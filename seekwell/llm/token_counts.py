@@ -5,7 +5,8 @@ One (document, pre-token) row each would be several times the input, so both sid
 pre-aggregated. A *block* is a slice of a partition (some 8 MB of text). It sends its distinct pre-tokens, one
 packed row for each class of their hashes, and its documents' frequencies as one packed row. The rows of a
 class meet in one task, which counts each of its pre-tokens once and answers every block with packed counts;
-counts and frequencies meet by block. No document and no pre-token gathers more than a value for each block.
+counts and frequencies meet by block. No document and no pre-token gathers more than a value for each block. The number
+of classes follows the input, and a task remembers so many counts at most; one that it has forgotten is counted again.
 """
 
 from __future__ import annotations
@@ -20,8 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .pieces import Vocabulary, vocabulary
-from .shared import documents, filled, partitions, sliced
+from .pieces import Cache, Vocabulary, vocabulary
+from .shared import documents, filled, input_bytes, partitions, sliced
+
+#: Bytes of input for a class of pre-tokens; pre-tokens whose counts a worker remembers.
+CLASS_BYTES, REMEMBERED = 128 << 20, 2_000_000
+
 
 def _block(batch: pa.RecordBatch, v: Vocabulary, n_classes: int) -> tuple[int, list[list[str]], tuple[pa.RecordBatch, pa.RecordBatch]]:
     """(block id, distinct pre-tokens by class, (a row per document: id, n_bytes, special strings, numbers and frequencies of its units; a row per unit: its pre-tokens' numbers)). Pre-tokens are numbered class by class."""
@@ -101,30 +106,34 @@ def token_counts(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_
     A null text counts as empty (0 bytes, 0 tokens); null or repeated ids and repeated rows keep a row each;
     an empty table gives an empty result; other columns, whatever their names, are left out. ``docs`` must be
     re-readable with the same rows in the same partitions (a table, a written cut): it's scanned twice, and
-    a block that has changed between the scans raises an error instead of a wrong count.
+    a block that has changed between the scans raises an error instead of a wrong count. A long text is a block of its own.
     """
     pairs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = pairs.schema["id"].dataType.simpleString()
 
     n = partitions(docs.sparkSession)
-    n_classes = 2 * n
+    n_classes = max(2 * n, input_bytes(pairs) // CLASS_BYTES)
 
     def vocabulary_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(vocab_path)
         for batch in sliced(batches):
             block, classes, _ = _block(batch, v, n_classes)
-            packed = [_squeezed(words) for words in classes]
-            yield pa.record_batch({"block": pa.array([block] * n_classes, pa.int64()), "class": pa.array(range(n_classes), pa.int32()), "size": pa.array([k for k, _ in packed], pa.int32()), "words": pa.array([x for _, x in packed], pa.binary())})
+            some = [k for k, words in enumerate(classes) if words]
+            packed = [_squeezed(classes[k]) for k in some]
+            yield pa.record_batch({"block": pa.array([block] * len(some), pa.int64()), "class": pa.array(some, pa.int32()), "size": pa.array([k for k, _ in packed], pa.int32()), "words": pa.array([x for _, x in packed], pa.binary())})
 
     def count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, counts = vocabulary(vocab_path), {}  # of the distinct pre-tokens of this task's classes
+        v, counts = vocabulary(vocab_path), Cache(REMEMBERED)  # of the distinct pre-tokens of this task's classes
         for batch in batches:
             out = []
             for size, data in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 words = _words(size, data)
-                new = [w for w in words if w not in counts]
-                counts.update(zip(new, map(len, v.encode(new)), strict=True))
-                out.append(np.array([counts[w] for w in words], "<u4").tobytes())
+                counts.turn()
+                found = counts.found(words)
+                new = [i for i, n in enumerate(found) if n is None]
+                for i, ids in zip(new, v.encode([words[i] for i in new]), strict=True):
+                    found[i] = counts.young[words[i]] = len(ids)
+                out.append(np.array(found, "<u4").tobytes())
             yield pa.record_batch({"block": batch.column(0), "class": batch.column(1), "n": pa.array([pa.compress(x, codec="zstd", asbytes=True) for x in out], pa.binary()), "size": pa.array([len(x) for x in out], pa.int32())})
 
     def frequency_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +157,7 @@ def token_counts(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_
             out.append(pa.table({"id": rows.column("id"), "n_bytes": rows.column("n_bytes"), "n_tokens": pa.array(total, pa.int64())}))
         return pa.concat_tables(out) if out else pa.table({"id": pa.array([], packed_type(id_type)), "n_bytes": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64())})
 
-    counts = pairs.mapInArrow(vocabulary_rows, "block long, class int, size int, words binary").repartition(n, "class").mapInArrow(count_rows, "block long, class int, n binary, size int")
+    counts = pairs.mapInArrow(vocabulary_rows, "block long, class int, size int, words binary").repartition(max(n, n_classes // 2), "class").sortWithinPartitions("class").mapInArrow(count_rows, "block long, class int, n binary, size int")
     packed = pairs.mapInArrow(frequency_rows, "block long, n_pieces int, docs binary, units binary")
     return counts.groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(sums, f"id {id_type}, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)
 
