@@ -13,6 +13,7 @@ from urllib.parse import unquote, urlparse
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 try:
     _LIBC = ctypes.CDLL("libc.so.6")
@@ -90,9 +91,9 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Spark's estimate of the bytes of ``df``, for a table from its files' sizes; reads no row."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def text_bytes(df: DataFrame, text_col: str) -> int:
+    """Bytes of all texts, by a scan."""
+    return df.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

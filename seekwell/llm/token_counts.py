@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .pieces import Cache, Vocabulary, vocabulary
-from .shared import documents, filled, input_bytes, partitions, sliced
+from .shared import documents, filled, partitions, sliced, text_bytes
 
-#: Bytes of input for a class of pre-tokens; pre-tokens whose counts a worker remembers.
+#: Bytes of text for a class of pre-tokens; pre-tokens whose counts a worker remembers.
 CLASS_BYTES, REMEMBERED = 128 << 20, 2_000_000
 
 
@@ -105,14 +105,14 @@ def token_counts(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_
 
     A null text counts as empty (0 bytes, 0 tokens); null or repeated ids and repeated rows keep a row each;
     an empty table gives an empty result; other columns, whatever their names, are left out. ``docs`` must be
-    re-readable with the same rows in the same partitions (a table, a written cut): it's scanned twice, and
-    a block that has changed between the scans raises an error instead of a wrong count. A long text is a block of its own.
+    re-readable with the same rows in the same partitions (a table, a written cut): it's scanned three times, and
+    a block that has changed between the last two raises an error instead of a wrong count. A long text is a block of its own.
     """
     pairs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = pairs.schema["id"].dataType.simpleString()
 
     n = partitions(docs.sparkSession)
-    n_classes = max(2 * n, input_bytes(pairs) // CLASS_BYTES)
+    n_classes = max(2 * n, text_bytes(pairs, "text") // CLASS_BYTES)
 
     def vocabulary_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(vocab_path)
