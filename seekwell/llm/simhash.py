@@ -4,8 +4,9 @@ Distinct fingerprints are sharded by the pigeonhole principle: of k blocks of bi
 r agree on at least k - r, so each goes to one shard for every choice of k - r blocks, and each link lies whole in
 some shard; k grows with the number of fingerprints so that shards stay small. In a shard, a BK-tree (children
 keyed by the integer Hamming distance to their parent) is searched along the edges within the radius, then takes
-the fingerprint in. A shard over the limit is cut into parts of at most the limit: each part's tree is sent to
-all chunks of the shard, so links between parts are found too and no task holds more than two of them.
+the fingerprint in. The fingerprints of shards over the limit, which are alike in many bits, are dealt anew by more and
+narrower blocks. What is over the limit at the finest division is cut into parts of at most the limit: each part's tree is
+sent to all chunks of the shard, so links between parts are found too and no task holds more than two of them.
 A shard gives a shallow spanning tree of each group it sees, not its pairs; the groups are joined by contraction.
 """
 
@@ -26,6 +27,8 @@ from .shared import cut, documents, filled, partitions, sliced
 
 #: Production parameters: words of a shingle, differing bits of a link, fingerprints of a tree, mean fingerprints of a shard.
 WORDS, RADIUS, TREE_NODES, SHARD_MEAN = 4, 4, 4096, 256
+#: Blocks of the finest division.
+FINEST = 12
 
 
 def fingerprint(text: str, words: int = WORDS) -> int:
@@ -126,11 +129,8 @@ def _links(tree_values: list[int], probes: list[int], radius: int) -> list[tuple
     return spanning([*tree_values, *probes], links)
 
 
-def blocks_for(n: int, radius: int = RADIUS, mean: int = SHARD_MEAN) -> list[list[tuple[int, int]]]:
-    """The shard choices for n fingerprints: for each, its blocks as (first bit, width). Few choices while shards stay small."""
-    k = radius + 1
-    while k < 12 and n > mean << (64 * (k - radius) // k):
-        k += 1
+def choices(k: int, radius: int = RADIUS) -> list[list[tuple[int, int]]]:
+    """All choices of k - radius of k blocks of the 64 bits, a block as (first bit, width)."""
     edges = [64 * i // k for i in range(k + 1)]
     blocks = [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
     out = [list(c) for c in combinations(blocks, k - radius)]
@@ -138,17 +138,26 @@ def blocks_for(n: int, radius: int = RADIUS, mean: int = SHARD_MEAN) -> list[lis
     return out
 
 
+def blocks_for(n: int, radius: int = RADIUS, mean: int = SHARD_MEAN) -> list[list[tuple[int, int]]]:
+    """The shard choices for n fingerprints. Few choices while shards stay small."""
+    k = radius + 1
+    while k < FINEST and n > mean << (64 * (k - radius) // k):
+        k += 1
+    return choices(k, radius)
+
+
+def shards(distinct: DataFrame, wanted: list[list[tuple[int, int]]]) -> DataFrame:
+    """(fp, shard): a row for each choice of blocks, the shard a hash of the choice and of the fingerprint's bits in it."""
+    masks = [sum(((1 << w) - 1) << a for a, w in blocks) for blocks in wanted]
+    signed = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in masks])
+    return distinct.select("fp", F.posexplode(signed).alias("c", "mask")).select("fp", F.xxhash64("c", F.col("fp").bitwiseAND(F.col("mask"))).alias("shard"))
+
+
 def link_edges(distinct: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES, mean: int = SHARD_MEAN) -> DataFrame:
     """(a, b): edges whose components are those of all pairs of ``distinct`` (fp long) within ``radius`` bits."""
     spark, n = distinct.sparkSession, partitions(distinct.sparkSession)
-    keys = []
-    for c, blocks in enumerate(blocks_for(distinct.count(), radius, mean)):
-        masked = F.lit(sum(((1 << w) - 1) << a for a, w in blocks) - (1 << 64 if blocks[-1][0] + blocks[-1][1] == 64 else 0))
-        keys.append(F.xxhash64(F.lit(c), F.col("fp").bitwiseAND(masked)) if len(blocks) > 1 else F.shiftleft(F.shiftrightunsigned(F.col("fp"), blocks[0][0]).bitwiseAND(F.lit((1 << blocks[0][1]) - 1)), 8) + F.lit(c))
-    rows = distinct.select("fp", F.explode(F.array(*keys)).alias("shard"))
-    sizes = cut(rows.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > tree_nodes), "large-shards")
-    large = sizes.take(1) != []
-    small = rows.join(sizes, "shard", "left_anti") if large else rows
+    wanted, found = blocks_for(distinct.count(), radius, mean), None
+    k = max((i for i in range(radius + 1, FINEST + 1) if comb(i, radius) <= len(wanted)), default=radius + 1)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by shard; a shard is small, so it's held whole."""
@@ -178,9 +187,21 @@ def link_edges(distinct: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE
         if out:
             yield _edges(out)
 
-    found = small.select("shard", "fp").repartition(n, "shard").sortWithinPartitions("shard", "fp").mapInArrow(search, "a long, b long")
-    if not large:
-        return found
+    while True:
+        rows = shards(distinct, wanted)
+        sizes = cut(rows.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > tree_nodes), "large-shards")
+        large = sizes.take(1) != []
+        small = rows.join(sizes, "shard", "left_anti") if large else rows
+        edges = small.select("shard", "fp").repartition(n, "shard").sortWithinPartitions("shard", "fp").mapInArrow(search, "a long, b long")
+        found = edges if found is None else found.unionByName(edges)
+        if not large:
+            return found
+        if k >= FINEST:
+            break
+        # Two fingerprints of a large shard are both dealt anew, by more and narrower blocks, so they meet again.
+        distinct = cut(rows.join(sizes.select("shard"), "shard", "left_semi").select("fp").distinct(), "crowded")
+        k = min(FINEST, k + 3)
+        wanted = choices(k, radius)
     parts = F.ceil(F.col("n") / tree_nodes).cast("int")
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     big = rows.join(sizes, "shard").withColumn("parts", parts).withColumn("part", part)
