@@ -6,7 +6,7 @@ windows are partitioned by file, the largest group there is.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Lines around a selected unit; bytes of an excerpt.
@@ -47,21 +47,26 @@ def expand(ranges: DataFrame, line_counts: DataFrame, comments: DataFrame | None
 
 def excerpts(ranges: DataFrame, sources: DataFrame, key: str = "path", most: int = EXCERPT_BYTES) -> DataFrame:
     """(key, start_line, end_line, source, cut): the text of each range, cut after the last whole line that fits ``most`` bytes
-    (one line at least). sources (key, source)."""
-    rows = ranges.join(sources, key)
-    lines = F.slice(F.split("source", "\n"), F.col("start_line"), F.col("end_line") - F.col("start_line") + 1)
-    rows = rows.select(key, "start_line", "end_line", lines.alias("lines"))
-    # Bytes so far after each line, in one pass over the range's lines.
-    upto = F.aggregate(
-        "lines", F.struct(F.lit(0).cast("long").alias("bytes"), F.lit(0).alias("kept"), F.lit(True).alias("open")),
-        lambda a, x: F.struct(
-            (a["bytes"] + F.octet_length(x) + 1).alias("bytes"),
-            F.when(a["open"] & ((a["bytes"] + F.octet_length(x) + 1 <= most) | (a["kept"] == 0)), a["kept"] + 1).otherwise(a["kept"]).alias("kept"),
-            (a["open"] & (a["bytes"] + F.octet_length(x) + 1 <= most)).alias("open"),
-        ),
-    )
-    kept = rows.withColumn("kept", upto["kept"])
-    return kept.select(key, "start_line", (F.col("start_line") + F.col("kept") - 1).alias("end_line"), F.array_join(F.slice("lines", F.lit(1), F.col("kept")), "\n").alias("source"), (F.col("kept") < F.size("lines")).alias("cut"))
+    (one line at least). sources (key, source). A source meets all its ranges at once and is split into lines once."""
+    files = ranges.groupBy(key).agg(F.collect_list(F.struct("start_line", "end_line")).alias("ranges")).join(sources.select(key, "source"), key)
+
+    def step(a: Column, x: Column) -> Column:
+        """Bytes so far after each line of a range, and how many lines stay."""
+        size = a["bytes"] + F.octet_length(x) + 1
+        fits = a["open"] & (size <= most)
+        return F.struct(size.alias("bytes"), F.when(fits | (a["kept"] == 0), a["kept"] + 1).otherwise(a["kept"]).alias("kept"), fits.alias("open"))
+
+    def shown(r: Column, lines: Column, kept: Column) -> Column:
+        return F.struct(
+            r["start_line"].alias("start_line"), (r["start_line"] + kept - 1).alias("end_line"), F.array_join(F.slice(lines, F.lit(1), kept), "\n").alias("source"),
+            (kept < F.size(lines)).alias("cut"),
+        )
+
+    start = F.struct(F.lit(0).cast("long").alias("bytes"), F.lit(0).alias("kept"), F.lit(True).alias("open"))
+    let = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))  # noqa: E731  # evaluates value once
+    of_range = lambda r, lines: let(F.slice(lines, r["start_line"], r["end_line"] - r["start_line"] + 1), lambda some: let(F.aggregate(some, start, step)["kept"], lambda kept: shown(r, some, kept)))
+    every = let(F.split("source", "\n"), lambda lines: F.transform("ranges", lambda r: of_range(r, lines)))
+    return files.select(key, F.explode(every).alias("e")).select(key, "e.*")
 
 
 def innermost(points: DataFrame, units: DataFrame, key: str = "path") -> DataFrame:
