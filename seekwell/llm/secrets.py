@@ -158,20 +158,21 @@ class Automaton:
         return out
 
     def _compatible(self, r: int, q: int, bound: float) -> bool:
+        """Whether no frequency of an end or symbol tells r from q, the root of a tree, nor their successors."""
         open_ = [(r, q)]
         while open_:
             r, q = open_.pop()
             n, m = self.total(r), self.total(q)
-            if not n or not m:
+            if not n or m <= bound * bound:  # so rare that no difference counts, nor any in the tree below
                 continue
             most = bound * (1 / sqrt(n) + 1 / sqrt(m))
-            if abs(self.ends[r] / n - self.ends[q] / m) > most:
-                return False
-            for s in self.counts[r].keys() | self.counts[q].keys():
-                if abs(self.counts[r].get(s, 0) / n - self.counts[q].get(s, 0) / m) > most:
+            if most < 1:
+                if abs(self.ends[r] / n - self.ends[q] / m) > most:
                     return False
-                if s in self.moves[r] and s in self.moves[q] and self.moves[r][s] != self.moves[q][s]:
-                    open_.append((self.moves[r][s], self.moves[q][s]))
+                for s in self.counts[r].keys() | self.counts[q].keys():
+                    if abs(self.counts[r].get(s, 0) / n - self.counts[q].get(s, 0) / m) > most:
+                        return False
+            open_ += [(self.moves[r][s], k) for s, k in self.moves[q].items() if s in self.moves[r] and self.moves[r][s] != k]
         return True
 
     def _fold(self, r: int, q: int) -> None:
