@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.cuts import spread
+
 try:
     _LIBC = ctypes.CDLL("libc.so.6")
 except OSError:  # another C library
@@ -97,4 +99,5 @@ def text_bytes(df: DataFrame, text_col: str) -> int:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The table, dealt over all cores where it has fewer file splits than the cluster has cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
