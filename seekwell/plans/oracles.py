@@ -179,6 +179,25 @@ ORACLES = {
     "issue_counts": "SELECT event_type AS kind, count(*) AS n FROM events GROUP BY 1",
     "run_status": "SELECT user_id, CASE WHEN coalesce(max(value) > 400, false) THEN 'interrupted' WHEN count(*) FILTER (WHERE value < 1) > 0 THEN 'incomplete' ELSE 'complete' END AS status FROM events GROUP BY user_id",
     "grouped_order": f"{BEST}, p AS (SELECT {PATH} AS path, score FROM best JOIN documents USING (doc_id)) SELECT path, score, {_IS_TEST} AS is_test, row_number() OVER (ORDER BY {_IS_TEST}, score DESC, path)::INT AS nth FROM p",
+    "text_chunks": """
+      WITH RECURSIVE d AS (
+        SELECT doc_id, encode(text) AS data, strlen(text) AS size, list_transform(range(1, len(l)), lambda i: list_sum(list_transform(l[:i], lambda x: strlen(x) + 1))::BIGINT) AS ends
+        FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text <> '')),
+      f AS (
+        SELECT doc_id, -1 AS unit_idx, 0::BIGINT AS a, 0::BIGINT AS z FROM d
+        UNION ALL
+        SELECT doc_id, unit_idx + 1, z, CASE WHEN whole < size THEN coalesce(list_max(list_filter(ends, lambda x: x > z + 1 AND x <= whole)), whole) ELSE size END
+        FROM (
+          SELECT f.doc_id, unit_idx, z, size, ends,
+                 least(size, z + 2500 + coalesce(list_position(list_transform(range(1, 5), lambda i: hex(data[z + 2500 + i:z + 2500 + i]) NOT BETWEEN '80' AND 'BF'), true), 1) - 1) AS whole
+          FROM f JOIN d ON d.doc_id = f.doc_id WHERE z < size)),
+      c AS (SELECT f.doc_id, unit_idx, a, z, ends, 1 + len(list_filter(ends, lambda x: x <= a)) AS start_line, len(list_filter(ends, lambda x: x > a AND x < z)) AS inner_ends FROM f JOIN d ON d.doc_id = f.doc_id WHERE unit_idx >= 0)
+      SELECT doc_id, unit_idx::INT AS unit_idx, start_line::INT AS start_line, (start_line + inner_ends)::INT AS end_line, a::INT AS byte_start, z::INT AS byte_end FROM c""",
+    "json_report": f"""
+      {BEST}, p AS (SELECT {PATH} AS path, score, text FROM best JOIN documents USING (doc_id))
+      SELECT path, to_json(struct_pack(
+        path := path, score := round(score, 4), "testFile" := {_IS_TEST}, priority := NULL::INT, roles := []::VARCHAR[], leads := []::VARCHAR[], "callLeads" := []::VARCHAR[],
+        excerpts := [struct_pack("startLine" := 1, "endLine" := len(string_split(text, chr(10))), source := text)], "sourceOmitted" := false))::VARCHAR AS json FROM p""",
     "quote_and_shell": """
       SELECT doc_id, to_json(left(text, 80))::VARCHAR AS quoted, '''' || replace(left(text, 80), '''', '''\\''''') || '''' AS arg,
              repeat('`', greatest(coalesce(list_max(list_transform(regexp_extract_all(text, '`+'), lambda x: length(x))), 0) + 1, 3)) AS fence FROM documents""",
