@@ -16,6 +16,7 @@ MODULES = {
     "op8_media": "media",
     "op9_mixing": "mixing",
     "op10_line_dedup": "line_dedup",
+    "op11_fill_in_middle": "fill_in_middle",
 }
 
 
