@@ -17,6 +17,7 @@ MODULES = {
     "op9_mixing": "mixing",
     "op10_line_dedup": "line_dedup",
     "op11_fill_in_middle": "fill_in_middle",
+    "op12_jaccard_join": "jaccard_join",
 }
 
 

@@ -98,6 +98,11 @@ def text_bytes(df: DataFrame, text_col: str) -> int:
     return df.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table, dealt over all cores where it has fewer file splits than the cluster has cores."""
-    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+def documents(spark: SparkSession, sf_dir: str, stable: bool = False) -> DataFrame:
+    """The table, dealt over all cores where it has fewer file splits than the cluster has cores.
+
+    Rows of a shuffle come in another order each time they're read; an operator that needs the same order twice asks for a ``stable``
+    table, and one that was dealt (a small one, by definition) is written first."""
+    found = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    dealt = spread(found)
+    return cut(dealt, "dealt") if stable and dealt is not found else dealt
