@@ -179,5 +179,5 @@ VOCABULARY, LIMIT = "byte_bpe_50k.json", 512
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    counted = token_counts(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
+    counted = token_counts(documents(spark, sf_dir, stable=True), public_tokenizers.path(VOCABULARY))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
