@@ -2,13 +2,14 @@
 
 The units of a text are code points. Their offsets come from the tokenizers library: its Split pre-tokenizer, with
 each match of "any character" isolated, gives an array of offsets, with nothing trained. The array's length is n, and the
-offsets at two ranks are the places of the cuts. One call for a whole text costs a microsecond a character, so a text is taken in
-stretches between spaces, whose arrays follow one another: a stretch met before in a task isn't asked for again, and a long one
-is asked for in windows. Where a unit of some rank lies is found by the running sum of the arrays' lengths.
+offsets at two ranks are the places of the cuts. The library takes a microsecond for each character, so a text is taken in
+windows of three, whose arrays follow one another, and a window met before in a task isn't asked for again. Where the unit of
+some rank lies is found by the running sum of the arrays' lengths.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +22,9 @@ from .shared import documents, filled, sliced
 #: Fixed values of the contract: the marks, the share of texts transformed and of these with the suffix first (in hundredths).
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 TRANSFORMED, SUFFIX_FIRST = 90, 20
-#: Code points that one call of the library is given; stretches that a task remembers; the longest of these.
-WINDOW, REMEMBERED, SHORT = 4096, 200_000, 64
+#: Code points of a window; of a slab, which is taken at once (a multiple of the window); windows that a task remembers.
+WINDOW, SLAB, REMEMBERED = 3, 3 << 18, 200_000
+_WINDOWS = re.compile(f".{{1,{WINDOW}}}", re.DOTALL)
 
 
 class Units:
@@ -33,37 +35,36 @@ class Units:
         from tokenizers.pre_tokenizers import Split
 
         self.split = Split(Regex("(?m:.)"), behavior="isolated")  # of this regex library, m lets the dot match line ends
-        self.known: dict[str, np.ndarray] = {}
-
-    def of(self, stretch: str) -> np.ndarray:
-        """Where each unit of a stretch begins."""
-        if (found := self.known.get(stretch)) is not None:
-            return found
-        windows = [np.array([i + a for _, (a, _) in self.split.pre_tokenize_str(stretch[i : i + WINDOW])], np.uint32) for i in range(0, max(1, len(stretch)), WINDOW)]
-        found = windows[0] if len(windows) == 1 else np.concatenate(windows)
-        if len(stretch) <= SHORT:
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.sizes: dict[str, int] = {}
+
+    def of(self, window: str) -> tuple[int, ...]:
+        """Where each unit of a window begins."""
+        found = self.known.get(window)
+        if found is None:
+            found = tuple(a for _, (a, _) in self.split.pre_tokenize_str(window))
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            self.known[stretch] = found
+                self.sizes.clear()
+            self.known[window], self.sizes[window] = found, len(found)
         return found
 
     def measure(self, text: str) -> Offsets:
-        parts = text.split(" ")
-        space = len(self.of(" "))
-        arrays = list(map(self.known.get, parts))
-        if any(a is None for a in arrays):
-            arrays = [self.of(p) if a is None else a for p, a in zip(parts, arrays, strict=True)]
-        sizes = np.fromiter(map(len, arrays), np.int64, len(arrays)) + space
-        sizes[-1] -= space
-        return Offsets(arrays, [*map(len, parts)], np.concatenate(([0], np.cumsum(sizes))))
+        sizes = [np.zeros(1, np.int64)]
+        for i in range(0, len(text), SLAB):
+            windows = _WINDOWS.findall(text, i, i + SLAB)
+            found = list(map(self.sizes.get, windows))
+            if None in found:
+                found = [len(self.of(w)) if n is None else n for w, n in zip(windows, found, strict=True)]
+            sizes.append(np.array(found, np.int64))
+        return Offsets(self, text, np.cumsum(np.concatenate(sizes)))
 
 
 class Offsets:
-    """The offset array of one text, kept by stretches: ``upto`` has the units before each."""
+    """The offset array of one text by its windows: ``upto`` has the units before each, and all at its end."""
 
-    def __init__(self, arrays: list[np.ndarray], lengths: list[int], upto: np.ndarray) -> None:
-        self.arrays, self.upto = arrays, upto
-        self.begins = np.concatenate(([0], np.cumsum(np.array(lengths, np.int64) + 1)))
+    def __init__(self, units: Units, text: str, upto: np.ndarray) -> None:
+        self.units, self.text, self.upto = units, text, upto
 
     def __len__(self) -> int:
         return int(self.upto[-1])
@@ -71,11 +72,9 @@ class Offsets:
     def at(self, rank: int) -> int:
         """The offset of the unit of this rank; behind the last one, the text's end."""
         if rank >= len(self):
-            return int(self.begins[-1]) - 1
+            return len(self.text)
         k = int(np.searchsorted(self.upto, rank, "right")) - 1
-        inside = rank - int(self.upto[k])
-        own = self.arrays[k]
-        return int(self.begins[k]) + (int(own[inside]) if inside < len(own) else int(self.begins[k + 1] - self.begins[k]) - 1)
+        return k * WINDOW + self.units.of(self.text[k * WINDOW : (k + 1) * WINDOW])[rank - int(self.upto[k])]
 
 
 def arranged(text: str, offsets: Offsets, h: tuple[int, int, int, int]) -> tuple[str, int | None, int | None, str]:
