@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import argparse
 import importlib
+import signal
 import sys
+import threading
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from .operators.judge import AnswerCache, Judge, TermJudge, judge_bool
+from .operators.judge import AnswerCache, Judge, Stop, TermJudge, judge_bool
 from .plans.render import render_json, render_text
 from .plans.search import Options, search
+from .sources.cuts import run_folder
 from .sources.walk import Policy
 
 CACHE = str(Path.home() / ".cache/seekwell/answers")
@@ -56,15 +59,33 @@ def main(argv: list[str] | None = None) -> int:
         if not Path(args.root).is_dir():
             print(f"not a directory: {args.root}", file=sys.stderr)
             return 1
-        policy = Policy(args.hidden, args.no_ignore, args.include_dependencies, args.include_sensitive)
-        result = search(spark, args.root, args.query, Options(policy, None if args.no_cache else CACHE, judge_named(args.judge), workers=args.workers))
-        if args.debug_scores:
-            result.files.select("path", "score").show(40, truncate=False)
-        print(render_json(result) if args.json else render_text(result, args.max_source_bytes))
-        return {"complete": 0, "incomplete": 2}.get(result.status, 130)
+        stop = Stop(spark)
+        stop_at_interrupt(stop)
+        with run_folder(spark):  # what is printed needs no cut any more
+            return find_and_print(spark, args, stop)
     except KeyboardInterrupt:
         return 130
 
 
+def stop_at_interrupt(stop: Stop) -> None:
+    """The first interrupt ends the judging, so that what's found is still printed; a second one ends the program."""
+
+    def handle(number: int, frame: object) -> None:
+        signal.signal(signal.SIGINT, signal.default_int_handler)
+        threading.Thread(target=stop, daemon=True).start()  # the main thread may be in a call to the JVM
+
+    if threading.current_thread() is threading.main_thread():
+        signal.signal(signal.SIGINT, handle)
+
+
+def find_and_print(spark: SparkSession, args: argparse.Namespace, stop: Stop) -> int:
+    policy = Policy(args.hidden, args.no_ignore, args.include_dependencies, args.include_sensitive)
+    result = search(spark, args.root, args.query, Options(policy, None if args.no_cache else CACHE, judge_named(args.judge), workers=args.workers, stop=stop))
+    if args.debug_scores:
+        result.files.select("path", "score").show(40, truncate=False)
+    print(render_json(result) if args.json else render_text(result, args.max_source_bytes))
+    return {"complete": 0, "incomplete": 2}.get(result.status, 130)
+
+
 if __name__ == "__main__":
     sys.exit(main())

@@ -69,6 +69,28 @@ def bm25(docs: DataFrame, query: str, id_col: str = "id", text_col: str = "text"
     return scored.select(*ids, F.when(F.col("top") > 0, F.col("raw") / F.col("top")).otherwise(F.col("raw")).alias("lex"))
 
 
+def bm25_many(docs: DataFrame, queries: dict[str, str], id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(question, id, lex) of the documents that hold a term of a question: as ``bm25`` for each of ``queries`` (name -> text), in one pass
+    over the texts, and without the documents that score 0. ``queries`` are a handful: each adds a column of counts for each of its terms."""
+    wanted = {name: query_terms(q) for name, q in queries.items()}
+    every_term = sorted({t for w in wanted.values() for t in w})
+    at = {t: i for i, t in enumerate(every_term)}
+    word, every = F.col("word"), sorted({w for t in every_term for w in inflections(t)})
+    tf = [F.expr(f"sum(IF(hit AND word IN ({', '.join(map(repr, inflections(t)))}), 1, 0)) AS tf{i}") for i, t in enumerate(every_term)]
+    dl = F.sum(F.when(word.isNotNull(), variant_count("word")).otherwise(0)).alias("dl")
+    marked = exploded_words(docs, [id_col], text_col).withColumn("hit", word.isin(every) if every else F.lit(False))
+    per_doc = cut(marked.groupBy(id_col).agg(dl, *tf))
+    stats = per_doc.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"), *[F.expr(f"sum(IF(tf{i} > 0, 1, 0)) AS df{i}") for i in range(len(every_term))])
+    length = f"({K1}D * ({1 - B}D + {B}D * dl / IF(avgdl > 0, avgdl, 1D)))"
+    share = lambda i, n: f"{float(n)}D * ln((n_docs - df{i} + 0.5D) / (df{i} + 0.5D) + 1) * tf{i} * {K1 + 1}D / (tf{i} + {length})"
+    raw = [F.struct(F.lit(name).alias("question"), F.expr(" + ".join(["0D", *(share(at[t], n) for t, n in sorted(w.items()))])).alias("raw")) for name, w in sorted(wanted.items())]
+    if not raw:
+        return docs.select(F.lit("").alias("question"), id_col, F.lit(0.0).alias("lex")).where(F.lit(False))
+    scored = per_doc.crossJoin(F.broadcast(stats)).select(id_col, F.explode(F.filter(F.array(*raw), lambda r: r["raw"] > 0)).alias("r")).select("r.question", id_col, "r.raw")  # stats is one row
+    top = scored.groupBy("question").agg(F.max("raw").alias("top"))
+    return scored.join(F.broadcast(top), "question").select("question", id_col, (F.col("raw") / F.col("top")).alias("lex"))  # top has a row for each question
+
+
 def before_judge(scores: DataFrame) -> DataFrame:
     """F8."""
     return scores.where(F.col("lex") > JUDGE_ABOVE)

@@ -34,10 +34,17 @@ def numbered_lines(files: DataFrame) -> DataFrame:
 
 def calls(units: DataFrame, lines: DataFrame) -> DataFrame:
     """(path, d_idx, called, d_start, d_end, line): lines of a file that hold ``name(`` of one of its units; names as they're called,
-    the part after the last dot or ::."""
+    the part after the last dot or ::. A name holds no parenthesis.
+
+    What stands before an opening parenthesis ends in a called name, so a line is cut at its parentheses, and of each piece the endings that
+    are as long as some name of its file are the keys of an equi-join: no line meets a definition that it doesn't name."""
     defs = units.where(~F.col("name").endswith(".context") & (F.col("name") != "source")).select("path", F.col("unit_idx").alias("d_idx"), F.regexp_extract("name", r"([^.:]+)$", 1).alias("called"), F.col("start_line").alias("d_start"), F.col("end_line").alias("d_end"))
-    met = lines.where(F.instr("text", "(") > 0).join(defs, "path").where(F.contains(F.col("text"), F.concat("called", F.lit("("))))
-    return met.select("path", "d_idx", "called", "d_start", "d_end", "line")
+    defs = defs.where((F.length("called") > 0) & ~F.contains("called", F.lit("(")))
+    sizes = defs.groupBy("path").agg(F.collect_set(F.length("called")).alias("sizes"))  # a few numbers for each file
+    pieces = F.split("text", "\\(")
+    before = lines.where(F.instr("text", "(") > 0).select("path", "line", F.explode(F.slice(pieces, F.lit(1), F.size(pieces) - 1)).alias("piece"))
+    keyed = before.join(sizes, "path").select("path", "line", F.explode(F.transform(F.filter("sizes", lambda n: n <= F.length("piece")), lambda n: F.right("piece", n))).alias("called"))
+    return keyed.distinct().join(defs, ["path", "called"]).select("path", "d_idx", "called", "d_start", "d_end", "line")
 
 
 def unit_descriptions(units: DataFrame, files: DataFrame) -> DataFrame:

@@ -6,8 +6,13 @@ windows are partitioned by file, the largest group there is.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Lines around a selected unit; bytes of an excerpt.
 WINDOW_LINES, EXCERPT_BYTES = 3, 24_000
@@ -71,14 +76,52 @@ def excerpts(ranges: DataFrame, sources: DataFrame, key: str = "path", most: int
 
 def innermost(points: DataFrame, units: DataFrame, key: str = "path") -> DataFrame:
     """Each point (key, line) with the name and index of the unit (key, unit_idx, name, start_line, end_line) that holds it and
-    starts last, of those the last; null where none does."""
-    u = units.select(F.col(key).alias("u_key"), "unit_idx", "name", "start_line", "end_line")
-    joined = points.join(u, (F.col(key) == F.col("u_key")) & F.col("line").between(F.col("start_line"), F.col("end_line")), "left")
-    best = F.max_by(F.struct("name", "unit_idx"), F.struct("start_line", "unit_idx"))
-    return joined.groupBy(*points.columns).agg(best.alias("best")).select(*points.columns, F.col("best.name").alias("unit"), F.col("best.unit_idx").alias("unit_idx"))
+    starts last, of those the last; null where none does.
+
+    A sweep: beginnings of units and points are one stream of events in each file's order. Begun units lie on a stack, the one begun last
+    on top; those that end before a point are taken off as it looks at the top, since no later point is theirs either. A task holds the units
+    that are open at a place, not a file's events. Repeated points give a row each, as do points of a null key or line, which no unit holds.
+    """
+    begin = units.where("start_line <= end_line").select(
+        F.col(key).alias("k"), F.col("start_line").cast("long").alias("at"), F.lit(0).alias("kind"), F.col("unit_idx").cast("long").alias("idx"), F.col("end_line").cast("long").alias("until"), "name", F.lit(None).cast(points.select(F.struct(*points.columns)).schema[0].dataType).alias("point"),
+    )
+    look = points.select(F.col(key).alias("k"), F.col("line").cast("long").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("idx"), F.lit(None).cast("long").alias("until"), F.lit(None).cast("string").alias("name"), F.struct(*points.columns).alias("point"))
+    events = begin.unionByName(look).repartition("k").sortWithinPartitions("k", "at", "kind", "idx")
+    named = StructType([*points.schema.fields, StructField("unit", StringType()), StructField("unit_idx", units.schema["unit_idx"].dataType)])
+    plain = points.schema.names
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, stack = object(), []
+        for batch in batches:
+            kinds = batch.column("kind").to_pylist()
+            rows, found = [], []
+            for i, (k, at, kind, idx, until, name) in enumerate(zip(batch.column("k").to_pylist(), batch.column("at").to_pylist(), kinds, batch.column("idx").to_pylist(), batch.column("until").to_pylist(), batch.column("name").to_pylist(), strict=True)):
+                if k != file:
+                    file, stack = k, []
+                if not kind:
+                    stack.append((until, name, idx))
+                    continue
+                while stack and at is not None and stack[-1][0] < at:
+                    stack.pop()
+                rows.append(i)
+                found.append(stack[-1] if stack and k is not None and at is not None else (None, None, None))
+            if rows:
+                point = batch.column("point").take(pa.array(rows))
+                columns = [point.field(c) for c in range(len(plain))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.int64()).cast(index_type)], names=[*plain, "unit", "unit_idx"])
+
+    index_type = to_arrow_type(units.schema["unit_idx"].dataType)
+    return events.mapInArrow(sweep, named)
 
 
 def contained(inner: DataFrame, outer: DataFrame, key: str = "path") -> DataFrame:
-    """The rows of ``inner`` whose range lies in some range of ``outer``, left semi."""
-    o = outer.select(F.col(key).alias("o_key"), F.col("start_line").alias("o_start"), F.col("end_line").alias("o_end"))
-    return inner.join(o, (F.col(key) == F.col("o_key")) & (F.col("start_line") >= F.col("o_start")) & (F.col("end_line") <= F.col("o_end")), "left_semi")
+    """The rows of ``inner`` whose range lies in some range of ``outer``, left semi.
+
+    In order of their starts, a range lies in an earlier one if the furthest end of an outer range so far isn't before its own end: one
+    sort of both sides, no pairs. Rows travel as one struct, so names can't clash; those of a null key or bound lie in nothing.
+    """
+    rows = inner.where(F.col(key).isNotNull() & F.col("start_line").isNotNull()).select(F.col(key).alias("k"), F.col("start_line").alias("a"), F.col("end_line").alias("b"), F.struct(*inner.columns).alias("row"))
+    whole = outer.where(F.col(key).isNotNull() & F.col("start_line").isNotNull()).select(F.col(key).alias("k"), F.col("start_line").alias("a"), F.col("end_line").alias("b"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"))
+    order = Window.partitionBy("k").orderBy("a", F.col("row").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = F.max(F.when(F.col("row").isNull(), F.col("b"))).over(order)
+    return rows.unionByName(whole).withColumn("reach", reach).where(F.col("row").isNotNull() & (F.col("b") <= F.col("reach"))).select("row.*")

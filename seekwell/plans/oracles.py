@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from jobs import evidence_report, index_documents
+from jobs.common import read_config
+
 from ..functions.paths import DEPENDENCY_DIRS, LANGUAGES, SENSITIVE_NAMES, SENSITIVE_SUFFIXES, TEST_DIRS
 from ..functions.text import ENDINGS
 from ..operators.judge import file_question
@@ -33,13 +36,13 @@ def _terms(source: str, ids: str = "id") -> str:
       WHERE term <> ''"""
 
 
-def _bm25(source: str, part: str = "") -> str:
+def _bm25(source: str, part: str = "", query: str = QUERY) -> str:
     """CTEs ending in lex (part, id, lex) over a query with (part, id, text)."""
     p, on, group = (f"{part}, ", f"USING ({part})", f"GROUP BY {part}") if part else ("", "ON true", "")
     return f"""
     src AS ({source}),
     v AS ({_terms('SELECT * FROM src', f'{p}id')}),
-    q AS (SELECT term, count(*) AS qtf FROM ({_terms(f"SELECT 0 AS id, '{QUERY}' AS text")}) GROUP BY term),
+    q AS (SELECT term, count(*) AS qtf FROM ({_terms(f"SELECT 0 AS id, '{query}' AS text")}) GROUP BY term),
     tf AS (SELECT {p}id, term, count(*) AS tf FROM v GROUP BY ALL),
     dl AS (SELECT {p}s.id, coalesce(n, 0) AS dl FROM src s LEFT JOIN (SELECT id, count(*) AS n FROM v GROUP BY id) USING (id)),
     st AS (SELECT {p}count(*) AS n_docs, avg(dl) AS avgdl FROM dl {group}),
@@ -89,15 +92,18 @@ def _clamped(text: str, n: int) -> str:
     return f"array_to_string(list_transform(list_filter(range(1, least(length({text}), {n}) + 1), lambda i: strlen(left({text}, i)) <= {n}), lambda i: {text}[i]), '')"
 
 
-_ISLANDS = f"""
-lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line_text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents),
-n AS (SELECT doc_id, max(line) AS n_lines FROM lines GROUP BY doc_id),
-hits AS (SELECT doc_id, line FROM lines WHERE contains(lower(line_text), '{HIT}')),
+#: Windows of three lines around hits (doc_id, line), merged.
+_WINDOWS = """
 wide AS (SELECT doc_id, greatest(line - 3, 1) AS a, least(line + 3, n_lines) AS b FROM hits JOIN n USING (doc_id)),
 flag AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS opens FROM wide),
 isl AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM flag),
 merged AS (SELECT doc_id, min(a)::INT AS start_line, max(b)::INT AS end_line FROM isl GROUP BY doc_id, k)"""
 
+_ISLANDS = f"""
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line_text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents),
+n AS (SELECT doc_id, max(line) AS n_lines FROM lines GROUP BY doc_id),
+hits AS (SELECT doc_id, line FROM lines WHERE contains(lower(line_text), '{HIT}')),{_WINDOWS}"""
+
 #: Windows, comments (kind 1) and blank lines (kind 2) that follow one another.
 _BRIDGED = """
 bridges AS (
@@ -106,6 +112,40 @@ bridges AS (
 met AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY doc_id ORDER BY a, b, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS opens FROM bridges),
 joined AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY a, b, kind ROWS UNBOUNDED PRECEDING) AS k FROM met)"""
 
+
+
+def _evidence(name: str, query: str, k: int, least: float, most: int) -> str:
+    """Excerpts of a question's best documents."""
+    return f"""
+      WITH {_bm25(DOCS, query=query)},
+      best AS (SELECT id AS doc_id, round(lex, 6) AS score, row_number() OVER (ORDER BY round(lex, 6) DESC, id)::INT AS nth FROM lex WHERE lex >= {least} QUALIFY nth <= {k}),
+      lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line_text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM best JOIN documents USING (doc_id)),
+      n AS (SELECT doc_id, max(line) AS n_lines FROM lines GROUP BY doc_id),
+      held AS ({_terms('SELECT doc_id, line, line_text AS text FROM lines', 'doc_id, line')}),
+      hits AS (SELECT DISTINCT doc_id, line FROM held JOIN q USING (term)),{_WINDOWS.replace('ORDER BY a, b', 'ORDER BY a, b, line').replace('SELECT doc_id, greatest', 'SELECT doc_id, line, greatest')},
+      x AS (SELECT m.*, l.line, l.line_text, sum(strlen(line_text) + 1) OVER (PARTITION BY m.doc_id, start_line ORDER BY line) AS upto FROM merged m JOIN lines l ON l.doc_id = m.doc_id AND l.line BETWEEN start_line AND end_line),
+      e AS (
+        SELECT doc_id, start_line, max(line)::INT AS last_line, string_agg(line_text, chr(10) ORDER BY line) AS source, max(line) < end_line AS cut
+        FROM x WHERE upto <= {most} OR line = start_line GROUP BY doc_id, start_line, x.end_line)
+      SELECT '{name}' AS question, nth, doc_id, score, start_line, last_line AS end_line, source, cut FROM best JOIN e USING (doc_id)"""
+
+
+def _answers(name: str, query: str, k: int) -> str:
+    """A question's best documents as rows of the index job's output."""
+    return f"""
+      WITH {_bm25(DOCS, query=query)}
+      SELECT 'answers' AS part, '{name}' AS question, row_number() OVER (ORDER BY round(lex, 6) DESC, id)::INT AS nth, id AS doc_id, round(lex, 6) AS score, '' AS term, 0::BIGINT AS tf FROM lex WHERE lex > 0 QUALIFY nth <= {k}"""
+
+
+def _job1(config: dict) -> str:
+    return " UNION ALL ".join(f"SELECT * FROM ({_evidence(n, q, config['documents_per_question'], config['least_score'], config['excerpt_bytes'])})" for n, q in sorted(config["questions"].items()))
+
+
+def _job2(config: dict) -> str:
+    index = f"SELECT 'index' AS part, '' AS question, 0::INT AS nth, id AS doc_id, 0.0::DOUBLE AS score, term, count(*) AS tf FROM ({_terms(DOCS)}) GROUP BY ALL"
+    return " UNION ALL ".join([index, *(f"SELECT * FROM ({_answers(n, q, config['documents_per_question'])})" for n, q in sorted(config["questions"].items()))])
+
+
 _EVENTS = "SELECT user_id::VARCHAR || ':' || event_type AS key, * FROM events"
 
 ORACLES = {
@@ -113,6 +153,7 @@ ORACLES = {
     "bm25_stats": f"SELECT term, count(*) AS df, round(ln(((SELECT count(*) FROM documents) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE) + 1), 6) AS idf FROM (SELECT DISTINCT id, term FROM ({_terms(DOCS)})) GROUP BY term",
     "bm25_scores": f"WITH {_bm25(DOCS)} SELECT id AS doc_id, round(lex, 6) AS lex FROM lex",
     "bm25_topk": f"{BEST} SELECT doc_id, score, nth FROM best",
+    "bm25_indexed": f"{BEST} SELECT doc_id, score, nth FROM best",
     "bm25_pages": f"WITH {_bm25('SELECT page_id AS id, html AS text FROM pages')} SELECT id AS page_id, round(lex, 6) AS lex FROM lex",
     "bm25_turns": f"WITH {_bm25(TURNS)} SELECT id AS turn_id, round(lex, 6) AS lex FROM lex",
     "bm25_partitioned": f"WITH {_bm25('SELECT conv_id, conv_id * 1000 + turn AS id, text FROM conversations', 'conv_id')} SELECT conv_id, id AS turn_id, round(lex, 6) AS lex FROM lex QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY round(lex, 6) DESC, id) <= 3",
@@ -224,4 +265,11 @@ ORACLES = {
     "weak_leads": "SELECT conv_id, 'u' || turn::VARCHAR AS name, turn, 0.0::DOUBLE AS score FROM conversations WHERE turn % 4 > 1 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 2",
     "nested_leads": "SELECT user_id, string_agg(event_type || '@' || d::VARCHAR, ' ' ORDER BY d, event_type) AS leads FROM (SELECT DISTINCT user_id, event_type, day(ts)::INT AS d FROM events) GROUP BY user_id",
     "state_headers": f"SELECT doc_id, 'Query: {QUERY} now' || chr(10) || text AS state, round(n_chars / 7.0::DOUBLE, 4) AS seventh FROM documents",
+    "calls_by_endings": """
+      WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1))::INT AS line FROM documents),
+      spaced AS (SELECT doc_id, line, replace(t, ' ', '(') AS t FROM lines),
+      defs AS (SELECT doc_id, line AS d_idx, regexp_extract(regexp_extract(t, '^([^(]+)', 1), '([^.:]+)$', 1) AS called, regexp_extract(t, '^([^(]+)', 1) AS name FROM spaced)
+      SELECT d.doc_id, d_idx, called, s.line FROM defs d JOIN spaced s ON s.doc_id = d.doc_id AND contains(s.t, called || '(') WHERE called <> '' AND NOT ends_with(name, '.context') AND name <> 'source'""",
+    "job1_evidence_report": _job1(read_config(None, evidence_report.CONFIG)),
+    "job2_index_documents": _job2(read_config(None, index_documents.CONFIG)),
 } | cases.ORACLES

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from jobs import evidence_report, index_documents
+from jobs.common import read_config
+
 from ..functions import paths, text
 from ..operators import bm25 as lexical
-from ..operators import describe, graph, judge, ranges, ranking
+from ..operators import describe, graph, judge, postings, ranges, ranking
 from ..operators.units import text_chunks as chunk_texts
-from ..sources.cuts import spread
+from ..sources.cuts import shared_folder, spread
 from ..sources.reader import snapshot_status
 from . import cases, paths_of_documents
 from .render import json_files
@@ -63,6 +68,31 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.withColumn("nth", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))
 
 
+def bm25_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bm25_topk out of an index of postings, which is built in the shared folder first."""
+    path = f"{shared_folder(spark)}/postings/{uuid.uuid4().hex}"
+    postings.add(_docs(spark, sf_dir), path, 0, "doc_id")
+    best = postings.search(spark, path, QUERY).best.select(F.col("id").alias("doc_id"), F.round("lex", 6).alias("score"))
+    return best.withColumn("nth", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))
+
+
+def job1_evidence_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report over the whole table, run twice into one new folder."""
+    output, config = f"{shared_folder(spark)}/jobs/{uuid.uuid4().hex}", read_config(None, evidence_report.CONFIG)
+    for _ in range(2):
+        report = evidence_report.run(spark, config, sf_dir, output)
+    return report
+
+
+def job2_index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index job over the whole table, run twice with one new folder and checkpoint: the second run finds nothing new. (A stream
+    takes a folder or a pattern; the table may be a file.)"""
+    folder, config = f"{shared_folder(spark)}/jobs/{uuid.uuid4().hex}", read_config(None, index_documents.CONFIG)
+    for _ in range(2):
+        output = index_documents.run(spark, config, f"{sf_dir}/documents.parque[t]", f"{folder}/output", f"{folder}/checkpoint")
+    return output
+
+
 def bm25_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.bm25(table(spark, sf_dir, "pages"), QUERY, "page_id", "html").select("page_id", F.round("lex", 6).alias("lex"))
 
@@ -328,6 +358,14 @@ def contained_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.contained(starts.withColumn("end_line", F.col("start_line") + 4), _windows(files)).select(F.col("path").alias("doc_id"), "start_line")
 
 
+def calls_by_endings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line's first word is a definition, and a word before a space a call: lines of a document that call one of its definitions."""
+    files = _files(spark, sf_dir).withColumn("source", F.translate("source", " ", "("))
+    lines = describe.numbered_lines(files)
+    units = lines.select("path", F.col("line").alias("unit_idx"), F.regexp_extract("text", r"^([^(]+)", 1).alias("name"), F.col("line").alias("start_line"), F.col("line").alias("end_line"))
+    return describe.calls(units, lines).select(F.col("path").alias("doc_id"), "d_idx", "called", "line")
+
+
 def commented_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows around hits, widened by the comments (here lines with tion) that touch them or are parted from them by blank lines."""
     files = _files(spark, sf_dir)
@@ -370,5 +408,6 @@ NAMES = (
     describe_documents, clamp_bytes, path_ancestors, content_hash_dups, binary_sniff, import_edges, propagate_scores, blend_topk, text_chunks, line_hits_merge, excerpt_cap,
     unit_pack, lead_dedup, phrase_contains_join, range_join_innermost, role_labels, budget_fold, cache_lookup, cache_evict, issue_counts, run_status, grouped_order, json_report,
     quote_and_shell, quote_texts, unit_pack_texts, blend_all, contained_units, commented_windows, cache_keys, weak_leads, nested_leads, state_headers,
+    bm25_indexed, calls_by_endings, job1_evidence_report, job2_index_documents,
 )
 QUERIES = {f.__name__: f for f in NAMES} | cases.QUERIES

@@ -18,7 +18,7 @@ from ..functions.paths import ancestors
 from ..functions.text import clamp_bytes, state_header
 from ..operators import describe, graph, ranges, ranking
 from ..operators.bm25 import before_judge, bm25
-from ..operators.judge import MAX_REQUESTS, AnswerCache, Judge, TermJudge, evaluate, file_question, role_questions
+from ..operators.judge import MAX_REQUESTS, AnswerCache, Judge, Stop, TermJudge, evaluate, file_question, role_questions
 from ..operators.units import comments, inspect_files, units
 from ..schemas import CALL_LEAD, EXCERPT, LEAD
 from ..sources.cuts import cut
@@ -37,6 +37,8 @@ class Options:
     debug: bool = False
     #: Tasks that judge at once; None leaves it to Spark.
     workers: int | None = None
+    #: Ends the judging when called; the result then holds what was judged, with status interrupted.
+    stop: Stop | None = None
 
 
 @dataclass
@@ -77,7 +79,7 @@ def search_files(spark: SparkSession, files: DataFrame, query: str, options: Opt
     failures: list[str] = []
 
     def judged(requests: DataFrame) -> DataFrame:
-        answers, n = evaluate(requests, options.judge, cache, limit=max(0, MAX_REQUESTS - counts["requests"]), workers=options.workers)
+        answers, n = evaluate(requests, options.judge, cache, limit=max(0, MAX_REQUESTS - counts["requests"]), workers=options.workers, stop=options.stop)
         counts["requests"] += n["requests"]
         counts["cache_hits"] += n["cache_hits"]
         if n["refused"]:
