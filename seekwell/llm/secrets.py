@@ -2,12 +2,13 @@
 
 Labelled credentials of each kind give a prefix tree; ALERGIA merges its states whose symbol and end frequencies are
 compatible by the Hoeffding bound, folding their subtrees together, into a probabilistic automaton. What is scanned follows
-from the labelled credentials: runs of the characters that they are made of, as long as the shortest of them. Candidates are whole
-runs and all their parts that begin and end beside a character that is no letter or digit; an automaton walks on from each
-beginning, so its own states say where a credential can end. Each candidate is scored by the mean log-likelihood of its symbols
+from the labelled credentials: runs of the characters that they are made of, as long as the shortest of them. Candidates begin
+where an automaton's first symbols stand, behind letters and digits too, are as long as the kind's labelled credentials can be, and
+end beside a character that is no letter or digit; the automaton walks on from each beginning, so its own states say where a
+credential can end. Each candidate is scored by the mean log-likelihood of its symbols
 under each automaton against that under the frequencies of an ordinary word's symbols. It's a secret if an automaton accepts it
-with a score over the kind's limit, the least score of its labelled credentials less a margin. Of candidates that overlap the
-longest counts, then the first, then that of the highest score over its limit, then that of the first kind by name.
+with a score over the kind's limit, the least score of its labelled credentials less a margin. Of each beginning and kind the longest
+counts, and of candidates that overlap the longest, then the first, then that of the highest score over its limit, then that of the first kind by name.
 Symbols: a string's first four characters as they are, then classes (upper, lower, digit, others as they are) with the
 number of dots before, and an end with the number of all dots, so that merged states don't lose count of the parts.
 """
@@ -19,11 +20,13 @@ import random
 import re
 import string
 from base64 import urlsafe_b64encode
-from bisect import bisect_right
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from math import inf, log, sqrt
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -38,8 +41,10 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of [0-9a-f]+ that are long enough
 ASSIGN_CHARS, ACCESS_CHARS = 6, 20
 #: RE2: texts without a match have no base span.
 _BASE = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
-#: Beside these a candidate may begin and end.
+#: Beside these a candidate may end.
 _BETWEEN = re.compile(r"[^A-Za-z0-9]")
+#: Heads of a kind that are looked for anywhere; starts that walk at once; starts of a run taken together, in characters.
+HEADS, STARTS, SLAB = 64, 1 << 15, 1 << 20
 
 _UPPER, _LOWER, _DIGIT = string.ascii_uppercase, string.ascii_lowercase, string.digits
 _CLASSES = dict.fromkeys(_UPPER, "A") | dict.fromkeys(_LOWER, "a") | dict.fromkeys(_DIGIT, "9")
@@ -83,10 +88,10 @@ def _jwt(rng: random.Random) -> str:
 
 
 def labelled_credentials(seed: int = 7, n: int = 300) -> dict[str, list[str]]:
-    """Invented credentials of each public format, the labelled examples used where a caller has none of their own; of JWTs, which vary most, four times ``n``."""
+    """Invented credentials of each public format, the labelled examples used where a caller has none of their own; of JWTs, which vary most, eight times ``n``."""
     rng = random.Random(seed)
     out = {kind: [rng.choice(prefixes) + "".join(rng.choices(chars, k=rng.randint(least, most))) for _ in range(n)] for kind, (prefixes, chars, least, most) in FORMATS.items()}
-    return out | {"jwt": [_jwt(rng) for _ in range(4 * n)]}
+    return out | {"jwt": [_jwt(rng) for _ in range(8 * n)]}
 
 
 def symbols(s: str) -> list[str]:
@@ -203,20 +208,90 @@ class Automaton:
 _ORDINARY = defaultdict(lambda: log(0.002), {"a": log(0.9), "A": log(0.05), "9": log(0.03)})
 
 
+class Walker:
+    """An automaton as tables, which walks on from many starts at once, a symbol a step."""
+
+    def __init__(self, a: Automaton, limit: float, shortest: int, longest: int, chars: str) -> None:
+        self.limit, self.shortest, self.longest = limit, shortest, longest
+        symbols = sorted({s for moves in a.moves for s in moves})
+        code = {s: i for i, s in enumerate(symbols)}
+        self.next = np.full((len(a.ends), len(symbols) + 1), -1, np.int32)  # the last column is for symbols that it doesn't know
+        self.log = np.zeros(self.next.shape)
+        for q, moves in enumerate(a.moves):
+            for s, to in moves.items():
+                self.next[q, code[s]], self.log[q, code[s]] = to, log(a.counts[q][s] / a.total(q))
+        dots = [int(s[2:]) for s in symbols if s.startswith("$:")]
+        self.least_dots, most = min(dots, default=0), max(dots, default=0)
+        none = len(symbols)
+        self.first = np.array([code.get(f"^{c}", none) for c in chars] + [none])
+        self.rest = np.array([[code.get(f"{_CLASSES.get(c, c)}:{d}", none) for d in range(most + 1)] + [none] for c in chars] + [[none] * (most + 2)])
+        self.end = np.full((len(a.ends), most + 2), -inf)
+        for q, moves in enumerate(a.moves):
+            for d in range(most + 1):
+                if (z := f"$:{d}") in moves and a.ends[last := moves[z]]:
+                    self.end[q, d] = log(a.counts[q][z] / a.total(q)) + log(a.ends[last] / a.total(last))
+        self.most = most + 1
+        heads, open_ = set(), [("", 0)]
+        while open_:
+            head, q = open_.pop()
+            on = [(s[1], m) for s, m in a.moves[q].items() if s.startswith("^")]
+            open_ += [(head + c, m) for c, m in on]
+            if head and len(on) < len(a.moves[q]) or not on:  # of four symbols, or where one of fewer can end
+                heads.add(head)
+        self.heads = sorted(h for h in heads if h)
+
+    def walk(self, chars: np.ndarray, ordinary: np.ndarray, dots: np.ndarray, beside: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each start the end of the longest string that is accepted (0: none) and its score over the limit."""
+        end, over = np.zeros(len(starts), np.int64), np.zeros(len(starts))
+        at = np.flatnonzero(dots[np.minimum(starts + self.longest, len(chars))] - dots[starts] >= self.least_dots)
+        begin, q, total = starts[at], np.zeros(len(at), np.int64), np.zeros(len(at))
+        for i in range(self.longest):
+            pos = begin + i
+            if len(pos) and pos[-1] >= len(chars):
+                inside = pos < len(chars)
+                at, begin, q, total, pos = at[inside], begin[inside], q[inside], total[inside], pos[inside]
+            d = np.minimum(dots[pos] - dots[begin], self.most)
+            s = self.first[chars[pos]] if i < 4 else self.rest[chars[pos], d]
+            total, q = total + self.log[q, s], self.next[q, s].astype(np.int64)
+            alive = q >= 0
+            if not alive.all():
+                at, begin, q, total, pos = at[alive], begin[alive], q[alive], total[alive], pos[alive]
+            if not len(at):
+                break
+            if i + 1 >= self.shortest:
+                z = pos + 1
+                score = (total + self.end[q, np.minimum(dots[z] - dots[begin], self.most)]) / (i + 3) - (ordinary[z] - ordinary[begin]) / (i + 1) - self.limit
+                good = beside[z] & (score > 0)
+                end[at[good]], over[at[good]] = z[good], score[good]
+        return end, over
+
+
 class Formats:
-    """Automata of all kinds with their limits, the length of the shortest labelled credential, and the pattern of the runs to scan."""
+    """Automata of all kinds with their limits and lengths, the length of the shortest labelled credential, and the pattern of the runs to scan.
+
+    A kind's candidates are as long as its labelled ones, or shorter or longer by as much as these differ among themselves.
+    """
 
     def __init__(self, labelled: dict[str, list[str]], margin: float = 0.15) -> None:
-        self.kinds = {}
-        for kind, examples in labelled.items():
+        known = [w for examples in labelled.values() for w in examples if w]
+        self.chars = "".join(sorted(set("".join(known)) | set(_CLASSES) | {"."}))
+        self.points = np.array([ord(c) for c in self.chars], np.uint32)
+        self.ordinary = np.array([_ORDINARY[_CLASSES.get(c, c)] for c in self.chars] + [_ORDINARY[" "]])
+        self.kinds, self.walkers = {}, {}
+        for kind, examples in sorted(labelled.items()):
             held = examples[::5]
             a = Automaton.infer([symbols(w) for i, w in enumerate(examples) if i % 5])
             scores = [x for x in (self.ratio(a, w) for w in held) if x > -inf]
-            self.kinds[kind] = (a, (min(scores) if scores else 0.0) - margin)
-        known = [w for examples in labelled.values() for w in examples if w]
-        self.least = min(map(len, known), default=0)
+            lengths = [len(w) for w in examples if w] or [0]
+            apart = max(lengths) - min(lengths)
+            limit, least, most = (min(scores) if scores else 0.0) - margin, max(1, min(lengths) - apart), max(lengths) + apart
+            self.kinds[kind] = (a, limit, least, most)
+            self.walkers[kind] = Walker(a, limit, least, most, self.chars)
+        self.least = min((least for _, _, least, _ in self.kinds.values()), default=0)
+        self.longest = max((most for _, _, _, most in self.kinds.values()), default=0)
+        shortest = min(map(len, known), default=0)
         #: None without labelled credentials. RE2 reads it too.
-        self.runs = "[" + "".join(re.sub(r"[^A-Za-z0-9\x80-\U0010ffff]", r"\\\g<0>", c) for c in sorted(set("".join(known)))) + f"]{{{min(self.least, 1000)},}}" if known else None
+        self.runs = "[" + "".join(re.sub(r"[^A-Za-z0-9\x80-\U0010ffff]", r"\\\g<0>", c) for c in sorted(set("".join(known)))) + f"]{{{min(shortest, 1000)},}}" if known else None
 
     @staticmethod
     def ratio(a: Automaton, s: str) -> float:
@@ -225,32 +300,52 @@ class Formats:
         return a.score(word) - sum(_ORDINARY[_CLASSES.get(c, c)] for c in s) / len(s)
 
     def best(self, s: str) -> tuple[str, float] | None:
-        found = [(x - limit, kind) for kind, (a, limit) in self.kinds.items() if (x := self.ratio(a, s)) > limit]
+        found = [(x - limit, kind) for kind, (a, limit, least, most) in self.kinds.items() if least <= len(s) <= most and (x := self.ratio(a, s)) > limit]
         return max(found)[::-1] if found else None
 
-    def accepted(self, run: str) -> Iterator[tuple[int, int, float, str]]:
-        """(start, end, score over the limit, kind) of all candidates in a run that a format accepts, each scored as ``best`` does. An
-        automaton walks on from each start and is asked at each end that it comes to, so most walks end after a symbol or two."""
-        beside = [m.start() for m in _BETWEEN.finditer(run)]
-        starts = ends = {0, len(run), *beside, *(i + 1 for i in beside)}
-        for start in sorted(starts):
-            if len(run) - start < self.least:
-                break
-            for kind, (a, limit) in self.kinds.items():
-                q, total, ordinary, dots = 0, 0.0, 0.0, 0
-                for i in range(start, len(run)):
-                    c = run[i]
-                    s = _symbol(i - start, c, dots)
-                    if s not in a.moves[q]:
-                        break
-                    total += log(a.counts[q][s] / a.total(q))
-                    ordinary += _ORDINARY[_CLASSES.get(c, c)]
-                    dots += c == "."
-                    q, n = a.moves[q][s], i + 1 - start
-                    if n >= self.least and i + 1 in ends and (z := f"$:{dots}") in a.moves[q] and a.ends[last := a.moves[q][z]]:
-                        over = (total + log(a.counts[q][z] / a.total(q)) + log(a.ends[last] / a.total(last))) / (n + 2) - ordinary / n - limit
-                        if over > 0:
-                            yield start, i + 1, over, kind
+    def starts(self, kind: str, run: str, beside: np.ndarray) -> np.ndarray:
+        """Where the kind's first symbols stand in a run: anywhere, if they are a few heads; else beside a character that's no letter or digit."""
+        heads = self.walkers[kind].heads
+        if len(heads) > HEADS:
+            some = set(heads)
+            return np.array([i for i in np.flatnonzero(beside).tolist() if any(run[i : i + n] in some for n in range(1, 5))], np.int64)
+        found = set()
+        for h in heads:
+            i = run.find(h)
+            while i >= 0:
+                found.add(i)
+                i = run.find(h, i + 1)
+        return np.array(sorted(found), np.int64)
+
+    def accepted(self, run: str, blocked: Iterable[tuple[int, int]] = (), edge: bool = True) -> list[tuple[int, int, float, str]]:
+        """(start, end, score over the limit, kind): of each start and kind the longest candidate that its format accepts, scored as ``best``
+        does, ending beside a character that's no letter or digit and free of the ``blocked`` spans. edge: whether nothing that is a letter or digit stands before the run."""
+        if not any(len(w.heads) > HEADS or any(h in run for h in w.heads) for w in self.walkers.values()):
+            return []
+        points = np.frombuffer(run.encode("utf-32-le", "surrogatepass"), np.uint32)
+        between = np.ones(len(run) + 2, bool)
+        between[1:-1] = ~(((points >= 48) & (points <= 57)) | ((points >= 65) & (points <= 90)) | ((points >= 97) & (points <= 122)))
+        between[0] = edge
+        beside = between[:-1] | between[1:]
+        starts = {kind: self.starts(kind, run, beside) for kind in self.kinds}
+        chars = np.minimum(np.searchsorted(self.points, points), len(self.points) - 1)
+        chars[self.points[chars] != points] = len(self.points)
+        ordinary = np.concatenate(([0.0], np.cumsum(self.ordinary[chars])))
+        dots = np.concatenate(([0], np.cumsum(points == ord("."))))
+        for a, b in blocked:
+            chars[max(a, 0) : max(b, 0)] = len(self.points)
+        out = []
+        for kind, walker in self.walkers.items():
+            for i in range(0, len(starts[kind]), STARTS):
+                some = starts[kind][i : i + STARTS]
+                end, over = walker.walk(chars, ordinary, dots, beside, some)
+                out += [(a, b, x, kind) for a, b, x in zip(some.tolist(), end.tolist(), over.tolist()) if b]
+        return out
+
+
+@lru_cache(1)
+def default_formats() -> Formats:
+    return Formats(labelled_credentials())
 
 
 def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
@@ -262,37 +357,24 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     }
 
 
-class Taken:
-    """Spans that don't overlap, in order."""
-
-    def __init__(self, spans: Iterable[tuple[int, int]] = ()) -> None:
-        self.starts, self.ends = [], []
-        for a, b in sorted(spans):  # those of different kinds may overlap
-            if self.ends and a < self.ends[-1]:
-                self.ends[-1] = max(self.ends[-1], b)
-            else:
-                self.starts.append(a)
-                self.ends.append(b)
-
-    def take(self, a: int, b: int) -> bool:
-        """Adds a span, if it's free."""
-        i = bisect_right(self.ends, a)
-        if i < len(self.starts) and self.starts[i] < b:
-            return False
-        self.starts.insert(i, a)
-        self.ends.insert(i, b)
-        return True
-
-
 def added_spans(text: str, formats: Formats, base: dict[str, list[tuple[int, int]]]) -> list[tuple[int, str, int]]:
-    """(start, kind, end) of candidates outside all base spans that some format accepts."""
+    """(start, kind, end) of candidates outside all base spans that some format accepts. A run is taken in slabs of starts; what begins in one
+    counts before what begins in the next."""
     if not formats.runs:
         return []
-    taken, out = Taken(s for spans in base.values() for s in spans), []
+    known, out = sorted(s for spans in base.values() for s in spans), []
+    begins, longest = [a for a, _ in known], max((b - a for a, b in known), default=0)
     for m in re.finditer(formats.runs, text):
-        for a, b, _, kind in sorted(formats.accepted(m[0]), key=lambda x: (x[0] - x[1], x[0], -x[2], x[3])):
-            if taken.take(m.start() + a, m.start() + b):
-                out.append((m.start() + a, kind, m.start() + b))
+        taken = bytearray(len(m[0]))
+        for at in range(0, len(m[0]), SLAB):
+            first = m.start() + at
+            piece = m[0][at : at + SLAB + formats.longest]
+            near = known[bisect_left(begins, first - longest) : bisect_left(begins, first + len(piece))]
+            found = formats.accepted(piece, [(a - first, b - first) for a, b in near], at == 0 or bool(_BETWEEN.match(m[0], at - 1)))
+            for a, b, _, kind in sorted((x for x in found if x[0] < SLAB), key=lambda x: (x[0] - x[1], x[0], -x[2], x[3])):
+                if taken.find(1, at + a, at + b) < 0:
+                    taken[at + a : at + b] = b"\1" * (b - a)
+                    out.append((first + a, kind, first + b))
     return sorted(out)
 
 
@@ -302,9 +384,10 @@ def secret_scan(docs: DataFrame, labelled: dict[str, list[str]] | None = None, i
 
     A null text is empty and has none; repeated rows give equal rows; an empty table gives an empty result. Other columns
     are left out. ``labelled``, credentials by kind, is held in memory by each task; without any there are no added spans. Whole
-    texts are scanned, however long; a text's time is in proportion to its length but for runs that begin like a credential over and over.
+    texts are scanned, however long, a slab at a time; a start is followed no further than a kind's credentials are long, so a text that
+    begins like one over and over takes time in proportion to its length too (a megabyte of such takes some seconds).
     """
-    formats = Formats(labelled if labelled is not None else labelled_credentials())
+    formats = Formats(labelled) if labelled is not None else default_formats()
     maybe_any = _BASE + (f"|{formats.runs}" if formats.runs else "")
     place = {"assign": 0, "access": 1, "hex": 2}
 
