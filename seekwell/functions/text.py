@@ -87,7 +87,7 @@ def state_header(query: Column, rest: Column) -> Column:
 
 def quote(text: Column) -> Column:
     """A JSON string without C1, bidirectional and separator controls."""
-    inner = F.to_json(F.struct(F.regexp_replace(text, "[\u007f-\u009f -‮⁦-⁩]", "").alias("s")))
+    inner = F.to_json(F.struct(F.regexp_replace(text, "[\u007f-\u009f\u2028-\u202e\u2066-\u2069]", "").alias("s")))
     return F.substring(inner, F.lit(6), F.length(inner) - 6)
 
 

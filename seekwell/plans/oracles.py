@@ -7,9 +7,9 @@ from jobs.common import read_config
 
 from ..functions.paths import DEPENDENCY_DIRS, LANGUAGES, SENSITIVE_NAMES, SENSITIVE_SUFFIXES, TEST_DIRS
 from ..functions.text import ENDINGS
+from ..operators.graph import PATTERNS
 from ..operators.judge import file_question
 from ..operators.ranking import ROLES
-from . import cases
 from .paths_of_documents import EXTENSIONS, derived_path_sql
 from .queries import HIT, NOW, OTHER_PATHS, QUERY, SNIFF_ROWS, TEST_PATHS
 
@@ -146,6 +146,58 @@ def _job2(config: dict) -> str:
     return " UNION ALL ".join([index, *(f"SELECT * FROM ({_answers(n, q, config['documents_per_question'])})" for n, q in sorted(config["questions"].items()))])
 
 
+_CALLS = """
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line_text, unnest(range(1, len(string_split(text, chr(10))) + 1))::INT AS line FROM documents),
+n AS (SELECT doc_id, max(line)::INT AS n_lines FROM lines GROUP BY doc_id),
+spaced AS (SELECT doc_id, line, replace(line_text, ' ', '(') AS t FROM lines),
+defs AS (SELECT doc_id, line AS d_idx, regexp_extract(regexp_extract(t, '^([^(]+)', 1), '([^.:]+)$', 1) AS called, regexp_extract(t, '^([^(]+)', 1) AS name FROM spaced),
+called AS (
+  SELECT d.doc_id, d_idx, called, s.line FROM defs d JOIN spaced s ON s.doc_id = d.doc_id AND contains(s.t, called || '(')
+  WHERE called <> '' AND NOT ends_with(name, '.context') AND name <> 'source')"""
+_ISLANDS_OF_LINES = f"hits AS (SELECT doc_id, line FROM spaced WHERE contains(lower(t), '{HIT}')),{_WINDOWS.replace('ORDER BY a, b', 'ORDER BY a, b, line').replace('SELECT doc_id, greatest', 'SELECT doc_id, line, greatest')}"
+
+
+def _specifiers() -> str:
+    """The patterns line by line (Go's over the whole text), the first group that matches, distinct in order."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    group = lambda p, x: f"coalesce({', '.join(f'nullif(regexp_extract({x}, {q(p)}, {i + 1}), {chr(39) * 2})' for i in range(p.count('(') - p.count('(?') - p.count(chr(92) + '(')))}, '')"
+    langs = " ".join(f"WHEN {_EXT} IN ({_quoted(LANGUAGES[n])}) THEN flatten(list_transform(ls, lambda x: [{', '.join(group(p, 'x') for p in ps)}]))" for n, ps in PATTERNS.items() if n in LANGUAGES)
+    return f"""
+      WITH d AS (SELECT doc_id, {PATH} AS path, list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i % 2 = 1 THEN 'import ' || x ELSE 'import "' || array_to_string(string_split(x, ' ')[1:2], ' ') || '"' END)[1:400] AS ls FROM documents),
+      f AS (
+        SELECT doc_id, list_filter(CASE WHEN {_EXT} = 'go' THEN list_concat(regexp_extract_all(array_to_string(ls, chr(10)), '(?m)^import\\s+(?:[\\w.]+\\s+)?"([^"]+)"', 1), flatten(list_transform(regexp_extract_all(array_to_string(ls, chr(10)), '(?ms)^import\\s*\\((.*?)^\\s*\\)', 1), lambda b: regexp_extract_all(b, '"([^"]+)"', 1)))) {langs} ELSE [] END, lambda x: x <> '') AS found FROM d),
+      e AS (SELECT doc_id, unnest(found) AS spec, unnest(range(len(found))) AS i FROM f),
+      u AS (SELECT doc_id, spec, min(i) AS i FROM e GROUP BY ALL)
+      SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS nth, spec FROM u QUALIFY nth < 24"""
+
+
+def _candidates() -> str:
+    """P4 for the languages that the derived paths have."""
+    joined = lambda base, name: f"CASE WHEN {base} = '' THEN {name} ELSE {base} || '/' || {name} END"
+    forms = lambda base, ends: ", ".join(f"{base} || '{e}'" for e in ends)
+    py = (".py", ".pyi", "/__init__.py")
+    flat = lambda x: f"array_to_string(list_reduce(list_prepend(''::VARCHAR, list_filter(string_split({x}, '/'), lambda s: s NOT IN ('', '.'))), lambda a, s: CASE WHEN s = '..' THEN regexp_replace(a, '/?[^/]*$', '') WHEN a = '' THEN s ELSE a || '/' || s END).string_split('/'), '/')"
+    js = ("", ".ts", ".tsx", ".d.ts", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
+    rust = "flatten(list_transform(range(len(parts), 0, -1), lambda n: [{0} || '.rs', {0} || '/mod.rs']))".format("(" + joined("root", "array_to_string(parts[1:n], '/')") + ")")
+    return f"""
+      WITH d AS (SELECT DISTINCT doc_id, {PATH} AS path, unnest(string_split(string_split(text, chr(10))[1], ' ')) AS spec FROM documents),
+      p AS (SELECT *, {_EXT} AS ext, regexp_extract(path, '^(.*)/[^/]*$', 1) AS here, length(regexp_extract(spec, '^(\\.*)', 1)) AS dots, replace(regexp_replace(spec, '^\\.+', ''), '.', '/') AS rest, replace(spec, '.', '/') AS dotted FROM d),
+      b AS (
+        SELECT *, array_to_string(string_split(here, '/')[1:greatest(len(string_split(here, '/')) - (dots - 1), 0)], '/') AS base, list_filter(string_split(regexp_replace(spec, '^(crate|self|super)::', ''), '::'), lambda x: x <> '') AS parts,
+               CASE WHEN starts_with(spec, 'crate::') THEN CASE WHEN contains(path, 'src/') THEN regexp_extract(path, '^(.*?src)/', 1) ELSE 'src' END WHEN starts_with(spec, 'super::') THEN array_to_string(string_split(here, '/')[1:len(string_split(here, '/')) - 1], '/') ELSE here END AS root,
+               {flat("here || '/' || spec")} AS at_here FROM p),
+      r AS (SELECT *, CASE WHEN rest = '' THEN base ELSE {joined('base', 'rest')} END AS relative, {joined('here', 'rest')} AS local, regexp_replace(at_here, '\\.[mc]?jsx?$', '') AS bare FROM b)
+      SELECT doc_id, spec, array_to_string(CASE
+        WHEN ext = 'py' AND dots > 0 THEN [{forms('relative', py)}]
+        WHEN ext = 'py' THEN [{forms('rest', py)}, {forms("'src/' || rest", py)}, {forms('local', py)}]
+        WHEN ext = 'ts' AND starts_with(spec, '.') THEN [{forms('at_here', js)}, {forms('bare', ('.ts', '.tsx'))}]
+        WHEN ext = 'rs' THEN {rust}
+        WHEN ext = 'java' THEN [{', '.join(f"'{x}' || dotted || '.java'" for x in ('src/main/java/', 'src/test/java/', 'src/', ''))}]
+        WHEN ext = 'kt' THEN [{', '.join(f"'{x}' || dotted || '{e}'" for x in ('src/main/kotlin/', 'src/main/java/', 'src/test/kotlin/', 'src/', '') for e in ('.kt', '.java'))}]
+        WHEN ext = 'cpp' THEN [at_here, {flat('spec')}, {flat("'include/' || spec")}, {flat("'src/' || spec")}]
+        ELSE [] END, ' ') AS candidates FROM r"""
+
+
 _EVENTS = "SELECT user_id::VARCHAR || ':' || event_type AS key, * FROM events"
 
 ORACLES = {
@@ -186,8 +238,8 @@ ORACLES = {
       r2 AS (SELECT a.id, CASE WHEN b.lex * 0.75 > a.lex + 1e-9 THEN b.lex * 0.75 ELSE a.lex END AS lex FROM r1 a LEFT JOIN r1 b ON b.id = a.id + 1)
       SELECT id AS turn_id, round(lex, 6) AS lex FROM r2""",
     "blend_topk": f"""
-      WITH {_bm25(DOCS)}, j AS (SELECT id, lex, CASE WHEN id % 3 <> 0 THEN (contains(text, 'heat')::INT + contains(text, 'tion')::INT) / 2.0::DOUBLE END AS sem FROM lex JOIN src USING (id)),
-      b AS (SELECT id, round(0.7::DOUBLE * lex + 0.3::DOUBLE * coalesce(sem, 0), 6) AS score FROM j WHERE lex >= 0.06 AND coalesce(sem, 0) >= 0.3)
+      WITH {_bm25(DOCS)}, j AS (SELECT id, lex, (contains(text, 'heat')::INT + contains(text, 'tion')::INT) / 2.0::DOUBLE AS sem FROM lex JOIN src USING (id)),
+      b AS (SELECT id, round(0.7::DOUBLE * lex + 0.3::DOUBLE * sem, 6) AS score FROM j WHERE lex >= 0.06 AND sem >= 0.3)
       SELECT id AS doc_id, score, score >= 0.25 AS strong, row_number() OVER (ORDER BY score DESC, id)::INT AS nth FROM b QUALIFY nth <= 40""",
     "line_hits_merge": f"WITH {_ISLANDS} SELECT * FROM merged",
     "excerpt_cap": f"""
@@ -196,7 +248,7 @@ ORACLES = {
       SELECT doc_id, start_line, max(line)::INT AS end_line, sha256(string_agg(line_text, chr(10) ORDER BY line)) AS source_hash, max(line) < end_line AS cut
       FROM x WHERE upto <= 1500 OR line = start_line GROUP BY doc_id, start_line, x.end_line""",
     "unit_pack": """
-      WITH RECURSIVE u AS (SELECT conv_id, turn, strlen(left(text, 100)) + 140 AS b, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+      WITH RECURSIVE u AS (SELECT conv_id, turn, strlen(text) + 140 AS b, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
       f AS (
         SELECT conv_id, turn, k, 0 AS g, 1 AS n, b AS bytes FROM u WHERE k = 1
         UNION ALL
@@ -240,22 +292,8 @@ ORACLES = {
         path := path, score := round(score, 4), "testFile" := {_IS_TEST}, priority := NULL::INT, roles := []::VARCHAR[], leads := []::VARCHAR[], "callLeads" := []::VARCHAR[],
         excerpts := [struct_pack("startLine" := 1, "endLine" := len(string_split(text, chr(10))), source := text)], "sourceOmitted" := false))::VARCHAR AS json FROM p""",
     "quote_and_shell": """
-      SELECT doc_id, to_json(left(text, 80))::VARCHAR AS quoted, '''' || replace(left(text, 80), '''', '''\\''''') || '''' AS arg,
+      SELECT doc_id, to_json(regexp_replace(text, '[\\x{7F}-\\x{9F}\\x{2028}-\\x{202E}\\x{2066}-\\x{2069}]', '', 'g'))::VARCHAR AS quoted, '''' || replace(text, '''', '''\\''''') || '''' AS arg,
              repeat('`', greatest(coalesce(list_max(list_transform(regexp_extract_all(text, '`+'), lambda x: length(x))), 0) + 1, 3)) AS fence FROM documents""",
-    "quote_texts": """
-      SELECT doc_id, to_json(regexp_replace(text, '[\\x{7F}-\\x{9F}\\x{2028}-\\x{202E}\\x{2066}-\\x{2069}]', '', 'g'))::VARCHAR AS quoted, '''' || replace(text, '''', '''\\''''') || '''' AS arg FROM documents""",
-    "unit_pack_texts": """
-      WITH RECURSIVE u AS (SELECT conv_id, turn, strlen(text) + 140 AS b, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
-      f AS (
-        SELECT conv_id, turn, k, 0 AS g, 1 AS n, b AS bytes FROM u WHERE k = 1
-        UNION ALL
-        SELECT u.conv_id, u.turn, u.k, CASE WHEN n < 2 AND bytes + b <= 380 THEN g ELSE g + 1 END, CASE WHEN n < 2 AND bytes + b <= 380 THEN n + 1 ELSE 1 END, CASE WHEN n < 2 AND bytes + b <= 380 THEN bytes + b ELSE b END
-        FROM f JOIN u ON u.conv_id = f.conv_id AND u.k = f.k + 1)
-      SELECT conv_id, turn::INT AS turn, g::INT AS group_idx FROM f""",
-    "blend_all": f"""
-      WITH {_bm25(DOCS)}, j AS (SELECT id, lex, (contains(text, 'heat')::INT + contains(text, 'tion')::INT) / 2.0::DOUBLE AS sem FROM lex JOIN src USING (id)),
-      b AS (SELECT id, round(0.7::DOUBLE * lex + 0.3::DOUBLE * sem, 6) AS score FROM j WHERE lex >= 0.06 AND sem >= 0.3)
-      SELECT id AS doc_id, score, score >= 0.25 AS strong, row_number() OVER (ORDER BY score DESC, id)::INT AS nth FROM b QUALIFY nth <= 40""",
     "contained_units": f"""
       WITH {_ISLANDS}, u AS (SELECT doc_id, unnest(range(1, n_lines + 1)) AS a FROM n)
       SELECT doc_id, a::INT AS start_line FROM u WHERE EXISTS (SELECT 1 FROM merged m WHERE m.doc_id = u.doc_id AND u.a >= m.start_line AND u.a + 4 <= m.end_line)""",
@@ -265,6 +303,24 @@ ORACLES = {
     "weak_leads": "SELECT conv_id, 'u' || turn::VARCHAR AS name, turn, 0.0::DOUBLE AS score FROM conversations WHERE turn % 4 > 1 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 2",
     "nested_leads": "SELECT user_id, string_agg(event_type || '@' || d::VARCHAR, ' ' ORDER BY d, event_type) AS leads FROM (SELECT DISTINCT user_id, event_type, day(ts)::INT AS d FROM events) GROUP BY user_id",
     "state_headers": f"SELECT doc_id, 'Query: {QUERY} now' || chr(10) || text AS state, round(n_chars / 7.0::DOUBLE, 4) AS seventh FROM documents",
+    "unit_calls": f"""
+      WITH {_CALLS}, u AS (SELECT d.doc_id, d_idx AS s, least(d_idx + 2, n_lines) AS e, name FROM defs d JOIN n ON n.doc_id = d.doc_id),
+      c AS (
+        SELECT u.doc_id, u.s, list_sort(list_distinct(list((d.d_idx, d.called)))) AS found
+        FROM u JOIN called d ON d.doc_id = u.doc_id AND d.line BETWEEN u.s AND u.e JOIN n ON n.doc_id = u.doc_id WHERE NOT (d.d_idx >= u.s AND least(d.d_idx + 2, n_lines) <= u.e) GROUP BY ALL),
+      b AS (SELECT u.*, list(t ORDER BY line) AS body FROM u JOIN spaced ON spaced.doc_id = u.doc_id AND line BETWEEN s AND e GROUP BY ALL),
+      h AS (SELECT *, name || ' (lines ' || s || '-' || e || '): ' || left(CASE WHEN trim(body[1], ' ') <> '' THEN trim(body[1], ' ') ELSE coalesce(trim(body[2], ' '), '') END, 70) AS head FROM b),
+      o AS (
+        SELECT *, left(list_filter(list_transform(list_filter(body, lambda x: regexp_matches(trim(x, ' '), '^(///|/\\*\\*|#|""\")')), lambda x: trim(regexp_replace(trim(x, ' '), '^[/*"#\\s]+|[/*"#\\s]+$', '', 'g'), ' ')), lambda x: regexp_matches(x, '\\pL'))[1], 90) AS doc FROM h)
+      SELECT o.doc_id, o.s AS line, concat_ws(' | ', head, CASE WHEN strlen(head) < 60 THEN doc END, 'calls ' || array_to_string(list_transform(found[1:4], lambda x: x[2]), ', ')) AS description
+      FROM o LEFT JOIN c ON c.doc_id = o.doc_id AND c.s = o.s""",
+    "call_leads": f"""
+      WITH {_CALLS}, {_ISLANDS_OF_LINES},
+      met AS (SELECT DISTINCT d.doc_id, called, d.line FROM called d JOIN n ON n.doc_id = d.doc_id JOIN merged m ON m.doc_id = d.doc_id AND d.line BETWEEN m.start_line AND m.end_line WHERE NOT d.line BETWEEN d_idx AND least(d_idx + 2, n_lines))
+      SELECT DISTINCT met.doc_id, defs.name AS caller, met.called AS name, met.line FROM met JOIN defs ON defs.doc_id = met.doc_id AND defs.d_idx = met.line""",
+    "answer_validity": "SELECT event_id, coalesce(event_id % 3 <> 0 AND value / 500 BETWEEN 0 AND 1, false) AS valid FROM events",
+    "import_specifiers": _specifiers(),
+    "specifier_candidates": _candidates(),
     "calls_by_endings": """
       WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1))::INT AS line FROM documents),
       spaced AS (SELECT doc_id, line, replace(t, ' ', '(') AS t FROM lines),
@@ -272,4 +328,4 @@ ORACLES = {
       SELECT d.doc_id, d_idx, called, s.line FROM defs d JOIN spaced s ON s.doc_id = d.doc_id AND contains(s.t, called || '(') WHERE called <> '' AND NOT ends_with(name, '.context') AND name <> 'source'""",
     "job1_evidence_report": _job1(read_config(None, evidence_report.CONFIG)),
     "job2_index_documents": _job2(read_config(None, index_documents.CONFIG)),
-} | cases.ORACLES
+}

@@ -16,7 +16,7 @@ from ..operators import describe, graph, judge, postings, ranges, ranking
 from ..operators.units import text_chunks as chunk_texts
 from ..sources.cuts import shared_folder, spread
 from ..sources.reader import snapshot_status
-from . import cases, paths_of_documents
+from . import paths_of_documents
 from .render import json_files
 
 QUERY = "How are theReadings heated onder tionShed?"
@@ -185,16 +185,11 @@ def propagate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.propagate(scores, edges).select(F.col("path").alias("turn_id"), F.round("lex", 6).alias("lex"))
 
 
-def _half_judged(scores: DataFrame) -> DataFrame:
-    """A judge by a rule: the share of two marks in the text; every third document is unjudged."""
-    marks = (F.contains("text", F.lit("heat")).cast("int") + F.contains("text", F.lit("tion")).cast("int")) / 2
-    return scores.withColumn("sem", F.when(F.col("doc_id") % 3 != 0, marks))
-
-
 def blend_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F9, F10, R1, R2, J1."""
-    both = _half_judged(_lex(spark, sf_dir).join(_docs(spark, sf_dir).select("doc_id", "text"), "doc_id")).drop("text")
-    best = ranking.top(ranking.blend(both).withColumn("score", F.round("score", 6)), "doc_id")
+    """Every document is judged, by the share of two marks in its text."""
+    marks = (F.contains("text", F.lit("heat")).cast("int") + F.contains("text", F.lit("tion")).cast("int")) / 2
+    judged = _docs(spark, sf_dir).select("doc_id", marks.alias("sem"))
+    best = ranking.top(ranking.blend(_lex(spark, sf_dir).join(judged, "doc_id")).withColumn("score", F.round("score", 6)), "doc_id")
     return best.select("doc_id", "score", ranking.is_strong(F.col("score")).alias("strong"), F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).alias("nth"))
 
 
@@ -229,8 +224,8 @@ def excerpt_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of a conversation in groups of at most two and 380 bytes; a turn's name is its first 100 characters."""
-    units = _turns(spark, sf_dir).select(F.col("conv_id").alias("path"), F.col("turn").cast("int").alias("unit_idx"), F.substring("text", 1, 100).alias("name"))
+    """Turns of a conversation in groups of at most two and 380 bytes; a turn's name is its whole text."""
+    units = _turns(spark, sf_dir).select(F.col("conv_id").alias("path"), F.col("turn").cast("int").alias("unit_idx"), F.col("text").alias("name"))
     return ranking.pack_units(units).select(F.col("path").alias("conv_id"), F.col("unit_idx").alias("turn"), "group_idx")
 
 
@@ -328,27 +323,8 @@ def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quote_and_shell(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P14, P15 over the first 80 characters of the texts, P18 over whole ones; quote_texts takes whole texts throughout."""
-    return _docs(spark, sf_dir).select("doc_id", text.quote(F.substring("text", 1, 80)).alias("quoted"), text.shell_arg(F.substring("text", 1, 80)).alias("arg"), text.fence(F.col("text")).alias("fence"))
-
-
-def quote_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P14, P15 over whole texts."""
-    return _docs(spark, sf_dir).select("doc_id", text.quote(F.col("text")).alias("quoted"), text.shell_arg(F.col("text")).alias("arg"))
-
-
-def unit_pack_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As unit_pack, but a turn's name is its whole text."""
-    units = _turns(spark, sf_dir).select(F.col("conv_id").alias("path"), F.col("turn").cast("int").alias("unit_idx"), F.col("text").alias("name"))
-    return ranking.pack_units(units).select(F.col("path").alias("conv_id"), F.col("unit_idx").alias("turn"), "group_idx")
-
-
-def blend_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As blend_topk, with every document judged."""
-    marks = (F.contains("text", F.lit("heat")).cast("int") + F.contains("text", F.lit("tion")).cast("int")) / 2
-    judged = _docs(spark, sf_dir).select("doc_id", marks.alias("sem"))
-    best = ranking.top(ranking.blend(_lex(spark, sf_dir).join(judged, "doc_id")).withColumn("score", F.round("score", 6)), "doc_id")
-    return best.select("doc_id", "score", ranking.is_strong(F.col("score")).alias("strong"), F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).alias("nth"))
+    """P14, P15, P18 over whole texts."""
+    return _docs(spark, sf_dir).select("doc_id", text.quote(F.col("text")).alias("quoted"), text.shell_arg(F.col("text")).alias("arg"), text.fence(F.col("text")).alias("fence"))
 
 
 def contained_units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,12 +334,59 @@ def contained_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.contained(starts.withColumn("end_line", F.col("start_line") + 4), _windows(files)).select(F.col("path").alias("doc_id"), "start_line")
 
 
-def calls_by_endings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each line's first word is a definition, and a word before a space a call: lines of a document that call one of its definitions."""
-    files = _files(spark, sf_dir).withColumn("source", F.translate("source", " ", "("))
+def _called_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in which a word before a space is a call."""
+    return _files(spark, sf_dir).withColumn("source", F.translate("source", " ", "("))
+
+
+def _line_units(files: DataFrame, n: int) -> DataFrame:
+    """Of each line a unit that is named by its first word and ends n lines further down."""
     lines = describe.numbered_lines(files)
-    units = lines.select("path", F.col("line").alias("unit_idx"), F.regexp_extract("text", r"^([^(]+)", 1).alias("name"), F.col("line").alias("start_line"), F.col("line").alias("end_line"))
-    return describe.calls(units, lines).select(F.col("path").alias("doc_id"), "d_idx", "called", "line")
+    n_lines = files.select("path", text.line_count(F.col("source")).alias("n_lines"))
+    return lines.join(n_lines, "path").select("path", F.col("line").alias("unit_idx"), F.regexp_extract("text", r"^([^(]+)", 1).alias("name"), F.col("line").alias("start_line"), F.least(F.col("line") + n, "n_lines").cast("int").alias("end_line"))
+
+
+def calls_by_endings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line's first word is a definition: lines of a document that call one of its definitions."""
+    files = _called_files(spark, sf_dir)
+    return describe.calls(_line_units(files, 0), describe.numbered_lines(files)).select(F.col("path").alias("doc_id"), "d_idx", "called", "line")
+
+
+def unit_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptions of units of three lines, one begun at each line, with what they call."""
+    files = _called_files(spark, sf_dir)
+    return describe.unit_descriptions(_line_units(files, 2), files).select(F.col("path").alias("doc_id"), F.col("unit_idx").alias("line"), "description")
+
+
+def call_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls in windows around hits; every document is a Python file."""
+    files = _called_files(spark, sf_dir).withColumn("path", F.concat(F.col("path").cast("string"), F.lit(".py")))
+    found = describe.call_leads(_line_units(files, 2), files, _windows(files))
+    return found.select(F.regexp_extract("path", "^[0-9]+", 0).cast("long").alias("doc_id"), "caller", "name", F.col("start_line").alias("line"))
+
+
+def answer_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """an event's value, a 500th of it, answers a question; every third event is asked another one besides."""
+    asked = F.when(F.col("event_id") % 3 == 0, F.array(F.lit("q"), F.lit("other"))).otherwise(F.array(F.lit("q")))
+    return table(spark, sf_dir, "events").select("event_id", judge.valid(F.create_map(F.lit("q"), F.col("value") / 500), asked).alias("valid"))
+
+
+def _importing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose lines, quoted in turn or not, are imported."""
+    line = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 2 == 0, F.concat(F.lit("import "), x)).otherwise(F.concat(F.lit('import "'), F.substring_index(x, " ", 2), F.lit('"'))))
+    docs = _docs(spark, sf_dir)
+    return docs.select("doc_id", paths_of_documents.derived_path(F.col("doc_id"), F.col("source")).alias("path"), F.array_join(line, "\n").alias("source"))
+
+
+def import_specifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P3."""
+    return _importing_files(spark, sf_dir).select("doc_id", F.posexplode(graph.import_specifiers(F.col("path"), F.col("source"))).alias("nth", "spec"))
+
+
+def specifier_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the words of a document's first line mean to importers of every language."""
+    docs = _docs(spark, sf_dir).select("doc_id", paths_of_documents.derived_path(F.col("doc_id"), F.col("source")).alias("path"), F.explode(F.split(F.substring_index("text", "\n", 1), " ")).alias("spec"))
+    return docs.distinct().select("doc_id", "spec", F.array_join(graph.candidates(F.col("path"), F.col("spec")), " ").alias("candidates"))
 
 
 def commented_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -407,7 +430,7 @@ NAMES = (
     tokenize_terms, bm25_stats, bm25_scores, bm25_topk, bm25_pages, bm25_turns, bm25_partitioned, lexical_prefilter, policy_filter, language_of_path, test_path_classify,
     describe_documents, clamp_bytes, path_ancestors, content_hash_dups, binary_sniff, import_edges, propagate_scores, blend_topk, text_chunks, line_hits_merge, excerpt_cap,
     unit_pack, lead_dedup, phrase_contains_join, range_join_innermost, role_labels, budget_fold, cache_lookup, cache_evict, issue_counts, run_status, grouped_order, json_report,
-    quote_and_shell, quote_texts, unit_pack_texts, blend_all, contained_units, commented_windows, cache_keys, weak_leads, nested_leads, state_headers,
-    bm25_indexed, calls_by_endings, job1_evidence_report, job2_index_documents,
+    quote_and_shell, contained_units, commented_windows, cache_keys, weak_leads, nested_leads, state_headers,
+    bm25_indexed, calls_by_endings, unit_calls, call_leads, answer_validity, import_specifiers, specifier_candidates, job1_evidence_report, job2_index_documents,
 )
-QUERIES = {f.__name__: f for f in NAMES} | cases.QUERIES
+QUERIES = {f.__name__: f for f in NAMES}
