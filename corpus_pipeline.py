@@ -48,8 +48,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; each stage's rows are written to the shared folder and read again."""
-    docs = shared.documents(spark, sf_dir)
+    """All stages over the documents of ``sf_dir``; each stage's rows are written to the shared folder and read again.
+
+    What a stage writes for itself goes when its rows are written, and these when the next stage's are: of a run only its result is left."""
+    docs, folder, before = shared.documents(spark, sf_dir), shared.shared_dir(spark), None
     for name, stage in STAGES:
-        docs = shared.cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with shared.run_folder(spark):
+            docs = shared.cut(stage(spark, docs, sf_dir), name.replace(" ", "-"), folder)
+        if before:
+            shared.remove(spark, before)
+        before = f"{folder}/{name.replace(' ', '-')}"
     return docs

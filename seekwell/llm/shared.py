@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import os
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
@@ -15,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.cuts import spread
+from ..sources.cuts import remove, run_folder, shared_folder, spread  # noqa: F401  # run_folder and remove for the pipeline
 
 try:
     _LIBC = ctypes.CDLL("libc.so.6")
@@ -27,18 +24,8 @@ SLICE_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """URI of a new folder that the driver and all executors see.
-
-    It lies in ``spark.checkpoint.dir``; only where that is unset and the master is local (as in
-    tests on one machine) a temporary folder takes its place. On a cluster its absence is an error.
-    """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
-    if not root:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        root = f"file://{tempfile.gettempdir()}/seekwell-{os.getpid()}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/seekwell/{uuid.uuid4().hex}"
+    """URI of a new folder that the driver and all executors see: in ``spark.checkpoint.dir``, or in the folder of the run (``run_folder``)."""
+    return f"{shared_folder(spark)}/seekwell/{uuid.uuid4().hex}"
 
 
 def mounted(uri: str) -> str:
@@ -49,9 +36,11 @@ def mounted(uri: str) -> str:
     return unquote(parts.path)
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: a lineage cut that survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}"
+def cut(df: DataFrame, name: str = "cut", folder: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder (or another) and read it back: a lineage cut that survives lost executors.
+
+    Cuts stay until the folder of their run goes: see ``run_folder`` of sources/cuts.py."""
+    path = f"{folder or shared_dir(df.sparkSession)}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
