@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .shared import cut, documents, filled, sliced
 
 #: Production parameters: bits of a feature's place, rows of the fit and their mean features at most, steps, penalty, share of held-out good rows that must be kept.
-BITS, FIT_ROWS, FIT_FEATURES, STEPS, PENALTY, KEEP_SHARE = 18, 10_000, 4096, 150, 5e-4, 0.995
+BITS, FIT_ROWS, FIT_FEATURES, STEPS, PENALTY, KEEP_SHARE = 18, 10_000, 1024, 150, 5e-4, 0.995
 _SHAPES = [(re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"\d+"), "9")]
 _ENDS = ".,;:!?\"'()[]{}|*$%&#<>-"
 
