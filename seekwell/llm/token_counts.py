@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .pieces import Cache, Vocabulary, vocabulary
 from .shared import documents, filled, partitions, sliced, text_bytes
@@ -109,7 +110,7 @@ def token_counts(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_
     a block that has changed between the last two raises an error instead of a wrong count. A long text is a block of its own.
     """
     pairs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    id_type = pairs.schema["id"].dataType.simpleString()
+    id_type, id_arrow = pairs.schema["id"].dataType.simpleString(), to_arrow_type(pairs.schema["id"].dataType)
 
     n = partitions(docs.sparkSession)
     n_classes = max(2 * n, text_bytes(pairs, "text") // CLASS_BYTES)
@@ -155,17 +156,13 @@ def token_counts(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_
             unit, n = rows.column("unit"), rows.column("n").values.to_numpy()
             total = _sums(of_unit[unit.values.to_numpy()] * n, unit.offsets.to_numpy()) + rows.column("special").to_numpy()
             out.append(pa.table({"id": rows.column("id"), "n_bytes": rows.column("n_bytes"), "n_tokens": pa.array(total, pa.int64())}))
-        return pa.concat_tables(out) if out else pa.table({"id": pa.array([], packed_type(id_type)), "n_bytes": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64())})
+        return pa.concat_tables(out) if out else pa.table({"id": pa.array([], id_arrow), "n_bytes": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64())})
 
     counts = pairs.mapInArrow(vocabulary_rows, "block long, class int, size int, words binary").repartition(max(n, n_classes // 2), "class").sortWithinPartitions("class").mapInArrow(count_rows, "block long, class int, n binary, size int")
     packed = pairs.mapInArrow(frequency_rows, "block long, n_pieces int, docs binary, units binary")
     return counts.groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(sums, f"id {id_type}, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)
 
 
-def packed_type(name: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(name, pa.null())
-
-
 def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Sum of values[ends[i]:ends[i + 1]] for each i."""
     upto = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
