@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import importlib
+import shlex
 import signal
 import sys
 import threading
@@ -12,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from .operators.judge import AnswerCache, Judge, Stop, TermJudge, judge_bool
+from .operators.resident import CommandJudge, choose
 from .plans.render import render_json, render_text
 from .plans.search import Options, search
 from .sources.cuts import run_folder
@@ -21,9 +23,13 @@ CACHE = str(Path.home() / ".cache/seekwell/answers")
 
 
 def judge_named(name: str) -> Judge:
-    """M5: the default judge, or what MODULE:NAME makes."""
+    """M5: the default judge; the program of command:LINE (of auto:LINE if it's there, else the default); or what MODULE:NAME makes."""
     if name == "terms":
         return TermJudge()
+    if name.startswith("command:"):
+        return CommandJudge(tuple(shlex.split(name.removeprefix("command:"))))
+    if name.startswith("auto:"):
+        return choose(name.removeprefix("auto:"))
     module, _, made = name.partition(":")
     return getattr(importlib.import_module(module), made)()
 
@@ -42,7 +48,7 @@ def main(argv: list[str] | None = None) -> int:
     for flag in ("hidden", "no-ignore", "include-dependencies", "include-sensitive", "no-cache", "json", "debug-scores"):
         find.add_argument(f"--{flag}", action="store_true")
     find.add_argument("--max-source-bytes", type=int, default=0)
-    find.add_argument("--judge", default="terms", help="terms, or MODULE:NAME of something that makes a judge")
+    find.add_argument("--judge", default="terms", help="terms; command:LINE or auto:LINE, a program that answers JSON lines; or MODULE:NAME of something that makes a judge")
     find.add_argument("--workers", type=int, help="tasks that judge at once")
     commands.add_parser("doctor")
     commands.add_parser("cache-clear")
