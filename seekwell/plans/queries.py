@@ -22,13 +22,13 @@ from .render import json_files
 QUERY = "How are theReadings heated onder tionShed?"
 HIT = "heat"
 NOW = "2024-02-05 00:00:00"
-#: Tables whose rows are worth a core each: small files of them are dealt out before the text functions run.
-TEXTS = ("documents", "pages")
+#: Tables whose rows are worth a core each, with their keys: small files of them are dealt out before the text functions run.
+TEXTS = {"documents": "doc_id", "pages": "page_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(found) if name in TEXTS else found
+    return spread(found, TEXTS[name]) if name in TEXTS else found
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,7 +56,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer file splits than the cluster has cores is dealt over all of them; any larger one is left as it is."""
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """A table of fewer file splits than the cluster has cores is dealt over all of them; any larger one is left as it is. Dealt by a ``key``, rows
+    needn't be sorted first, and what is grouped by that key later isn't dealt again."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key) if key else df.repartition(cores)
