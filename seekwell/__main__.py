@@ -16,10 +16,10 @@ from .operators.judge import AnswerCache, Judge, Stop, TermJudge, judge_bool
 from .operators.resident import CommandJudge, choose
 from .plans.render import render_json, render_text
 from .plans.search import Options, search
-from .sources.cuts import run_folder
+from .sources.cuts import remove, run_folder
 from .sources.walk import Policy
 
-CACHE = str(Path.home() / ".cache/seekwell/answers")
+CACHE, CONTENTS = (str(Path.home() / ".cache/seekwell" / name) for name in ("answers", "contents"))
 
 
 def judge_named(name: str) -> Judge:
@@ -61,6 +61,7 @@ def main(argv: list[str] | None = None) -> int:
     try:
         if args.command == "cache-clear":
             AnswerCache(spark, CACHE).clear()
+            remove(spark, CONTENTS)
             return 0
         if not Path(args.root).is_dir():
             print(f"not a directory: {args.root}", file=sys.stderr)
@@ -86,7 +87,7 @@ def stop_at_interrupt(stop: Stop) -> None:
 
 def find_and_print(spark: SparkSession, args: argparse.Namespace, stop: Stop) -> int:
     policy = Policy(args.hidden, args.no_ignore, args.include_dependencies, args.include_sensitive)
-    result = search(spark, args.root, args.query, Options(policy, None if args.no_cache else CACHE, judge_named(args.judge), workers=args.workers, stop=stop))
+    result = search(spark, args.root, args.query, Options(policy, None if args.no_cache else CACHE, None if args.no_cache else CONTENTS, judge_named(args.judge), workers=args.workers, stop=stop))
     if args.debug_scores:
         result.files.select("path", "score").show(40, truncate=False)
     print(render_json(result) if args.json else render_text(result, args.max_source_bytes))

@@ -19,7 +19,8 @@ from ..functions.text import clamp_bytes, state_header
 from ..operators import describe, graph, ranges, ranking
 from ..operators.bm25 import before_judge, bm25
 from ..operators.judge import MAX_REQUESTS, AnswerCache, Judge, Stop, TermJudge, evaluate, file_question, role_questions
-from ..operators.units import comments, inspect_files, units
+from ..operators.contents import Store, inspect_once
+from ..operators.units import comments, units
 from ..schemas import CALL_LEAD, EXCERPT, LEAD
 from ..sources.cuts import cut
 from ..sources.reader import listing, snapshots
@@ -33,6 +34,8 @@ ROLE_BYTES = 320
 class Options:
     policy: Policy = field(default_factory=Policy)
     cache_path: str | None = None
+    #: Where what the parsers find is kept over runs.
+    contents_path: str | None = None
     judge: Judge = field(default_factory=TermJudge)
     debug: bool = False
     #: Tasks that judge at once; None leaves it to Spark.
@@ -96,7 +99,9 @@ def search_files(spark: SparkSession, files: DataFrame, query: str, options: Opt
     stage("read and parse")
     files = cut(files.select("path", "source"))
     counts["inspected_files"] = files.count()
-    found = cut(inspect_files(files))
+    findings, once = inspect_once(files, Store(spark, options.contents_path) if options.contents_path else None)
+    counts |= {"contents": once["contents"], "parsed": once["parsed"]}
+    found = cut(findings)
     all_units, all_comments = units(found), comments(found)
     stage("describe and rank")
     described = cut(descriptions(files, found))
