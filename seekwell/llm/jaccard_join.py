@@ -12,14 +12,16 @@ left are compared whole.
    input's size asks for; shingles that share a key share its frequency, so the order stays one order.
 2. A set whose prefix holds shingles of its own alone can't meet another: most stop here. The others become groups.
 3. Groups that share shingles of their prefixes, in however many steps, form a *bundle*. A bundle is searched in one task, which holds its sets once.
-   Bundles over a limit are taken apart by shingle, and the groups of one shingle that are still over it in parts, each pair of which is
-   a task, so no task holds more than the limit or two parts; that is exact, and its work grows with the square of a shingle's groups.
+   Bundles over a limit are taken apart by bands of sizes, and bands that are still over it in parts, each pair of which is a task, or by
+   shingle and then in parts, whichever copies a set less often; so no task holds more than the limit, or a set with the limit. That is
+   exact, and its work grows with the square of the sets of like size that share a shingle.
 4. In a bundle, members that are known to be in one component aren't compared again. Each bundle gives a star for each of its
    components; the stars are joined by contraction.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -106,7 +108,7 @@ def prefixes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     size, n_parts = text_bytes(rows, "text"), partitions(docs.sparkSession)
     n_classes = max(2 * n_parts, size // CLASS_BYTES)
-    shift = np.uint64(64 - min(64, 16 + max(1, size).bit_length()))
+    shift = np.uint64(64 - min(64, 10 + max(1, size).bit_length()))  # a shingle shares its key by chance once in some 10,000 times
     bounds = [((k << 64) // n_classes) >> int(shift) for k in range(1, n_classes)]  # keys of a class follow one another
 
     def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +138,7 @@ def prefixes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col
             sizes, ids = np.array(list(map(len, sets)), "<u4"), batch.column(0)
             yield pa.record_batch({
                 "block": pa.array([block], pa.int64()), "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.concat_arrays([ids])),
-                "sizes": pa.array([sizes.tobytes()], pa.binary()), "hashes": pa.array([np.concatenate(sets).tobytes()], pa.binary()),
+                "sizes": pa.array([sizes.tobytes()], pa.binary()), "hashes": pa.array([_squeezed(np.concatenate(sets))], pa.binary()),
             })
 
     def prefix_rows(answers: pa.Table, packed: pa.Table) -> pa.Table:
@@ -144,7 +146,8 @@ def prefixes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col
         total = np.concatenate([_opened(*by_class[k], "<u4") for k in sorted(by_class)]) if by_class else np.zeros(0, "<u4")
         out: dict[str, list] = {c: [] for c in ("id", "n", "digest", "grp", "tokens", "places", "hashes")}
         for ids, sizes, hashes in zip(packed.column("ids").to_pylist(), packed.column("sizes").to_pylist(), packed.column("hashes").to_pylist(), strict=True):
-            every, ends = np.frombuffer(hashes, np.uint64), np.concatenate(([0], np.cumsum(np.frombuffer(sizes, "<u4").astype(np.int64))))
+            ends = np.concatenate(([0], np.cumsum(np.frombuffer(sizes, "<u4").astype(np.int64))))
+            every = _opened(hashes, int(ends[-1]), "<u8")
             keys = np.unique(every >> shift)
             if len(keys) != len(total):
                 raise RuntimeError("the input changed between two scans; write it to a table first")
@@ -254,8 +257,8 @@ def link_edges(sets: DataFrame, percent: int = PERCENT, bundle: int = BUNDLE) ->
     near = cut(components(postings.join(heads, "token").where("grp <> head").select(F.col("head").alias("a"), F.col("grp").alias("b"))), "bundles")
     bundled = cut(groups.join(near.withColumnRenamed("node", "grp"), "grp", "left").where("root IS NOT NULL OR members > 1").select("grp", "n", F.coalesce("root", "grp").alias("bundle")), "bundled")
     sizes = bundled.groupBy("bundle").agg(F.sum("n").alias("total"))
-    placed = bundled.join(sizes, "bundle").select("grp", "bundle", (F.col("total") > bundle).alias("large"))
-    rows = cut(sets.join(placed, "grp"), "members")  # a set goes once to its bundle
+    placed = cut(bundled.join(sizes, "bundle").select("grp", "bundle", (F.col("total") > bundle).alias("large")), "placed")
+    rows = sets.join(placed, "grp")  # a set goes once to its bundle
     small = rows.where("NOT large").select("bundle", "name", "grp", "n", "tokens", "places", "hashes")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,17 +278,28 @@ def link_edges(sets: DataFrame, percent: int = PERCENT, bundle: int = BUNDLE) ->
 
     sort = ["bundle", "name"]
     edges = small.repartition(n_parts, "bundle").sortWithinPartitions(*sort).mapInArrow(search, "a long, b long")
-    large = rows.where("large")
-    if not large.take(1):
+    if not placed.where("large").take(1):
         return edges
-    # By shingle; what is over the limit still in parts, each pair of which is a task.
-    by_token = large.select(F.explode("tokens").alias("token"), "name", "grp", "n", "tokens", "places", "hashes")
-    of_token = cut(by_token.groupBy("token").agg(F.sum("n").alias("total"), F.count("*").alias("k")).where("k > 1").withColumn("parts", F.least(F.ceil(2 * F.col("total") / bundle), F.col("k")).cast("int")), "tokens")
-    dealt = by_token.join(of_token.select("token", "parts"), "token")
+    large = rows.where("large")
+    # By size: sets that link lie in one band of sizes or in neighbouring ones, so each goes to its own and to the next.
+    cols = ["name", "grp", "n", "tokens", "places", "hashes"]
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log((percent - 1) / 100))).cast("int")
+    banded = large.withColumn("band", band).select("bundle", F.explode(F.array("band", F.col("band") + 1)).alias("band"), *cols)
+    parts = F.least(F.ceil(2 * F.col("total") / bundle), F.col("k")).cast("int")
+    of_band = banded.groupBy("bundle", "band").agg(F.sum("n").alias("total"), F.count("*").alias("k"), F.avg(F.size("tokens")).alias("own")).where("k > 1")
+    of_band = cut(of_band.select("bundle", "band", parts.alias("parts"), "own"), "bands")
+    dealt = banded.join(of_band, ["bundle", "band"])
+    # In parts, each pair of which is a task, or by shingle first: whichever copies a set less often.
+    token = F.lit(None).cast("long").alias("token")
+    by_band = dealt.where("parts <= own").select("bundle", "band", token, "parts", *cols)
+    by_token = dealt.where("parts > own").select("bundle", "band", F.explode("tokens").alias("token"), *cols)
+    of_token = by_token.groupBy("bundle", "band", "token").agg(F.sum("n").alias("total"), F.count("*").alias("k")).where("k > 1")
+    by_token = by_token.join(cut(of_token.select("bundle", "band", "token", parts.alias("parts")), "tokens"), ["bundle", "band", "token"])
+    every = by_band.unionByName(by_token.select(*by_band.columns))
     part = F.pmod(F.xxhash64("name"), F.col("parts")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, part).alias("i"), F.greatest(k, part).alias("k")))
-    met = dealt.select(F.explode(pairs).alias("pair"), "token", "name", "grp", "n", "tokens", "places", "hashes")
-    named = met.select(F.xxhash64("token", "pair.i", "pair.k").alias("bundle"), "name", "grp", "n", "tokens", "places", "hashes")
+    met = every.select(F.explode(pairs).alias("pair"), "bundle", "band", "token", *cols)
+    named = met.select(F.xxhash64("bundle", "band", "token", "pair.i", "pair.k").alias("bundle"), *cols)
     return edges.unionByName(named.repartition(n_parts, "bundle").sortWithinPartitions(*sort).mapInArrow(search, "a long, b long"))
 
 
