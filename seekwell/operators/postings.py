@@ -48,11 +48,12 @@ def add(docs: DataFrame, path: str, batch: int, id_col: str = "id", text_col: st
     """Writes ``docs`` as one batch of the index at ``path`` and returns its sums. Ids must be distinct over all batches. ``buckets`` belongs to the
     index and must stay; a large corpus takes some thousands."""
     spark = docs.sparkSession
-    counted = cut(document_terms(docs, id_col, text_col))
-    n_docs = counted.count()
-    parts = max(1, n_docs // RANGE_DOCS)
+    length_class = F.floor(2 * F.log2(F.col("dl") + 1)).cast("long")
+    counted = cut(document_terms(docs, id_col, text_col).withColumn("cls", length_class))
+    sizes = {r["cls"]: r["n"] for r in counted.groupBy("cls").agg(F.count("*").alias("n")).collect()}  # some 60 classes at most
+    parts = F.create_map(*[F.lit(x).cast("long") for c, n in sizes.items() for x in (c, max(1, n // RANGE_DOCS))])[F.col("cls")] if sizes else F.lit(1)
     salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // buckets)
-    place = F.floor(2 * F.log2(F.col("dl") + 1)).cast("long") * (1 << 40) + F.pmod(F.xxhash64("id"), F.lit(parts))
+    place = F.col("cls") * (1 << 40) + F.pmod(F.xxhash64("id"), parts)
     rows = counted.select("id", "dl", place.alias("rng"), F.explode("terms").alias("t")).select("t.term", "rng", "id", "t.tf", "dl")
     dealt = rows.withColumn("bucket", bucket(F.col("term"), buckets)).withColumn("salt", F.pmod(F.xxhash64("rng"), F.lit(salts))).repartition("bucket", "salt")  # a frequent term's ranges go to many tasks
     doc = F.struct("id", "tf", "dl")

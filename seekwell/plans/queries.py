@@ -21,6 +21,8 @@ from .render import json_files
 
 QUERY = "How are theReadings heated onder tionShed?"
 HIT = "heat"
+#: Phrases that a scan of all texts takes at once.
+PHRASES = 10_000
 NOW = "2024-02-05 00:00:00"
 #: Tables whose rows are worth a core each, with their keys: small files of them are dealt out before the text functions run.
 TEXTS = {"documents": "doc_id", "pages": "page_id"}
@@ -240,7 +242,7 @@ def phrase_contains_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The longest word inside the phrase (neither its first nor its last, which may be parts of words) is the key of a hash join with
     the documents' distinct words, without their texts; only the pairs that meet are looked at with ``contains``. Phrases with no
-    such word (one or two words, text without spaces) are broadcast to a scan of all texts."""
+    such word (one or two words, text without spaces) are a query set that a scan of all texts takes in blocks of PHRASES."""
     inner = F.filter(F.split(F.substring("phrase", F.lit(1), F.lit(40)), " "), lambda w: F.length(w) > 0)
     middle = F.slice(inner, F.lit(2), F.greatest(F.size(inner) - 2, F.lit(0)))
     longest = F.aggregate(middle, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
@@ -249,8 +251,13 @@ def phrase_contains_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
     met = keyed.join(items.where("word <> ''"), "word").select("doc_id", "item_id", "phrase").distinct()
     by_word = docs.select("doc_id", "text").join(met, "doc_id").where(F.contains("text", "phrase")).select("doc_id", "item_id")
-    by_scan = docs.join(F.broadcast(items.where("word = ''")), F.contains("text", "phrase")).select("doc_id", "item_id")
-    return by_word.union(by_scan).distinct()
+    bare = items.where("word = ''").select("item_id", "phrase")
+    blocks = -(-bare.count() // PHRASES)
+    found = by_word
+    for k in range(blocks):  # some PHRASES phrases of 40 characters at most each
+        block = bare.where(F.pmod(F.xxhash64("item_id", "phrase"), F.lit(blocks)) == k)
+        found = found.union(docs.join(F.broadcast(block), F.contains("text", "phrase")).select("doc_id", "item_id"))
+    return found.distinct()
 
 
 def range_join_innermost(spark: SparkSession, sf_dir: str) -> DataFrame:
