@@ -81,12 +81,15 @@ def innermost(points: DataFrame, units: DataFrame, key: str = "path") -> DataFra
     A sweep: beginnings of units and points are one stream of events in each file's order. Begun units lie on a stack, the one begun last
     on top; those that end before a point are taken off as it looks at the top, since no later point is theirs either. A task holds the units
     that are open at a place, not a file's events. Repeated points give a row each, as do points of a null key or line, which no unit holds.
+
+    Events are dealt by a hash of the key: where both sides are already dealt by the key itself, Spark drops a deal by it above their union,
+    and then merges small partitions of each side by itself, so that a file's units and points part.
     """
     begin = units.where("start_line <= end_line").select(
         F.col(key).alias("k"), F.col("start_line").cast("long").alias("at"), F.lit(0).alias("kind"), F.col("unit_idx").cast("long").alias("idx"), F.col("end_line").cast("long").alias("until"), "name", F.lit(None).cast(points.select(F.struct(*points.columns)).schema[0].dataType).alias("point"),
     )
     look = points.select(F.col(key).alias("k"), F.col("line").cast("long").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("idx"), F.lit(None).cast("long").alias("until"), F.lit(None).cast("string").alias("name"), F.struct(*points.columns).alias("point"))
-    events = begin.unionByName(look).repartition("k").sortWithinPartitions("k", "at", "kind", "idx")
+    events = begin.unionByName(look).repartition(F.xxhash64("k")).sortWithinPartitions("k", "at", "kind", "idx")
     named = StructType([*points.schema.fields, StructField("unit", StringType()), StructField("unit_idx", units.schema["unit_idx"].dataType)])
     plain = points.schema.names
 
