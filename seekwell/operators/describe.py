@@ -9,6 +9,8 @@ from ..functions.text import clamp_bytes, docstring_line, header_text, line_coun
 
 #: Bytes of a description, its names, imports and characters of content; calls of a unit's description.
 DESCRIPTION_BYTES, NAMES, IMPORTS, CONTENT_CHARS, CALLS = 600, 12, 6, 200, 4
+#: Words of 64 bits that tell, of each length, which hashes the names of a file have.
+WORDS = 4
 
 
 def description(path: Column, source: Column, names: Column, imports: Column) -> Column:
@@ -32,19 +34,38 @@ def numbered_lines(files: DataFrame) -> DataFrame:
     return files.select("path", F.posexplode(F.split("source", "\n")).alias("at", "text")).select("path", (F.col("at") + 1).alias("line"), "text")
 
 
+def _definitions(units: DataFrame) -> DataFrame:
+    """(path, d_idx, called, d_start, d_end) of the units that can be called."""
+    defs = units.where(~F.col("name").endswith(".context") & (F.col("name") != "source")).select("path", F.col("unit_idx").alias("d_idx"), F.regexp_extract("name", r"([^.:]+)$", 1).alias("called"), F.col("start_line").alias("d_start"), F.col("end_line").alias("d_end"))
+    return defs.where((F.length("called") > 0) & ~F.contains("called", F.lit("(")))
+
+
+def _endings(defs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(path, line, called): of what stands before a line's parentheses the distinct endings that may be names of its file: as long as one, and
+    with a hash that one of that length has. Lines are dealt by file before they're cut; of their endings, many times their size, few others
+    than names move on."""
+    place = lambda name: F.pmod(F.xxhash64(name), F.lit(64 * WORDS)).cast("int")
+    word = lambda name: F.floor(place(name) / 64).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place("called") % 64)
+    masks = [F.bit_or(F.when(word("called") == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{i}") for i in range(WORDS)]
+    by_size = defs.groupBy("path", F.length("called").alias("n")).agg(*masks)
+    sizes = by_size.groupBy("path").agg(F.collect_list(F.struct("n", F.array(*(f"m{i}" for i in range(WORDS))).alias("m"))).alias("sizes"))  # a few numbers for each length
+    may_be = lambda s, e: F.getbit(F.get(s["m"], word(e)), place(e) % 64) == 1
+    pieces = F.split("text", "\\(")
+    before = F.array_distinct(F.slice(pieces, F.lit(1), F.size(pieces) - 1))
+    ends = F.flatten(F.transform(before, lambda p: F.transform(F.filter("sizes", lambda s: (s["n"] <= F.length(p)) & may_be(s, F.right(p, s["n"]))), lambda s: F.right(p, s["n"]))))
+    some = lines.where(F.instr("text", "(") > 0).select("path", "line", "text")
+    return some.join(sizes, "path").select("path", "line", F.explode(F.array_distinct(ends)).alias("called"))
+
+
 def calls(units: DataFrame, lines: DataFrame) -> DataFrame:
-    """(path, d_idx, called, d_start, d_end, line): lines of a file that hold ``name(`` of one of its units; names as they're called,
-    the part after the last dot or ::. A name holds no parenthesis.
+    """(path, d_idx, called, d_start, d_end, line): lines (distinct by path and line) of a file that hold ``name(`` of one of its units;
+    names as they're called, the part after the last dot or ::. A name holds no parenthesis.
 
     What stands before an opening parenthesis ends in a called name, so a line is cut at its parentheses, and of each piece the endings that
-    are as long as some name of its file are the keys of an equi-join: no line meets a definition that it doesn't name."""
-    defs = units.where(~F.col("name").endswith(".context") & (F.col("name") != "source")).select("path", F.col("unit_idx").alias("d_idx"), F.regexp_extract("name", r"([^.:]+)$", 1).alias("called"), F.col("start_line").alias("d_start"), F.col("end_line").alias("d_end"))
-    defs = defs.where((F.length("called") > 0) & ~F.contains("called", F.lit("(")))
-    sizes = defs.groupBy("path").agg(F.collect_set(F.length("called")).alias("sizes"))  # a few numbers for each file
-    pieces = F.split("text", "\\(")
-    before = lines.where(F.instr("text", "(") > 0).select("path", "line", F.explode(F.slice(pieces, F.lit(1), F.size(pieces) - 1)).alias("piece"))
-    keyed = before.join(sizes, "path").select("path", "line", F.explode(F.transform(F.filter("sizes", lambda n: n <= F.length("piece")), lambda n: F.right("piece", n))).alias("called"))
-    return keyed.distinct().join(defs, ["path", "called"]).select("path", "d_idx", "called", "d_start", "d_end", "line")
+    may be names of its file are the keys of an equi-join: no line meets a definition that it doesn't name."""
+    defs = _definitions(units)
+    return _endings(defs, lines).join(defs, ["path", "called"]).select("path", "d_idx", "called", "d_start", "d_end", "line")
 
 
 def unit_descriptions(units: DataFrame, files: DataFrame) -> DataFrame:
