@@ -68,20 +68,37 @@ def calls(units: DataFrame, lines: DataFrame) -> DataFrame:
     return _endings(defs, lines).join(defs, ["path", "called"]).select("path", "d_idx", "called", "d_start", "d_end", "line")
 
 
+def _calls_of_units(units: DataFrame, lines: DataFrame) -> DataFrame:
+    """(path, unit_idx, calls): the first CALLS definitions, in their order, that a unit's lines call and that don't lie in the unit. Names
+    are met, line by line, before their definitions are, so a name that many units bear costs its list once for each unit that calls it."""
+    defs = _definitions(units)
+    named = defs.groupBy("path", "called").agg(F.array_sort(F.collect_list(F.struct("d_idx", "d_start", "d_end"))).alias("defs"))
+    met = _endings(defs, lines).join(named.select("path", "called"), ["path", "called"], "left_semi")
+    held = units.where("start_line <= end_line").select("path", "unit_idx", "start_line", "end_line", F.explode(F.sequence("start_line", "end_line")).alias("line"))
+    asked = met.join(held, ["path", "line"]).select("path", "unit_idx", "start_line", "end_line", "called").distinct()
+    other = F.filter("defs", lambda d: ~((d["d_start"] >= F.col("start_line")) & (d["d_end"] <= F.col("end_line"))))
+    first = F.transform(F.slice(other, 1, CALLS), lambda d: F.struct(d["d_idx"].alias("d_idx"), F.col("called").alias("called")))
+    found = asked.join(named, ["path", "called"]).select("path", "unit_idx", first.alias("first")).where(F.size("first") > 0)
+    in_order = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("first")))), 1, CALLS)
+    return found.groupBy("path", "unit_idx").agg(F.transform(in_order, lambda x: x["called"]).alias("calls"))
+
+
 def unit_descriptions(units: DataFrame, files: DataFrame) -> DataFrame:
     """(path, unit_idx, description): name, lines, signature, a docstring if the signature is short, and up to four
-    definitions of the file, in their order, that its lines call and that don't lie in the unit itself."""
-    lines = numbered_lines(files.join(units.select("path").distinct(), "path", "left_semi"))
-    found = calls(units, lines)
-    own = (F.col("d_start") >= F.col("start_line")) & (F.col("d_end") <= F.col("end_line"))
-    inside = found.join(units.select("path", "unit_idx", "start_line", "end_line"), "path").where(F.col("line").between(F.col("start_line"), F.col("end_line")) & ~own)
-    in_order = F.transform(F.array_sort(F.collect_set(F.struct("d_idx", "called"))), lambda x: x["called"])
-    called = inside.groupBy("path", "unit_idx").agg(F.slice(in_order, 1, CALLS).alias("calls"))
-    rows = units.join(files.select("path", "source"), "path").join(called, ["path", "unit_idx"], "left")
-    body = F.slice(F.split("source", "\n"), F.col("start_line"), F.least(F.col("end_line") - F.col("start_line") + 1, F.lit(6)))
-    signature, doc = signature_line(body), docstring_line(body)
-    head = F.concat("name", F.lit(" (lines "), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"), F.lit("): "), signature)
-    parts = F.array_compact(F.array(head, F.when(F.octet_length(head) < 60, doc), F.when(F.size("calls") > 0, F.concat(F.lit("calls "), F.array_join("calls", ", ")))))
+    definitions of the file, in their order, that its lines call and that don't lie in the unit itself. A source meets all its units at
+    once and is split into lines once; no unit carries more than its signature and docstring on."""
+    called = _calls_of_units(units, numbered_lines(files.join(units.select("path").distinct(), "path", "left_semi")))
+    every = units.groupBy("path").agg(F.collect_list(F.struct("unit_idx", "name", "start_line", "end_line")).alias("units")).join(files.select("path", "source"), "path")
+    let = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))  # noqa: E731  # evaluates value once
+
+    def shown(u: Column, body: Column) -> Column:
+        head = F.concat(u["name"], F.lit(" (lines "), u["start_line"].cast("string"), F.lit("-"), u["end_line"].cast("string"), F.lit("): "), signature_line(body))
+        return F.struct(u["unit_idx"].alias("unit_idx"), head.alias("head"), docstring_line(body).alias("doc"))
+
+    body = lambda u, lines: F.slice(lines, u["start_line"], F.least(u["end_line"] - u["start_line"] + 1, F.lit(6)))
+    texts = let(F.split("source", "\n"), lambda lines: F.transform("units", lambda u: let(body(u, lines), lambda some: shown(u, some))))
+    rows = every.select("path", F.explode(texts).alias("u")).select("path", "u.*").join(called, ["path", "unit_idx"], "left")
+    parts = F.array_compact(F.array(F.col("head"), F.when(F.octet_length("head") < 60, F.col("doc")), F.when(F.size("calls") > 0, F.concat(F.lit("calls "), F.array_join("calls", ", ")))))
     return rows.select("path", "unit_idx", F.array_join(parts, " | ").alias("description"))
 
 
