@@ -19,7 +19,7 @@ from jobs.common import log, read_config, settings, show_log
 from seekwell.functions.text import inflections, line_count, query_terms, terms
 from seekwell.operators import ranges
 from seekwell.operators.bm25 import bm25_many
-from seekwell.sources.cuts import run_folder
+from seekwell.sources.cuts import cut, run_folder
 
 CONFIG = "evidence_report.json"
 
@@ -54,7 +54,8 @@ def report(spark: SparkSession, config: dict, source: str, output: str) -> DataF
     watched = docs.observe(read, F.count("*").alias("documents"), F.count("text").alias("texts"))
     best = best_documents(watched, questions, config["least_score"], config["documents_per_question"])
     # At most documents_per_question rows for each question: small enough to send to the scan that fetches their texts.
-    found = docs.join(F.broadcast(best), "doc_id").select(F.concat_ws("/", "question", F.col("doc_id").cast("string")).alias("path"), "question", "nth", "doc_id", "score", "text")
+    # They're written once, since lines, windows and excerpts would each scan the whole corpus for them again.
+    found = cut(docs.join(F.broadcast(best), "doc_id").select(F.concat_ws("/", "question", F.col("doc_id").cast("string")).alias("path"), "question", "nth", "doc_id", "score", "text"))
     lines = hit_lines(found, questions)
     windows = ranges.expand(lines.select("path", F.col("line").alias("start_line"), F.col("line").alias("end_line")), found.select("path", line_count(F.col("text")).alias("n_lines")))
     excerpts = ranges.excerpts(windows, found.select("path", F.col("text").alias("source")), most=config["excerpt_bytes"])
